@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables and the SQL they are checked against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import alignment, bars, pairs  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
