@@ -249,8 +249,9 @@ def join_regions(regions: DataFrame, percent: int = PERCENT, docs: int = REGION_
         parts = F.greatest(F.ceil(F.col("_docs") / docs), F.ceil(F.col("_n") / shingles)).cast("int")
         counts = weights.where(large).select("region", parts.alias("_parts"))
         dealt = wide.join(counts, "region").withColumn("_part", F.pmod(F.xxhash64("rep"), F.col("_parts")))
-        copies = pivots.join(counts, "region").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).cast("long"))
-        measured = dealt.groupBy("region", "_part").cogroup(copies.groupBy("region", "_part")).applyInPandas(_measure, "region long, rep long, pivot long, both long, either long")
+        copies = pivots.join(counts.select("region", F.col("_parts").alias("_of")), "region").withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of").cast("long") - 1)))
+        copies = copies.select(F.col("region").alias("_in"), "_place", F.col("rep").alias("rep"), F.col("shingles").alias("shingles"))
+        measured = dealt.groupBy("region", "_part").cogroup(copies.groupBy("_in", "_place")).applyInPandas(_measure, "region long, rep long, pivot long, both long, either long")
         far = staged(measured.withColumn("apart", 1 - F.col("both") / F.col("either")).withColumn("linked", 100 * F.col("both") >= percent * F.col("either")), "distances")
         stars = far.where("linked").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
         links.append(stars)
