@@ -7,9 +7,10 @@ that some document is near by construction, the single shingles, and cells are r
 1. Cells of shingles in hash order. Two linked documents (distance r = 0.2 at most) differ in few shingles, so the
    triangle inequality leaves a window: among the first 0.3 n of each they share 0.08 n at least. Each document enters
    the cells of these shingles; those that meet too few others there can have no partner and are done.
-2. Cells of the rarest shingles. Among the documents left, shingles are ordered by how many documents hold them. A
-   document of which less than 0.8 n are shared has no partner. The others enter the cells of their 0.2 n + 1 rarest
-   shingles, which any two linked documents share one of. Cells that overlap make a region.
+2. Cells of the rarest shingles. Of the documents left, the first 0.5 n shingles in hash order are ordered anew by how
+   many documents hold them. Linked documents share 0.24 n of these at least, so a document that shares fewer has no
+   partner; the others enter the cells of their rarest ones, so many that two linked documents can't miss each other.
+   Cells that overlap make a region.
 3. Regions by documents as pivots. All of a region's documents are measured against pivots; those within r of a pivot
    are linked to it. What the pivots leave open is joined exactly: documents within 2 r of a pivot, with those of its
    cell that the triangle inequality can't rule out, and the ones far from all pivots, recursively.
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import fresh_long, staged
 
-#: Words of a shingle; similarity of a link in percent; share of a set, beyond the 0.2 n that may differ, in step 1.
+#: Words of a shingle; similarity of a link in percent; share of a set, beyond the 0.2 n that may differ, read in step 1.
 WORDS, PERCENT, EXTRA = 5, 80, 0.1
+#: The same share in step 2.
+WIDE = 0.3
 #: Documents and shingles of a region that one task joins; pivots and levels of larger ones before blocks of rows.
 REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS = 1024, 4_000_000, 16, 4
 #: Random odd numbers, one for each word of a shingle.
@@ -129,7 +132,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()) for t in part.column(1)], pa.list_(pa.int64()))], names=["rep", "shingles"])
+            sets = [shingle_set(t.as_py()) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "n", "shingles"])
 
 
 def _degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,12 +328,14 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, extra: fl
     left = staged(points.join(credit, F.col("mark") == F.col("_mark")).where(F.col("_met") >= needed).select("rep", "n"), "left")
 
     # step 2: cells of the rarest shingles
-    whole = texts.join(left, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets, "rep long, shingles array<long>")
-    whole = staged(whole.dropDuplicates(["rep"]).join(left, "rep"), "shingles")
-    entries = whole.select(F.explode("shingles").alias("shingle"), "rep").repartition("shingle").sortWithinPartitions("shingle")
-    shared = entries.mapInArrow(_degrees, "rep long, df long, shingle long").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("_shared"))
-    lacking = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    unshared = F.col("n") - F.size("_shared")
+    # texts meet the documents left by a merge join at any size: how many are left has no bound to broadcast by
+    kept = texts.join(left.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
+    whole = staged(kept.mapInArrow(_sets, "rep long, n long, shingles array<long>"), "shingles")
+    first = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + F.greatest(F.lit(1), F.floor(F.col("n") * WIDE)))
+    entries = whole.select(F.explode(F.slice("shingles", F.lit(1), first.cast("int"))).alias("shingle"), "rep").repartition("shingle").sortWithinPartitions("shingle")
+    shared = entries.mapInArrow(_degrees, "rep long, df long, shingle long").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("_shared"))
+    lacking = first - F.greatest(F.lit(1), F.floor(F.col("n") * WIDE * percent / 100) - 1)
+    unshared = first - F.size("_shared")
     close = shared.join(left, "rep").where(unshared <= lacking)
     rarest = F.slice("_shared", 1, F.greatest(F.lit(0), lacking + 1 - unshared).cast("int"))
     cells = staged(close.select("rep", "n", F.explode(F.transform(rarest, lambda x: x["shingle"])).alias("cell")), "cells")
@@ -338,7 +344,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, extra: fl
     region = components(spokes).select(F.col("node").alias("rep"), F.col("label").alias("region"))
 
     # step 3: regions by documents as pivots
-    regions = staged(whole.join(region, "rep").select("region", "rep", "n", "shingles"), "regions")
+    regions = staged(whole.dropDuplicates(["rep"]).join(region, "rep").select("region", "rep", "n", "shingles"), "regions")
     named = components(join_regions(regions, percent, region_docs, region_shingles))
     classes = points.join(named, F.col("rep") == F.col("node"), "left").select(F.concat("print", F.lit(b"")).alias("_print"), F.coalesce("label", "rep").alias("_component"))
     rows = narrow.join(classes, F.col("print") == F.col("_print"), "left")
