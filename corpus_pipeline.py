@@ -45,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and the digests that prove the round trip."""
     path = tokenizer_path()
-    return bpe_digests(bpe.decode_ids(bpe.encode_texts(docs.select("doc_id", "text"), path), path))
+    return bpe_digests(bpe.encode_and_decode(docs.select("doc_id", "text"), path))
 
 
 STAGES = [

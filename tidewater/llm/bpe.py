@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fragments that a task remembers; beyond it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Characters that the pattern, in any reading, may take for white space; a cut is never made after one.
 SPACES = re.compile("[\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
@@ -57,7 +58,7 @@ class ForcedBoundaryCoder:
         first, second = np.arange(65536) >> 8, np.arange(65536) & 255
         ends_space = (first <= 0x20) | (first == 0x7F)
         self.cuts = ~inside & ~ends_space & (second != ord("'")) & ((second & 0xC0) != 0x80)
-        self.known: dict[bytes, tuple[bytes, int]] = {}
+        self.known: dict[bytes, bytes] = {}  # ids of a fragment, packed
 
     def fragments(self, text: str) -> list[bytes]:
         data = text.encode("utf-8", "replace")
@@ -80,12 +81,12 @@ class ForcedBoundaryCoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list({f for fragments in cut for f in fragments if f not in self.known})
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
+        for start in range(0, len(new), 2000):
+            part = new[start : start + 2000]
             for f, e in zip(part, self.tokenizer.encode_batch([f.decode("utf-8") for f in part], add_special_tokens=False), strict=True):
-                self.known[f] = (np.array(e.ids, np.int32).tobytes(), len(e.ids))
+                self.known[f] = np.array(e.ids, np.int32).tobytes()
         known = self.known
-        rows = [b"".join([known[f][0] for f in fragments]) for fragments in cut]
+        rows = [b"".join([known[f] for f in fragments]) for fragments in cut]
         return np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows], np.int64)
 
     def decode(self, ids: list[int]) -> str:
@@ -139,5 +140,23 @@ def decode_ids(docs: DataFrame, tokenizer_path: str, ids_col: str = "token_ids")
     return docs.withColumn("decoded_text", decoder(tokenizer_path)(F.col(ids_col)))
 
 
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """encode_texts() and decode_ids() in one pass over the texts, which are dropped: token_ids and decoded_text."""
+    fields = [f for f in docs.schema.fields if f.name not in (text_col, "token_ids", "decoded_text")]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(tokenizer_path)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                ids = _lists(*own.encode_all([t or "" for t in part.column(len(names)).to_pylist()]))
+                decoded = pa.array([own.decode(x.values.to_numpy().tolist()) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), ids, decoded], names=[*names, "token_ids", "decoded_text"])
+
+    added = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_text", T.StringType())]
+    return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, T.StructType([*fields, *added]))
+
+
 def sha256_of_ids(ids: Column) -> Column:
     return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)

@@ -41,7 +41,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    docs = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    docs = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return bpe_digests(docs)
 
 
