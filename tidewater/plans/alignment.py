@@ -42,10 +42,10 @@ def union_grid(spark, sf_dir):
 
 @query("c5_align_by_coverage", f"""WITH {WK}, g AS (SELECT ts FROM bars GROUP BY ts HAVING count(*) >= 0.8 * (SELECT count(DISTINCT asset) FROM bars) AND count(*) >= 2),
     k AS (SELECT asset, count(*) AS hits, (SELECT count(*) FROM g) AS points FROM bars WHERE ts IN (SELECT ts FROM g) GROUP BY 1 HAVING count(*) >= 0.9 * (SELECT count(*) FROM g) AND (SELECT count(*) FROM g) >= 200 AND arg_min(close, ts) > 0)
-    SELECT k.asset, g.ts, round(last_value(b.close IGNORE NULLS) OVER (PARTITION BY k.asset ORDER BY g.ts ROWS UNBOUNDED PRECEDING), 6) AS filled, round(1 - hits / points, 6) AS filled_share
+    SELECT k.asset, g.ts, last_value(b.close IGNORE NULLS) OVER (PARTITION BY k.asset ORDER BY g.ts ROWS UNBOUNDED PRECEDING) AS filled, round(1 - hits / points, 6) AS filled_share
     FROM k CROSS JOIN g LEFT JOIN bars b ON b.asset = k.asset AND b.ts = g.ts""")
 def align_by_coverage(spark, sf_dir):
-    return rounded(ops.align_by_coverage(t.bars(spark, sf_dir, "week")))
+    return ops.align_by_coverage(t.bars(spark, sf_dir, "week")).withColumn("filled_share", F.round("filled_share", 6))
 
 
 @query("c6_pair_join", f"WITH {WK} SELECT x.asset AS a, y.asset AS b, x.ts, x.close AS ca, y.close AS cb FROM bars x JOIN bars y ON x.ts = y.ts AND x.asset < y.asset")
