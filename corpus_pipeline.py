@@ -15,10 +15,8 @@ from tidewater.llm.queries import bpe_digests, tokenizer_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine doesn't reject; it learns from all labels of documents at hand."""
-    labels = table(spark, sf_dir, "labels")
-    own = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_doc"), "toxic")
-    machine = toxicity.learn(docs.join(own, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "toxic"))
+    """Documents that the factorization machine doesn't reject; it learns from the labels of documents at hand."""
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score_toxicity(docs, machine, keep_text=True).where(F.col("predicted") == 0).select(*docs.columns)
 
 

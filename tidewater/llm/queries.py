@@ -61,7 +61,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    machine = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    machine = toxicity.learn(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     held_out = F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
     return toxicity.score_toxicity(docs.select("doc_id", "text", held_out.alias("held_out")), machine)
 

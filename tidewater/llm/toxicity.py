@@ -88,14 +88,16 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"feature": grams, "pos": pos.astype(np.int64), "n": both.astype(np.int64)})
 
 
-def learn(labelled: DataFrame, per_class: int = PER_CLASS) -> Machine:
-    """The machine for doc_id, text and toxic (0 or 1). Rows without text or label teach nothing.
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine:
+    """The machine for texts (doc_id, text) and labels (doc_id, toxic: 0 or 1). Rows without text or label teach nothing.
 
-    What comes to the driver is bounded: FEATURES features, and for some 2 x per_class texts which of these they
-    have. Without rows of both classes the score is the share of toxic rows, 0 if there are none.
+    The labels are sampled before they meet the texts, so what is broadcast is bounded by some 2 x per_class ids. What
+    comes to the driver is bounded too: FEATURES features, and which of these so many texts have. Without rows of
+    both classes the score is the share of toxic rows, 0 if there are none.
     """
-    rows = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    rows = bounded_sample(rows, "toxic", "doc_id", per_class)
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    own = F.broadcast(bounded_sample(usable, "toxic", "doc_id", per_class).withColumnRenamed("doc_id", "_doc"))
+    rows = docs.where(F.col("text").isNotNull()).join(own, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "toxic")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     p, q = float(totals.get(1, 0)), float(totals.get(0, 0))
     if not p or not q:
@@ -146,7 +148,6 @@ def score_toxicity(docs: DataFrame, machine: Machine, keep_text: bool = False) -
     return with_columns(docs, "text", make, "score double, predicted int", keep_text)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
-    """Labelled texts outside the held-out fold; of rows that repeat a doc_id's label, each counts."""
-    own = labels.where(fold_of(F.col("doc_id"), folds) != held_out).select(F.col("doc_id").alias("_doc"), "toxic").where(F.col("toxic").isNotNull())
-    return docs.join(own, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "toxic")
+def training_labels(labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
+    """The labels outside the held-out fold; of a doc_id's repeated labels each counts."""
+    return labels.where(fold_of(F.col("doc_id"), folds) != held_out).select("doc_id", "toxic")
