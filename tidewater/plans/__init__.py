@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables and the SQL they are checked against."""
 
-from . import alignment, bars, curves, flow, forecast, pairs, portfolio, text, triggers  # noqa: F401
+from . import alignment, bars, curves, flow, forecast, pairs, portfolio, streams, text, triggers  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
