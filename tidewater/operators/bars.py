@@ -78,10 +78,10 @@ def flag_outliers(bars: DataFrame, most: float) -> DataFrame:
     inside = lambda f: (f <= most) & (f >= 1 / most)
 
     def step(state: Column, bar: Column) -> Column:
-        factor = bar["close"] / state["kept"]
-        confirmed = F.coalesce((bar["_next"] > 0) & inside(bar["_next"] / bar["close"]), F.lit(False))
+        factor = F.try_divide(bar["close"], state["kept"])
+        confirmed = F.coalesce((bar["_next"] > 0) & inside(F.try_divide(bar["_next"], bar["close"])), F.lit(False))
         fine = (bar["close"] > 0) & (state["kept"].isNull() | inside(factor) | confirmed)
-        row = F.struct(bar["ts"].alias("ts"), fine.alias("kept"), F.greatest(factor, 1 / factor).alias("factor"))
+        row = F.struct(bar["ts"].alias("ts"), fine.alias("kept"), F.greatest(factor, F.try_divide(F.lit(1.0), factor)).alias("factor"))
         return F.struct(F.when(fine, bar["close"]).otherwise(state["kept"]).alias("kept"), F.concat(state["out"], F.array(row)).alias("out"))
 
     flags = rows.select("asset", F.explode(F.aggregate("_bars", start, step)["out"]).alias("_f"))
