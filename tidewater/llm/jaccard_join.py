@@ -38,7 +38,7 @@ WORDS, PERCENT, EXTRA = 5, 80, 0.1
 #: The same share in step 2.
 WIDE = 0.3
 #: Documents and shingles of a region that one task joins; pivots and levels of larger ones before blocks of rows.
-REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS = 1024, 4_000_000, 16, 4
+REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS = 4096, 4_000_000, 16, 4
 #: Random odd numbers, one for each word of a shingle.
 FACTORS = np.frombuffer(hashlib.shake_256(b"shingle words").digest(8 * 16), np.uint64) | np.uint64(1)
 
