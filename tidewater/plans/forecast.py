@@ -209,3 +209,25 @@ def freshness(spark, sf_dir):
 def path_metrics(spark, sf_dir):
     mae, naive = F.avg(F.abs(F.col("combined") - F.col("actual_return"))), F.avg(F.abs("actual_return"))
     return rounded(scores(spark, sf_dir).where("rn % 5 = 0").groupBy("h").agg(F.count(F.lit(1)).alias("n"), mae.alias("mae"), naive.alias("naive_mae"), (mae / naive).alias("ratio"), F.avg(F.col("combined") - F.col("actual_return")).alias("bias")))
+
+
+@query("j8_holdout_metrics", f"""{B}{CM}{SC} SELECT h, count(*) AS n, round(avg(abs(combined - actual_return)), 6) AS mae, round(avg(abs(actual_return)), 6) AS naive_mae, round(avg(CASE WHEN combined <> 0 AND sign(combined) = sign(actual_return) THEN 1.0 ELSE 0 END), 6) AS direction_hit,
+    round(coalesce(corr(combined, actual_return), 0), 6) AS r FROM sc WHERE ts >= TIMESTAMP '2000-01-01' GROUP BY 1""")
+def holdout_metrics(spark, sf_dir):
+    from tidewater.functions.series import correlation
+
+    called = (F.col("combined") != 0) & (F.signum("combined") == F.signum("actual_return"))
+    rows = scores(spark, sf_dir).where("ts >= TIMESTAMP '2000-01-01'").groupBy("h")
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("combined") - F.col("actual_return"))).alias("mae"), F.avg(F.abs("actual_return")).alias("naive_mae"), F.avg(called.cast("double")).alias("direction_hit"), correlation("combined", "actual_return").alias("r")))
+
+
+@query("k24_history_listing", f"{B}{CM}{SC} SELECT asset, h, ts, round(100 * (exp(combined) - 1), 5) AS delta_pct, round(100 * (actual_close / close - 1), 5) AS move_pct FROM sc ORDER BY ts DESC, asset, h LIMIT 200")
+def history_listing(spark, sf_dir):
+    rows = scores(spark, sf_dir).orderBy(F.desc("ts"), "asset", "h").limit(200)
+    return rounded(rows.select("asset", "h", "ts", (100 * (F.exp("combined") - 1)).alias("delta_pct"), (100 * (F.col("actual_close") / F.col("close") - 1)).alias("move_pct")), 5)
+
+
+@query("k34_track_read", f"{B}{CM} SELECT asset, h, target_ts, ts, round(combined, 6) AS combined, target_ts < TIMESTAMP '2001-01-01' AS scored FROM cm WHERE asset = 'Brand#12' AND target_ts >= TIMESTAMP '2000-01-01'")
+def track_read(spark, sf_dir):
+    rows = ops.combine(made(spark, sf_dir).where("asset = 'Brand#12'")).where("target_ts >= TIMESTAMP '2000-01-01'")
+    return rounded(rows.select("asset", "h", "target_ts", "ts", "combined", F.expr("target_ts < TIMESTAMP '2001-01-01'").alias("scored")))

@@ -201,3 +201,29 @@ def reversal_summary(spark, sf_dir):
 def region_lead(spark, sf_dir):
     regions = t.assets(spark, sf_dir).select("asset", "region", F.when(F.col("region") == "ASIA", 6).when(F.col("region") == "EURO", 16).otherwise(21).alias("closes"))
     return rounded(ops.region_lead(t.bars(spark, sf_dir), regions, 200))
+
+
+@query("a6_pair_stat_upsert", f"""{W_STATS}, old AS (SELECT a, b, n, round(corr0, 6) AS corr0 FROM ps WHERE a < 'Brand#2'), fresh AS (SELECT a, b, n + 1 AS n, round(-corr0, 6) AS corr0 FROM ps WHERE b >= 'Brand#2')
+    SELECT coalesce(f.a, o.a) AS a, coalesce(f.b, o.b) AS b, coalesce(f.n, o.n) AS n, coalesce(f.corr0, o.corr0) AS corr0 FROM old o FULL JOIN fresh f ON f.a = o.a AND f.b = o.b""")
+def pair_stat_upsert(spark, sf_dir):
+    from tidewater.operators.bars import upsert
+
+    own = stats(spark, sf_dir)
+    old = own.where("a < 'Brand#2'").select("a", "b", "n", F.round("corr0", 6).alias("corr0"))
+    fresh = own.where("b >= 'Brand#2'").select("a", "b", (F.col("n") + 1).alias("n"), F.round(-F.col("corr0"), 6).alias("corr0"))
+    return upsert(old, fresh, ["a", "b"])
+
+
+@query("l6_reversal_report", f"WITH {WK}{CLOSES}{CROSS}{STUDY} SELECT a, b, n, round(hits / n, 6) AS hit_rate, round(1.96 / sqrt(n), 6) AS threshold, abs(hits / n - 0.5) > 0.5 * 1.96 / sqrt(n) AS significant FROM st")
+def reversal_report(spark, sf_dir):
+    hit, threshold = F.col("hits") / F.col("n"), 1.96 / F.sqrt("n")
+    return rounded(reversal(spark, sf_dir).select("a", "b", "n", hit.alias("hit_rate"), threshold.alias("threshold"), (F.abs(hit - 0.5) > 0.5 * threshold).alias("significant")))
+
+
+@query("c18_region_order", f"""WITH {A}, r AS (SELECT region, CASE region WHEN 'ASIA' THEN 6 WHEN 'EURO' THEN 16 ELSE 21 END AS closes, count(*) AS n FROM assets GROUP BY 1)
+    SELECT e.region AS early, l.region AS late, l.closes - e.closes AS hours, e.n AS n_early, l.n AS n_late FROM r e JOIN r l ON e.region <> l.region AND l.closes > e.closes""")
+def region_order(spark, sf_dir):
+    regions = t.assets(spark, sf_dir).groupBy("region").agg(F.count(F.lit(1)).alias("n")).withColumn("closes", F.when(F.col("region") == "ASIA", 6).when(F.col("region") == "EURO", 16).otherwise(21))
+    e, late = regions.alias("e"), regions.alias("l")
+    met = e.join(late, F.expr("e.region <> l.region AND l.closes > e.closes"))
+    return met.select(F.col("e.region").alias("early"), F.col("l.region").alias("late"), F.expr("l.closes - e.closes").alias("hours"), F.col("e.n").alias("n_early"), F.col("l.n").alias("n_late"))
