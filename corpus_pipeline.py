@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
-from tidewater.llm.common import shared_folder, table
+from tidewater.llm.common import shared_folder, staged, table
 from tidewater.llm.queries import bpe_digests, tokenizer_path
 
 
@@ -36,7 +36,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says; the default targets need none twice."""
-    rated = mixing.fit_rates(docs)
+    # written first: a filter on copies would otherwise be pushed down as the whole expression of the rates
+    rated = staged(mixing.fit_rates(docs).select(*docs.columns, "copies"), "rated")
     return rated.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
