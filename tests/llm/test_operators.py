@@ -108,6 +108,15 @@ def test_mixing_meets_targets(spark):
     assert {r["rate"] for r in mixing.fit_rates(df.withColumn("source", F.lit(None).cast("string"))).collect()} == {1.0}
 
 
+def test_mixing_sees_long_texts(spark):
+    rng = random.Random(5)
+    word = lambda s: f"{s}{rng.randrange(20000)}" if rng.random() < 0.5 else f"w{rng.randrange(5000)}"
+    docs = [(i, " ".join(word(s) for _ in range(12000)), s if i >= 8 else None, s) for i, s in enumerate("ab" * 20)]
+    df = spark.createDataFrame([d[:3] for d in docs], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["domain_pred"], max(r["posterior"])) for r in mixing.fit_rates(df).collect()}
+    assert all(got[i][0] == s and got[i][1] > 0.8 for i, _, _, s in docs)
+
+
 def test_mixing_matches_numpy(spark):
     rng = np.random.default_rng(0)
     p, tokens = rng.dirichlet([0.3] * 3, 200), rng.integers(10, 200, 200)

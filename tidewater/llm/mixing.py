@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Hash buckets of words, weight of all a text's words together against a declared domain, trust in a declared one.
-BUCKETS, EVIDENCE, TRUST = 128, 20.0, 0.98
+BUCKETS, EVIDENCE, TRUST = 4096, 20.0, 0.98
 #: Iterations of the fit at most, and the largest relative residual that ends it.
 ITERATIONS, TOLERANCE = 40, 1e-3
 #: Exponent that flattens the domains' own shares into default targets.
@@ -34,8 +34,8 @@ def words_of(text: Column) -> Column:
 
 
 def buckets_of(words: Column, buckets: int) -> Column:
-    """The hash buckets of a text's different words."""
-    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+    """The hash bucket of each of a text's different words. Words that share one count each: long texts don't fill up."""
+    return F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
 def literal(values: list[float]) -> Column:
@@ -44,7 +44,7 @@ def literal(values: list[float]) -> Column:
 
 
 def with_features(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs with tokens, the number of words, and _found, the hash buckets of its different words."""
+    """docs with tokens, the number of words, and _found, the hash bucket of each different word."""
     words = words_of(F.col("text"))
     return docs.withColumn("tokens", F.size(words).cast("long")).withColumn("_found", buckets_of(words, buckets))
 
@@ -57,15 +57,23 @@ def flattened(features: DataFrame, domain: str, flatten: float = FLATTEN) -> dic
 
 
 def learn_classifier(features: DataFrame, domains: list[str], domain: str, buckets: int) -> tuple[list[float], list[list[float]]]:
-    """Log priors, and for each domain the log likelihoods of the buckets: what comes to the driver is that many numbers."""
+    """Log priors, and for each domain the log likelihoods of the buckets: what comes to the driver is that many numbers.
+
+    A domain's counts are smoothed by as many of all domains' as there are buckets, so that one with few words is near
+    the mean and not near an even spread, which would speak against all that is common.
+    """
     named = features.where(F.col(domain).isin(domains))
     rows = named.select(F.col(domain).alias("_domain"), F.explode("_found").alias("_bucket")).groupBy("_domain", "_bucket").count().collect()
     counts = {(r["_domain"], r["_bucket"]): r["count"] for r in rows}
     held = {r[0]: r[1] for r in named.groupBy(domain).count().collect()}
     everything = sum(held.values()) + len(domains)
+    spread = [1] * buckets
+    for (_, b), n in counts.items():
+        spread[b] += n
+    mean = buckets / sum(spread)
     table = []
     for d in domains:
-        own = [counts.get((d, b), 0) + 1 for b in range(buckets)]
+        own = [counts.get((d, b), 0) + mean * spread[b] for b in range(buckets)]
         table.append([math.log(n / sum(own)) for n in own])
     return [math.log((held.get(d, 0) + 1) / everything) for d in domains], table
 
@@ -142,8 +150,9 @@ def fit_rates(docs: DataFrame, targets: dict[str, float] | None = None, domain:
     domains = sorted(targets)
     weights = [targets[d] / sum(targets.values()) for d in domains]
     model = learn_classifier(features, domains, domain, buckets)
-    steps, _ = fit_steps(staged(with_posterior(features, domains, model, domain).select("tokens", "posterior"), "posteriors"), weights)
-    rated = with_posterior(with_features(docs, buckets), domains, model, domain).withColumn("rate", rate_at(F.col("posterior"), steps))
+    placed = staged(with_posterior(with_features(docs, buckets), domains, model, domain).drop("_found"), "posteriors")
+    steps, _ = fit_steps(placed, weights)
+    rated = placed.withColumn("rate", rate_at(F.col("posterior"), steps))
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")
