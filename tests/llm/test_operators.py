@@ -50,6 +50,22 @@ def test_html_without_article_element():
     assert html_extract.main_text("<script>never ends") == ""
 
 
+def test_html_closes_over_many_children():
+    long = "This is running text that goes on for a while and says things, so that it is clearly the content of the page."
+    for before in (
+        "<svg>" + "<path d='M0 0'/>" * 100 + "</svg>",
+        "<svg>" + "<g>" * 100 + "</svg>",
+        "<nav><dl>" + "<dt>a<dd>b" * 100 + "</dl></nav>",
+        "<aside><table>" + "<tr><td>a<td>b" * 100 + "</table></aside>",
+        "<aside><table>" + "<tr><th><b>a<td>b" * 100 + "</table></aside>",
+    ):
+        assert html_extract.main_text(f"<body>{before}<p>{long}</p></body>") == long
+    assert html_extract.main_text(f"<body><article><p>{long}</p>{'<div>' * 100}</article><p>{long}</p></body>") == long
+    lines = html_extract.strip_markup("<table>" + "<tr><td>a<td>b" * 100 + "</table><p>c")
+    assert [x[0] for x in lines if x[0]] == ["a", "b"] * 100 + ["c"]
+    assert html_extract.main_text("<b><i>" * 20000 + "</u>" * 20000 + long) == long
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,6 +32,9 @@ UNSEEN = {"script", "style", "noscript", "template", "textarea", "title", "svg",
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: What an opening tag ends of the items it stands beside, also past inline elements left open.
+ENDS = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
+ENDS |= dict.fromkeys(("thead", "tbody", "tfoot"), {"td", "th", "tr", "thead", "tbody", "tfoot"})
 BESIDE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"}
 BESIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Words in a class or id of what stands beside an article.
@@ -77,6 +81,14 @@ def strip_markup(page: str) -> list[tuple[str, int, bool, bool]]:
     parts: list[str] = []
     links = pos = 0  # links: characters of the line so far that stand in links
     opened: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]  # name, unseen, beside, article, link
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where in opened each name stands
+    solid = [0]  # where in opened what isn't inline stands
+
+    def close(at: int) -> None:
+        while len(opened) > at:
+            places[opened.pop()[0]].pop()
+        while solid[-1] >= at:
+            solid.pop()
 
     def end_line() -> None:
         nonlocal links
@@ -102,14 +114,18 @@ def strip_markup(page: str) -> list[tuple[str, int, bool, bool]]:
         if name not in INLINE:
             end_line()
         if closing:
-            at = next((i for i in range(len(opened) - 1, max(0, len(opened) - 65), -1) if opened[i][0] == name), 0)
-            if at:
-                del opened[at:]
+            if places[name]:
+                close(places[name][-1])
             continue
-        if name in VOID or attributes.endswith("/") and name in ("svg", "math"):
+        if name in VOID or attributes.endswith("/") and (name in ("svg", "math") or places["svg"] or places["math"]):
             continue
-        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and opened[-1][0] == name or name in ("a", "b", "i") and opened[-1][0] == name:
-            opened.pop()
+        while opened[solid[-1]][0] in ENDS.get(name, ()):
+            close(solid[-1])
+        if name in ("p", "li", "option", "a", "b", "i") and opened[-1][0] == name:
+            close(len(opened) - 1)
+        places[name].append(len(opened))
+        if name not in INLINE:
+            solid.append(len(opened))
         _, unseen, aside, article, link = opened[-1]
         opened.append((name, unseen or name in UNSEEN, aside or beside(name, attributes, article), article or names_article(name, attributes), link or name == "a"))
         if name in RAW:
