@@ -35,7 +35,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says; the default targets need none twice."""
+    """Each document as often as its rate says: those of scarce sources more than once."""
     # written first: a filter on copies would otherwise be pushed down as the whole expression of the rates
     rated = staged(mixing.fit_rates(docs).select(*docs.columns, "copies"), "rated")
     return rated.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -133,6 +133,23 @@ def test_mixing_sees_long_texts(spark):
     assert all(got[i][0] == s and got[i][1] > 0.8 for i, _, _, s in docs)
 
 
+def test_mixing_meets_the_target_of_a_very_small_source(spark):
+    # words tell nothing; one source has a third of the tokens, one about 0.001 %
+    docs = [(i, 200, "s0") for i in range(2000)] + [(3000 + i, 200, f"s{1 + i % 18}") for i in range(3996)] + [(9000, 12, "tiny")]
+    df = spark.createDataFrame([(i, "same words " * (n // 2), s) for i, n, s in docs], "doc_id long, text string, source string")
+    out = mixing.fit_rates(df).collect()
+    own = {s: sum(n for _, n, e in docs if e == s) for s in {d[2] for d in docs}}
+    powers = {s: n**mixing.FLATTEN for s, n in own.items()}
+    want = np.array([powers[s] for s in sorted(own)]) / sum(powers.values()) * sum(own.values())
+    got = sum(r["rate"] * r["tokens"] * np.array(r["posterior"]) for r in out)
+    assert np.allclose(got, want, rtol=2e-3)
+    assert next(r for r in out if r["source"] == "tiny")["copies"] >= 10
+    rates = [r["rate"] for r in out if r["source"] == "s5"]
+    assert min(rates) > 0.9
+    ghost = mixing.fit_rates(df.where("source in ('s1', 's2')"), {"s1": 0.25, "s2": 0.25, "nowhere": 0.5}).collect()
+    assert all(abs(r["rate"] - 1) < 0.01 for r in ghost)
+
+
 def test_mixing_matches_numpy(spark):
     rng = np.random.default_rng(0)
     p, tokens = rng.dirichlet([0.3] * 3, 200), rng.integers(10, 200, 200)

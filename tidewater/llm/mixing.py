@@ -13,6 +13,7 @@ All of it is DataFrame expressions; no Python runs on the executors.
 from __future__ import annotations
 
 import json
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -22,10 +23,11 @@ from .common import staged
 
 #: Hash buckets of words, weight of all a text's words together against a declared domain, trust in a declared one.
 BUCKETS, EVIDENCE, TRUST = 4096, 20.0, 0.98
-#: Iterations of the fit at most, and the largest relative residual that ends it.
-ITERATIONS, TOLERANCE = 40, 1e-3
+#: Largest relative residual that ends the fit. It also ends when so many iterations haven't lessened the least by this share.
+TOLERANCE, PATIENCE, PROGRESS = 1e-3, 50, 0.01
 #: Exponent that flattens the domains' own shares into default targets.
 FLATTEN = 0.7
+LOG = logging.getLogger(__name__)
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -56,8 +58,8 @@ def flattened(features: DataFrame, domain: str, flatten: float = FLATTEN) -> dic
     return {k: v / sum(powers.values()) for k, v in sorted(powers.items())}
 
 
-def learn_classifier(features: DataFrame, domains: list[str], domain: str, buckets: int) -> tuple[list[float], list[list[float]]]:
-    """Log priors, and for each domain the log likelihoods of the buckets: what comes to the driver is that many numbers.
+def learn_classifier(features: DataFrame, domains: list[str], domain: str, buckets: int) -> tuple[list[float], list[float], list[list[float]]]:
+    """Log priors, shares of the tokens, and for each domain the log likelihoods of the buckets: that many numbers on the driver.
 
     A domain's counts are smoothed by as many of all domains' as there are buckets, so that one with few words is near
     the mean and not near an even spread, which would speak against all that is common.
@@ -65,8 +67,9 @@ def learn_classifier(features: DataFrame, domains: list[str], domain: str, bucke
     named = features.where(F.col(domain).isin(domains))
     rows = named.select(F.col(domain).alias("_domain"), F.explode("_found").alias("_bucket")).groupBy("_domain", "_bucket").count().collect()
     counts = {(r["_domain"], r["_bucket"]): r["count"] for r in rows}
-    held = {r[0]: r[1] for r in named.groupBy(domain).count().collect()}
-    everything = sum(held.values()) + len(domains)
+    sizes = {r[0]: (r[1], r[2] or 0) for r in named.groupBy(domain).agg(F.count("*"), F.sum("tokens")).collect()}
+    held = [sizes.get(d, (0, 0))[0] + 1 for d in domains]
+    tokens = [sizes.get(d, (0, 0))[1] + 1 for d in domains]
     spread = [1] * buckets
     for (_, b), n in counts.items():
         spread[b] += n
@@ -75,23 +78,30 @@ def learn_classifier(features: DataFrame, domains: list[str], domain: str, bucke
     for d in domains:
         own = [counts.get((d, b), 0) + mean * spread[b] for b in range(buckets)]
         table.append([math.log(n / sum(own)) for n in own])
-    return [math.log((held.get(d, 0) + 1) / everything) for d in domains], table
+    return [math.log(n / sum(held)) for n in held], [n / sum(tokens) for n in tokens], table
 
 
-def with_posterior(features: DataFrame, domains: list[str], model: tuple[list[float], list[list[float]]], domain: str) -> DataFrame:
-    """features with posterior (array<double>, in the order of domains) added."""
-    priors, table = model
-    hit, miss = math.log(TRUST), math.log((1 - TRUST) / max(1, len(domains) - 1))
+def with_posterior(features: DataFrame, domains: list[str], model: tuple[list[float], list[float], list[list[float]]], domain: str) -> DataFrame:
+    """features with posterior (array<double>, in the order of domains) added.
+
+    What isn't trusted of a declared domain goes to the others in proportion to their tokens: by an even split, a
+    large domain would give a small one more than it has itself.
+    """
+    priors, shares, table = model
     known = F.coalesce(F.col(domain).isin(domains), F.lit(False))
     n = F.greatest(F.size("_found"), F.lit(1))
 
-    def log_of(d: str, prior: float, likelihoods: list[float]) -> Column:
+    # log of what is left of a declared domain for all others, before their shares
+    left = {d: math.log((1 - TRUST) / max(1e-300, sum(s for e, s in zip(domains, shares, strict=True) if e != d))) for d in domains}
+    left_of = F.try_element_at(F.create_map(*[F.lit(x) for item in left.items() for x in item]), F.col(domain))
+
+    def log_of(d: str, prior: float, share: float, likelihoods: list[float]) -> Column:
         # the words' mean log likelihood times EVIDENCE: long texts aren't surer than short ones by their length alone
         values = literal(likelihoods)
         words = F.aggregate("_found", F.lit(0.0), lambda total, b: total + F.get(values, b))
-        return words * (EVIDENCE / n) + F.when(~known, F.lit(prior)).when(F.col(domain) == d, F.lit(hit)).otherwise(F.lit(miss))
+        return words * (EVIDENCE / n) + F.when(~known, F.lit(prior)).when(F.col(domain) == d, F.lit(math.log(TRUST))).otherwise(left_of + F.lit(math.log(share)))
 
-    rows = features.withColumn("_log", F.array(*[log_of(*x) for x in zip(domains, priors, table, strict=True)]))
+    rows = features.withColumn("_log", F.array(*[log_of(*x) for x in zip(domains, priors, shares, table, strict=True)]))
     rows = rows.withColumn("_exp", F.transform("_log", lambda x: F.exp(x - F.array_max("_log"))))
     rows = rows.withColumn("_total", F.aggregate("_exp", F.lit(0.0), lambda a, x: a + x))
     return rows.withColumn("posterior", F.transform("_exp", lambda x: x / F.col("_total"))).drop("_log", "_exp", "_total")
@@ -105,29 +115,45 @@ def rate_at(posterior: Column, steps: list[float]) -> Column:
     return F.greatest(F.lit(0.0), moved)
 
 
-def fit_steps(placed: DataFrame, weights: list[float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[float], float]:
-    """The summed gradient steps of the fit and its last relative residual; placed has tokens and posterior.
+def fit(placed: DataFrame, weights: list[float], budget: float | None = None, iterations: int | None = None, tolerance: float = TOLERANCE) -> tuple[list[float], list[float]]:
+    """The summed gradient steps that left the least residual, and each domain's relative one; placed has tokens and posterior.
 
-    The targets share out as many tokens as need no document twice if domains were told apart without doubt. The
-    residuals are weighed by the domains' own expected tokens, which makes a step of one safe: the gradient's
-    matrix is then a mean of posteriors and has no eigenvalue above one. Rates start at 1 and are projected from the
-    sum of all steps, so of all rates that meet the targets the fit tends to those nearest 1.
+    budget: the tokens that the targets share out; by default as many as need no document twice if domains were told
+    apart without doubt. The residuals are weighed by the domains' own expected tokens, which makes a step of one safe:
+    the gradient's matrix is then a mean of posteriors and has no eigenvalue above one. Rates start at 1 and are projected
+    from the sum of all steps, so of all rates that meet the targets the fit tends to those nearest 1. Without a bound
+    on iterations it goes on as long as the residual moves; targets out of reach leave one that is given back.
     """
     k = len(weights)
     sums = lambda rate: [F.sum(rate * F.col("tokens") * F.get("posterior", F.lit(d))).alias(f"t{d}") for d in range(k)]
     own = [x or 0.0 for x in placed.agg(*sums(F.lit(1.0))).first()]
-    budget = min((own[d] / weights[d] for d in range(k) if weights[d] > 0), default=0.0)
-    steps, worst = [0.0] * k, 0.0
+    if budget is None:
+        budget = min((own[d] / weights[d] for d in range(k) if weights[d] > 0), default=0.0)
+    steps, best, last, mark, done = [0.0] * k, ([0.0] * k, [0.0] * k), math.inf, math.inf, 0
     if budget <= 0:
-        return steps, worst
+        return best
     targets = [w * budget for w in weights]
-    for _ in range(iterations):
+    while iterations is None or done < iterations:
         got = [x or 0.0 for x in placed.agg(*sums(rate_at(F.col("posterior"), steps))).first()]
-        worst = max(abs(g - t) / t for g, t in zip(got, targets, strict=True) if t > 0)
+        off = [(g - t) / t if t > 0 else 0.0 for g, t in zip(got, targets, strict=True)]
+        worst = max(map(abs, off))
+        if worst < last:
+            best, last = (steps, off), worst
         if worst <= tolerance:
             break
+        done += 1
+        if done % PATIENCE == 0:
+            if last > mark * (1 - PROGRESS):
+                break
+            mark = last
         steps = [s + ((g - t) / o if o > 0 else 0.0) for s, g, t, o in zip(steps, got, targets, own, strict=True)]
-    return steps, worst
+    return best
+
+
+def fit_steps(placed: DataFrame, weights: list[float], iterations: int | None = None, tolerance: float = TOLERANCE) -> tuple[list[float], float]:
+    """The steps of the fit within what needs no document twice, and the largest relative residual."""
+    steps, off = fit(placed, weights, iterations=iterations, tolerance=tolerance)
+    return steps, max(map(abs, off), default=0.0)
 
 
 def fit_rates(docs: DataFrame, targets: dict[str, float] | None = None, domain: str = "source", buckets: int = BUCKETS) -> DataFrame:
@@ -135,7 +161,10 @@ def fit_rates(docs: DataFrame, targets: dict[str, float] | None = None, domain:
 
     rate is how often a document should be read; copies is the whole number drawn for it, the rate rounded up or down
     by a hash of its doc_id, so that the sum comes out as expected. targets: a weight for each domain, normalised
-    here; without them the domains' own shares, flattened. Domains without a target weigh nothing but by their
+    here; without them the domains' own shares, flattened. They share out as many tokens as the table has, so scarce
+    domains are read more than once and no domain is thinned for another's sake. What the fit leaves of each target is
+    logged, and warned of where it is more than the tolerance; so is a domain that no row with words declares, and the
+    others share out the tokens. Domains without a target weigh nothing but by their
     likeness to the others; null domains are placed by the words. Null and empty texts have no tokens and keep the
     rate that their posterior gives. Repeated rows get the same rate; without any domain all rates are 1; an empty
     table gives an empty result. Columns of the added names are replaced.
@@ -143,7 +172,10 @@ def fit_rates(docs: DataFrame, targets: dict[str, float] | None = None, domain:
     kept = [c for c in docs.columns if c not in ("tokens", "domain_pred", "posterior", "rate", "copies", "_found")]
     docs = docs.select(*kept)
     features = staged(with_features(docs.select("text", domain), buckets).drop("text"), "features")
-    targets = targets or flattened(features, domain)
+    own = flattened(features, domain)
+    for d in sorted(d for d, w in (targets or {}).items() if d not in own and w > 0):
+        LOG.warning("%s: no row with words declares it, so nothing can meet its target of %.3g", d, targets[d])
+    targets = {d: w for d, w in (targets or own).items() if d in own}
     if not targets:
         none = {"domain_pred": F.lit(None).cast("string"), "posterior": F.array().cast("array<double>"), "rate": F.lit(1.0), "copies": F.lit(1)}
         return with_features(docs, buckets).drop("_found").withColumns(none)
@@ -151,7 +183,9 @@ def fit_rates(docs: DataFrame, targets: dict[str, float] | None = None, domain:
     weights = [targets[d] / sum(targets.values()) for d in domains]
     model = learn_classifier(features, domains, domain, buckets)
     placed = staged(with_posterior(with_features(docs, buckets), domains, model, domain).drop("_found"), "posteriors")
-    steps, _ = fit_steps(placed, weights)
+    steps, residuals = fit(placed, weights, float(placed.agg(F.sum("tokens")).first()[0] or 0))
+    for d, off in zip(domains, residuals, strict=True):
+        LOG.log(logging.WARNING if abs(off) > TOLERANCE else logging.INFO, "%s: expected tokens %+.3g of the target %.3g", d, off, targets[d])
     rated = placed.withColumn("rate", rate_at(F.col("posterior"), steps))
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
