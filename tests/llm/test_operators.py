@@ -66,6 +66,24 @@ def test_html_closes_over_many_children():
     assert html_extract.main_text("<b><i>" * 20000 + "</u>" * 20000 + long) == long
 
 
+def test_html_article_in_what_looks_beside():
+    long = "This is running text that goes on for a while and says things, so that it is clearly the content of the page."
+    for name in ("class='no-sidebar'", "class='content has-sidebar'", "id='layout-with-nav'"):
+        assert html_extract.main_text(f"<body><div {name}><p>{long}</p></div></body>") == long
+    for outer in ("<form id='aspnetForm'>", "<div class='page sidebar-right'>", "<div id='menu-layout'>"):
+        for inner in ("<article>", "<main>", "<div itemprop='articleBody'>"):
+            assert html_extract.main_text(f"<body>{outer}{inner}<p>{long}</p></body>") == long
+    inner = f"<div><p>{long}</p><p>{long}</p></div><form><label>Your name and what you want to tell us</label></form><nav>Home and other places</nav>"
+    for outer in ("<form id='aspnetForm'>", "<div class='page menu-left'>"):
+        assert html_extract.main_text(f"<body>{outer}{inner}") == f"{long} {long}"
+    assert html_extract.main_text(f"<body><div><p>{long}</p></div><form><p>{long[:60]}</p></form>") == long
+    teaser = "<article><p>Another story on this site that readers may well want to open and read next.</p></article>"
+    for outer in ("<aside>", "<div class='related'>", "<div id='sidebar'>", "<section class='comments'>", "<div hidden>"):
+        assert html_extract.main_text(f"<body>{outer}{teaser}") == ""
+    for outer in ("<section class='comments'>", "<div hidden>", "<div style='display:none'>"):
+        assert html_extract.main_text(f"<body>{outer}<main><p>{long}</p></main>") == ""
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -46,41 +46,65 @@ BESIDE_WORDS = {
     "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion", "form", "search",
 }
 ARTICLE_WORDS = {"articlebody", "article-body", "post-content", "entry-content", "article-content", "story-body", "post-body"}
+#: Words of comment blocks: an article inside is a reader's. Teasers: a mere <article> inside is about another page.
+COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion"}
+TEASERS, TEASER_WORDS = {"nav", "footer", "aside", "menu"}, {"related", "recommended", "promo", "promotion", "sponsor", "sponsored", "ad", "ads", "advert", "adverts", "widget", "widgets"}
 WORDS = re.compile(r"[A-Za-z][a-z]*")
+#: Layout modifiers: a name that has one tells what the page has, not what the element is.
+MODIFIER = re.compile(r"(?:^|[-_])(?:no|has|have|with|without)[-_]", re.I)
+CONTAINERS = {"article", "content", "post", "entry", "main", "story", "page", "wrapper", "container", "layout"}
+#: How firmly an element is beside: if it holds no more than half of the page's text, till a named article opens, till
+#: <main> or an article body opens, for good.
+LOOSE, WEAK, TEASER, FIRM = 1, 2, 3, 4
 
 
-def beside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element says that it is no article text."""
-    if name in BESIDE or name == "header" and not in_article:
-        return True
+def words_in(held: dict[str, str]) -> set[str]:
+    """The words of class and id, but for names with a layout modifier."""
+    return {w.lower() for k in ("class", "id") for part in held.get(k, "").split() if not MODIFIER.search(part) for w in WORDS.findall(part)}
+
+
+def beside(name: str, attributes: str, in_article: bool) -> int:
+    """How firmly an element says that it is no article text, or 0."""
+    by_name = TEASER if name in TEASERS else LOOSE if name in ("form", "fieldset") else WEAK if name in BESIDE or name == "header" and not in_article else 0
     if not attributes.strip() or name in ("html", "body", "main", "h1"):
-        return False
+        return by_name
     held = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    if held.get("role", "").lower() in BESIDE_ROLES or held.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", ATTRIBUTE.sub(" ", attributes)):
-        return True
+    if held.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", ATTRIBUTE.sub(" ", attributes)):
+        return FIRM
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", held.get("style", ""), re.I):
-        return True
-    own = {w.lower() for k in ("class", "id") for w in WORDS.findall(held.get(k, ""))}
+        return FIRM
+    own, loose = words_in(held) - ({"form"} if by_name == LOOSE else set()), False
     if in_article:
         own -= {"header", "toc", "legal", "discussion", "alert", "notice"} if {"article", "post", "entry", "content"} & own else set()
-    elif {"article", "content", "post", "entry", "main", "story", "page", "wrapper", "container", "layout"} & own:
+    elif CONTAINERS & own:
+        loose = True
         own &= {"comment", "comments", "sidebar", "footer", "related", "nav", "menu", "ad", "ads"}
-    return bool(own & BESIDE_WORDS)
+    if own & COMMENT_WORDS:
+        return FIRM
+    if not loose and own & (TEASER_WORDS | {"sidebar"}):
+        return TEASER
+    if loose and own:
+        return max(by_name, LOOSE)
+    return max(by_name, WEAK if own & BESIDE_WORDS or held.get("role", "").lower() in BESIDE_ROLES else 0)
 
 
-def names_article(name: str, attributes: str) -> bool:
+def names_article(name: str, attributes: str) -> int:
+    """The firmest mark of being beside that an element lifts as it names an article; 0 if it names none."""
     if name in ("article", "main"):
-        return True
+        return TEASER if name == "main" or "articlebody" in attributes.lower() else WEAK
     held = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
-    return held.get("role") in ("main", "article") or held.get("itemprop") == "articlebody" or bool({*held.get("class", "").split(), held.get("id", "")} & ARTICLE_WORDS)
+    if held.get("role") == "main" or held.get("itemprop") == "articlebody" or {*held.get("class", "").split(), held.get("id", "")} & ARTICLE_WORDS:
+        return TEASER
+    return WEAK if held.get("role") == "article" else 0
 
 
 def strip_markup(page: str) -> list[tuple[str, int, bool, bool]]:
     """The page's lines: text, its length outside links, beside the article or not, in a named article or not."""
-    lines: list[tuple[str, int, bool, bool]] = []
+    lines: list[tuple[str, int, int, bool, int]] = []  # text, length, how firmly beside, article, loose
+    outer = [0]  # for each loose element the one around it; 0 is none
     parts: list[str] = []
     links = pos = 0  # links: characters of the line so far that stand in links
-    opened: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]  # name, unseen, beside, article, link
+    opened: list[tuple[str, bool, int, bool, bool, int]] = [("", False, 0, False, False, 0)]  # name, unseen, beside, article, link, loose
     places: defaultdict[str, list[int]] = defaultdict(list)  # where in opened each name stands
     solid = [0]  # where in opened what isn't inline stands
 
@@ -93,14 +117,14 @@ def strip_markup(page: str) -> list[tuple[str, int, bool, bool]]:
     def end_line() -> None:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
-        lines.append((text, max(0, len(text) - links), opened[-1][2], opened[-1][3]))
+        lines.append((text, max(0, len(text) - links), opened[-1][2], opened[-1][3], opened[-1][5]))
         parts.clear()
         links = 0
 
     while pos <= len(page):
         tag = TAG.search(page, pos)
         text = page[pos : tag.start() if tag else len(page)]
-        _, unseen, _, _, link = opened[-1]
+        _, unseen, _, _, link, _ = opened[-1]
         if text and not unseen:
             parts.append(text)
             links += len(text.strip()) if link else 0
@@ -126,13 +150,29 @@ def strip_markup(page: str) -> list[tuple[str, int, bool, bool]]:
         places[name].append(len(opened))
         if name not in INLINE:
             solid.append(len(opened))
-        _, unseen, aside, article, link = opened[-1]
-        opened.append((name, unseen or name in UNSEEN, aside or beside(name, attributes, article), article or names_article(name, attributes), link or name == "a"))
+        _, unseen, aside, article, link, loose = opened[-1]
+        lifts, own = names_article(name, attributes), beside(name, attributes, article)
+        # an article that opens here is no longer beside, but for what its own element says
+        if lifts and aside <= lifts:
+            aside = loose = 0
+        if own == LOOSE:
+            outer.append(loose)
+            loose = len(outer) - 1
+        aside = max(aside, own)
+        opened.append((name, unseen or name in UNSEEN, aside, article or lifts > 0, link or name == "a", loose))
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}", re.I).search(page, pos)
             pos = end.start() if end else len(page)
     end_line()
-    return lines
+    held = [0] * len(outer)
+    for _, n, _, _, loose in lines:
+        held[loose] += n
+    for i in range(len(outer) - 1, 0, -1):
+        held[outer[i]] += held[i]
+    most = [True]  # whether a loose element and all around it hold most of the page's text
+    for i in range(1, len(outer)):
+        most.append(most[outer[i]] and 2 * held[i] > held[0])
+    return [(text, n, aside > LOOSE or not most[loose], article) for text, n, aside, article, loose in lines]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> str:
