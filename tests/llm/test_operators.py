@@ -359,11 +359,11 @@ def brute_components(docs):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-@pytest.mark.parametrize("region_docs", [1024, 8])
-def test_jaccard_join(spark, region_docs):
+@pytest.mark.parametrize("block_docs", [512, 8])
+def test_jaccard_join(spark, block_docs):
     docs = near_rows()
     df = spark.createDataFrame(docs, DOC).withColumn("component_id", F.lit("clash")).repartition(5)
-    got = {d: (n, c) for d, n, c in rows(jaccard_join.near_duplicate_components(df, region_docs=region_docs), "doc_id", "n_shingles", "component_id")}
+    got = {d: (n, c) for d, n, c in rows(jaccard_join.near_duplicate_components(df, block_docs=block_docs), "doc_id", "n_shingles", "component_id")}
     assert got.pop(None) == (1, None)
     assert got == brute_components(docs)
 
@@ -374,13 +374,58 @@ def test_jaccard_join_of_nothing(spark):
     assert {r["component_id"] for r in jaccard_join.near_duplicate_components(twice).collect()} == {1}
 
 
-def test_blocks_join_what_pivots_leave(spark):
-    docs = [d for d in near_rows() if d[0] is not None and d[1]][:130]
-    sets = [(1, d, len(s := jaccard_join.shingle_set(t)), [int(x) for x in s]) for d, t in docs]
-    regions = spark.createDataFrame(sets, "region long, rep long, n long, shingles array<long>")
-    links = jaccard_join.join_regions(regions, docs=10, levels=0)
-    named = {r["node"]: r["label"] for r in jaccard_join.components(links).collect()}
-    assert {d: named.get(d, d) for d, _ in docs} == {d: c for d, (_, c) in brute_components(docs).items()}
+def test_jaccard_join_keeps_links_of_repeated_ids(spark):
+    rng = random.Random(8)
+    w, v = ([f"{c}{rng.randrange(10**6)}" for _ in range(80)] for c in "wv")
+    near = lambda t: " ".join(t[:-1] + ["z"])
+    df = spark.createDataFrame([(1, " ".join(w)), (1, " ".join(v)), (2, near(w)), (3, near(v))], DOC)
+    assert sorted(rows(jaccard_join.near_duplicate_components(df), "doc_id", "component_id")) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def brute_labels(sets, percent=80):
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 100 * both >= percent * (len(a) + len(sets[j]) - both) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("size", [2, 40, 3000])
+def test_one_region_is_joined_by_pivots_at_any_size(spark, size):
+    # points that drift from a common base: chains of links, loners, nothing at distance 1
+    rng = np.random.default_rng(size)
+    base, sets = np.arange(1000, 1060), []
+    for k in range(size):
+        own = base.copy()
+        at = rng.choice(60, rng.integers(0, 12), replace=False)
+        own[at] = rng.integers(0, 900, len(at)) if size < 100 else 2000 + 60 * (k % 700) + at
+        sets.append(np.unique(own))
+        base = own if k % 50 == 0 else base
+    want = np.array(brute_labels(sets)) if size < 100 else None
+    links = jaccard_join.join_block(sets[:600], np.arange(len(sets[:600])), np.zeros(len(sets[:600]), int))
+    if want is not None:
+        got = np.arange(size)
+        for a, b in links:
+            got[got == max(got[a], got[b])] = min(got[a], got[b])
+        assert got.tolist() == want.tolist()
+    df = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sets)], "point long, shingles array<long>")
+    cells = df.select(F.lit(7).cast("long").alias("cell"), "point", F.size("shingles").cast("long").alias("n"), F.lit(0).cast("long").alias("unshared"))
+    named = {r["node"]: r["label"] for r in jaccard_join.join_cells(cells, df, docs=16 if size < 100 else 512).collect()}
+    if want is None:  # brute force by an inverted matrix
+        held = np.zeros((size, max(map(max, sets)) + 1), np.float32)
+        for i, s in enumerate(sets):
+            held[i, s] = 1
+        n, root = held.sum(1), np.arange(size)
+        for i in range(size):
+            both = held[: i + 1] @ held[i]
+            for j in np.flatnonzero(100 * both >= 80 * (n[i] + n[: i + 1] - both)):
+                if root[i] != root[j]:
+                    low, high = min(root[i], root[j]), max(root[i], root[j])
+                    root[root == high] = low
+        want = root
+    assert [named.get(i, i) for i in range(size)] == list(want)
 
 
 # 10 --------------------------------------------------------------------------------------------------------------------

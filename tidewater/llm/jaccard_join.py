@@ -1,22 +1,22 @@
 r"""N-gram Jaccard join in the metric space of shingle sets (distance 1 - Jaccard similarity).
 
-A document is the set of its 5-word shingles. Whole documents make poor first pivots here: nearly all pairs share
-nothing, so all distances to them are 1 and every Voronoi cell would be one. The first pivots are therefore points
-that some document is near by construction, the single shingles, and cells are refined recursively:
-
-1. Cells of shingles in hash order. Two linked documents (distance r = 0.2 at most) differ in few shingles, so the
-   triangle inequality leaves a window: among the first 0.3 n of each they share 0.08 n at least. Each document enters
-   the cells of these shingles; those that meet too few others there can have no partner and are done.
-2. Cells of the rarest shingles. Of the documents left, the first 0.5 n shingles in hash order are ordered anew by how
-   many documents hold them. Linked documents share 0.24 n of these at least, so a document that shares fewer has no
-   partner; the others enter the cells of their rarest ones, so many that two linked documents can't miss each other.
-   Cells that overlap make a region.
-3. Regions by documents as pivots. All of a region's documents are measured against pivots; those within r of a pivot
-   are linked to it. What the pivots leave open is joined exactly: documents within 2 r of a pivot, with those of its
-   cell that the triangle inequality can't rule out, and the ones far from all pivots, recursively.
-
-Equal sets are one point all along. Every link found is an exact comparison of whole sets; links inside what is
-already connected are not looked for, as only components are returned.
+A document is the set of its 5-word shingles; equal sets are one point. Documents are the pivots. Nearly all pairs of
+documents share no shingle and lie at distance 1, so pivots drawn from the whole corpus tell nothing; a document is
+measured against those pivots that it can be near to, which shared shingles name:
+
+1. A screen. Two linked documents (distance r = 0.2 at most) differ in few shingles, so of the first 0.3 n in hash
+   order of each they share 0.08 n at least. Documents that meet too few others there have no partner and are done.
+2. Cells. A shingle that no other document holds is no document's shared one; who has more than r n of these has no
+   partner. The others enter the cells of their rarest shared shingles, so many that linked ones can't miss each other.
+3. Voronoi regions. The most central document of a cell, the one with the smallest unshared share, is its pivot. All
+   documents are measured against the pivots of their cells, in parts of bounded size; those within r of a pivot are
+   linked to it. Cells whose documents are connected by now are done. What is left of a pivot's region is joined in
+   blocks: documents as pivots again, each document in the region of its nearest one, and by the triangle inequality
+   in every other that is farther by 2 r at most; regions are joined recursively till few documents are left.
+
+The same code runs for regions of two documents and of thousands; only the number of blocks grows. Every link found
+is an exact comparison of whole sets; links inside what is already connected are not looked for, as only components
+are returned.
 """
 
 from __future__ import annotations
@@ -28,17 +28,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_long, staged
 
 #: Words of a shingle; similarity of a link in percent; share of a set, beyond the 0.2 n that may differ, read in step 1.
 WORDS, PERCENT, EXTRA = 5, 80, 0.1
-#: The same share in step 2.
-WIDE = 0.3
-#: Documents and shingles of a region that one task joins; pivots and levels of larger ones before blocks of rows.
-REGION_DOCS, REGION_SHINGLES, PIVOTS, LEVELS = 4096, 4_000_000, 16, 4
+#: Documents and shingles of a block; pivots of a region inside a block; documents that are compared without pivots.
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, LEAF = 512, 1_000_000, 4, 16
 #: Random odd numbers, one for each word of a shingle.
 FACTORS = np.frombuffer(hashlib.shake_256(b"shingle words").digest(8 * 16), np.uint64) | np.uint64(1)
 
@@ -129,31 +127,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (point, print, text) those whose text has the point's set, as a doc_id may repeat with other texts."""
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
-            sets = [shingle_set(t.as_py()) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "n", "shingles"])
-
-
-def _degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (shingle, rep) in order of shingle: those whose shingle has several, with their number. A shingle's
-    rows may span batches; the open ones are packed numbers, and nothing else is held."""
-    grams, reps = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def closed(grams: np.ndarray, reps: np.ndarray) -> pa.RecordBatch:
-        _, at, count = np.unique(grams, return_inverse=True, return_counts=True)
-        df = count[at]
-        keep = df > 1
-        return pa.RecordBatch.from_arrays([pa.array(reps[keep]), pa.array(df[keep].astype(np.int64)), pa.array(grams[keep])], names=["rep", "df", "shingle"])
-
-    for batch in batches:
-        grams, reps = np.concatenate([grams, batch.column(0).to_numpy()]), np.concatenate([reps, batch.column(1).to_numpy()])
-        end = np.searchsorted(grams, grams[-1]) if len(grams) else 0
-        if end:
-            yield closed(grams[:end], reps[:end])
-            grams, reps = grams[end:], reps[end:]
-    yield closed(grams, reps)
+            sets = [shingle_set(t.as_py()) for t in part.column(2)]
+            own = [k for k, (s, p) in enumerate(zip(sets, part.column(1), strict=True)) if print_of(s) == p.as_py()]
+            sets = [sets[k] for k in own]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["point", "n", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,26 +157,18 @@ def overlaps(own: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarra
     return np.add.reduceat(own[at] == flat, starts)
 
 
-def join_region(sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+def join_block(sets: list[np.ndarray], labels: np.ndarray, unshared: np.ndarray, visitor: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between sets of different labels that connect all that links connect, as pairs of places.
 
-    Each set in turn is a pivot for those not yet connected with it; sizes and the distances to the first pivot rule
-    out others by the triangle inequality.
+    unshared: how many of a set's shingles no other set holds. visitor: sets to be joined with the others, but neither
+    these nor those among themselves; without it all are joined with all. Pivots are taken in the order given.
     """
-    n = np.array([len(s) for s in sets])
+    n, r = np.array([len(s) for s in sets]), (100 - percent) / 100
     root = np.unique(labels, return_inverse=True)[1]
     links: list[tuple[int, int]] = []
-    everyone, begins = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)[:-1]])
-    first = overlaps(sets[0], everyone, begins)
-    first = 1 - first / (n[0] + n - first)
-    for i in range(len(sets)):
-        open_ = root != root[i]
-        open_[:i] = False
-        open_ &= (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-        open_ &= np.abs(first - first[i]) <= (100 - percent) / 100 + 1e-9
-        others = np.flatnonzero(open_)
-        if not len(others):
-            continue
+
+    def measure(i: int, others: np.ndarray) -> np.ndarray:
+        """Distances of others to i; what is within r is linked."""
         flat = np.concatenate([sets[j] for j in others])
         both = overlaps(sets[i], flat, np.concatenate([[0], np.cumsum(n[others])[:-1]]))
         union = n[i] + n[others] - both
@@ -203,150 +176,134 @@ def join_region(sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCE
             if root[j] != root[i]:
                 links.append((i, int(j)))
                 root[root == root[j]] = root[i]
+        return 1 - both / union
+
+    def compare(own: np.ndarray, others: np.ndarray, within: bool) -> None:
+        for k, i in enumerate(own):
+            rest = np.concatenate([own[k + 1 :], others]) if within else others
+            most = np.minimum(n[i] - unshared[i], n[rest] - unshared[rest])  # shingles that both can hold
+            rest = rest[(root[rest] != root[i]) & ((100 + percent) * most >= percent * (n[i] + n[rest]))]
+            if len(rest):
+                measure(i, rest)
+
+    def join(own: np.ndarray, others: np.ndarray, within: bool) -> None:
+        everyone = np.concatenate([own, others])
+        if len(own) <= LEAF or (root[everyone] == root[everyone[0]]).all():
+            compare(own, others, within)
+            return
+        apart = np.array([measure(p, everyone) for p in own[:PIVOTS]])
+        nearest = apart[:, : len(own)].argmin(0)
+        window = apart <= apart.min(0) + 2 * r + 1e-9
+        for k in range(len(apart)):
+            inside = window[k].copy()
+            inside[: len(own)] &= (nearest > k) & within
+            mine, theirs = own[nearest == k], everyone[inside]
+            # a region that the pivots leave as it was is compared, others are smaller
+            (compare if len(mine) == len(own) or len(mine) + len(theirs) == len(everyone) else join)(mine, theirs, within)
+
+    places = np.arange(len(sets))
+    if visitor is None:
+        join(places, places[:0], True)
+    else:
+        join(places[~visitor], places[visitor], False)
     return links
 
 
 def _links(percent: int):
-    def run(region: pd.DataFrame) -> pd.DataFrame:
-        region = region.sort_values(["n", "rep"])
-        reps = region["rep"].to_numpy()
-        found = join_region([np.asarray(s, np.int64) for s in region["shingles"]], region["label"].to_numpy(), percent)
-        return pd.DataFrame({"a": [reps[i] for i, _ in found], "b": [reps[j] for _, j in found]}, dtype="int64")
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.iloc[np.lexsort((block["point"], block["unshared"] / block["shingles"].map(len)))]
+        points = block["point"].to_numpy()
+        cross = block["_x"].iloc[0] != block["_y"].iloc[0]
+        visitor = (block["_own"] == block["_y"]).to_numpy() if cross else None
+        found = join_block([np.asarray(s, np.int64) for s in block["shingles"]], block["label"].to_numpy(), block["unshared"].to_numpy(), visitor, percent)
+        return pd.DataFrame({"a": [points[i] for i, _ in found], "b": [points[j] for _, j in found]}, dtype="int64")
 
     return run
 
 
-def _measure(own: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-    """The overlap of each document of a block with each pivot of its region."""
-    out = []
-    if len(own) and len(pivots):
-        sets = [np.asarray(s, np.int64) for s in own["shingles"]]
-        n = np.array([len(s) for s in sets])
-        flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)[:-1]])
-        for pivot, shingles in zip(pivots["rep"], pivots["shingles"], strict=True):
-            p = np.asarray(shingles, np.int64)
-            out.append(pd.DataFrame({"region": own["region"].to_numpy(), "rep": own["rep"].to_numpy(), "pivot": pivot, "both": overlaps(p, flat, starts), "either": 0}))
-            out[-1]["either"] = n + len(p) - out[-1]["both"]
-    return pd.concat(out) if out else pd.DataFrame({k: pd.Series(dtype="int64") for k in ("region", "rep", "pivot", "both", "either")})
+def parts_of(docs: int, shingles: int):
+    return F.greatest(F.ceil(F.col("_docs") / docs), F.ceil(F.col("_n") / shingles)).cast("int")
 
 
-def join_regions(regions: DataFrame, percent: int = PERCENT, docs: int = REGION_DOCS, shingles: int = REGION_SHINGLES, levels: int = LEVELS) -> DataFrame:
-    """Links (a, b) of regions (region, rep, n, shingles) that connect all that links connect in each of them."""
-    links, level, r = [], 0, (100 - percent) / 100
-    while True:
-        weights = regions.groupBy("region").agg(F.count(F.lit(1)).alias("_docs"), F.sum("n").alias("_n"))
-        large = (F.col("_docs") > docs) | (F.col("_n") > shingles)
-        sized = regions.join(weights, "region")
-        small = sized.where(~large).withColumn("label", F.col("rep"))
-        links.append(small.groupBy("region").applyInPandas(_links(percent), "a long, b long"))
-        if weights.where(large).isEmpty():
-            break
-        wide = sized.where(large).select("region", "rep", "n", "shingles")
-        if level == levels:
-            links.append(_in_blocks(wide, weights, percent, docs, shingles))
-            break
-        level += 1
-        # documents as pivots: some of each region, by a hash of their ids
-        order = Window.partitionBy("region").orderBy(F.xxhash64(F.lit(level), "rep"), "rep")
-        chosen = wide.select("region", "rep").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= PIVOTS).select("region", "rep")
-        pivots = staged(wide.join(chosen, ["region", "rep"], "left_semi"), "pivots")
-        parts = F.greatest(F.ceil(F.col("_docs") / docs), F.ceil(F.col("_n") / shingles)).cast("int")
-        counts = weights.where(large).select("region", parts.alias("_parts"))
-        dealt = wide.join(counts, "region").withColumn("_part", F.pmod(F.xxhash64("rep"), F.col("_parts")))
-        copies = pivots.join(counts.select("region", F.col("_parts").alias("_of")), "region").withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of").cast("long") - 1)))
-        copies = copies.select(F.col("region").alias("_in"), "_place", F.col("rep").alias("rep"), F.col("shingles").alias("shingles"))
-        measured = dealt.groupBy("region", "_part").cogroup(copies.groupBy("_in", "_place")).applyInPandas(_measure, "region long, rep long, pivot long, both long, either long")
-        far = staged(measured.withColumn("apart", 1 - F.col("both") / F.col("either")).withColumn("linked", 100 * F.col("both") >= percent * F.col("either")), "distances")
-        stars = far.where("linked").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-        links.append(stars)
-        joined = components(stars)
-        near = far.groupBy("region", "rep").agg(F.min(F.struct("apart", "pivot")).alias("_near"), F.max("linked").alias("_covered"))
-        near = near.join(joined.select(F.col("node").alias("rep"), "label"), "rep", "left").select("region", "rep", "_near", "_covered", F.coalesce("label", "rep").alias("label"))
-        near = staged(near, "nearest")
-        # far from all pivots or not, documents that no pivot covers are joined among themselves, one level down
-        open_ = near.where(~F.col("_covered")).select("region", "rep")
-        # visitors of a pivot's cell: of another component, within the window of the cell's bisectors
-        owner = near.select(F.col("rep").alias("_p"), F.col("label").alias("_p_label")).distinct()
-        visits = far.join(near, ["region", "rep"]).join(owner, F.col("pivot") == F.col("_p")).where((F.col("label") != F.col("_p_label")) & (F.col("apart") <= F.least(F.lit(2 * r), F.col("_near.apart") + 2 * r) + 1e-9))
-        visits = staged(visits.select("region", F.col("pivot").alias("cell"), "rep", "apart", "label"), "visits")
-        reach = visits.groupBy(F.col("cell").alias("_cell"), F.col("region").alias("_region")).agg(F.min("apart").alias("_from"))
-        core = near.where("_covered").join(reach, (F.col("_near.pivot") == F.col("_cell")) & (F.col("region") == F.col("_region"))).where(F.col("_near.apart") >= F.col("_from") - r - 1e-9)
-        links.append(_across(core.select("region", F.col("_near.pivot").alias("cell"), "rep", "label"), visits, wide, percent, docs))
-        regions = staged(wide.join(open_, ["region", "rep"], "left_semi"), "regions")
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out
-
-
-def _across(core: DataFrame, visits: DataFrame, wide: DataFrame, percent: int, docs: int) -> DataFrame:
-    """Links between the documents of a cell and its visitors, in blocks of both."""
-    half = max(1, docs // 2)
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        counts = rows.groupBy("region", "cell").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias(name))
-        return counts
-
-    grid = blocks(core, "_rows").join(blocks(visits, "_columns"), ["region", "cell"])
-    sides = [(core, "_rows", "_x", "_y", "_columns"), (visits.select("region", "cell", "rep", "label"), "_columns", "_y", "_x", "_rows")]
-    dealt = []
-    for rows, mine, own, other, theirs in sides:
-        placed = rows.join(grid, ["region", "cell"]).withColumn(own, F.pmod(F.xxhash64("rep"), F.col(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)))
-        dealt.append(placed.select("region", "cell", "_x", "_y", "rep", "label"))
-    pairs = dealt[0].union(dealt[1]).join(wide.select("region", "rep", "n", "shingles"), ["region", "rep"])
-    return pairs.groupBy("region", "cell", "_x", "_y").applyInPandas(_links(percent), "a long, b long")
-
-
-def _in_blocks(wide: DataFrame, weights: DataFrame, percent: int, docs: int, shingles: int) -> DataFrame:
-    """Links of regions that pivots don't take apart, block by block: exact at any size, if more work."""
-    parts = F.greatest(F.ceil(2 * F.col("_docs") / docs), F.ceil(2 * F.col("_n") / shingles)).cast("int")
-    rows = wide.join(weights.select("region", parts.alias("_parts")), "region").withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("label", F.col("rep"))
-    rows = rows.withColumn("_x", F.least("_own", "_other")).withColumn("_y", F.greatest("_own", "_other"))
-    return rows.groupBy("region", "_x", "_y").applyInPandas(_links(percent), "a long, b long")
-
-
-def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, extra: float = EXTRA, region_docs: int = REGION_DOCS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+def join_cells(cells: DataFrame, sets: DataFrame, percent: int = PERCENT, docs: int = BLOCK_DOCS, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """node and label: what links connect of the points of cells (cell, point, n, unshared); sets holds (point, shingles).
+
+    Points that share no cell are taken to have no link. Points without a link may be missing from the result.
+    """
+    central = F.struct((F.col("unshared") / F.col("n")).alias("u"), "n", "point")
+    centres = cells.groupBy("cell").agg(F.min(central).alias("_centre"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    placed = staged(cells.join(centres.select(fresh_long("cell").alias("_cell"), F.col("_centre.point").alias("pivot")), F.col("cell") == F.col("_cell")).select("cell", "point", "n", "unshared", "pivot"), "placed")
+
+    # distances to the pivots, those with many documents in parts
+    spokes = placed.where("point != pivot").select("point", "pivot", "n").distinct()
+    parts = spokes.groupBy("pivot").agg(F.count(F.lit(1)).alias("_docs"), F.sum("n").alias("_n")).select(fresh_long("pivot").alias("_pivot"), parts_of(docs, shingles).alias("_parts"))
+    dealt = spokes.join(parts, F.col("pivot") == F.col("_pivot")).withColumn("_part", F.pmod(F.xxhash64("point"), F.col("_parts")).cast("int"))
+    of_pivots = parts.join(sets, F.col("_pivot") == F.col("point")).select(F.col("_pivot").alias("_p"), F.col("shingles").alias("_of"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_at"))
+    met = dealt.select("point", "pivot", "_part").join(sets.select(F.col("point").alias("_o"), "shingles"), F.col("point") == F.col("_o"))
+    met = met.join(of_pivots, (F.col("pivot") == F.col("_p")) & (F.col("_part") == F.col("_at")))
+    both = F.size(F.array_intersect("shingles", "_of"))
+    measured = met.select("point", "pivot", both.alias("both"), (F.size("shingles") + F.size("_of") - both).alias("either"))
+    stars = staged(measured.where(100 * F.col("both") >= percent * F.col("either")).select(F.col("point").alias("a"), F.col("pivot").alias("b")), "stars")
+    joined = components(stars)
+
+    # regions of pivots that have cells with documents not yet connected
+    named = placed.join(joined.select(F.col("node").alias("_node"), "label"), F.col("point") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "point")).drop("_node")
+    named = staged(named, "named")
+    mixed = named.groupBy("cell").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least != _most").select(fresh_long("cell").alias("_cell"))
+    regions = staged(named.join(mixed, F.col("cell") == F.col("_cell"), "left_semi").select("pivot", "point", "n", "unshared", "label").distinct(), "regions")
+    # a document with too many unshared shingles for the smallest of its region has no partner there
+    weights = regions.groupBy("pivot").agg(F.count(F.lit(1)).alias("_docs"), F.sum("n").alias("_n"), F.min("n").alias("_short"))
+    weights = weights.select(fresh_long("pivot").alias("_pivot"), parts_of(docs, shingles).alias("_parts"), "_short")
+    least = F.greatest(F.ceil(F.col("n") * percent / 100), F.col("_short"))
+    rows = regions.join(weights, F.col("pivot") == F.col("_pivot")).where((100 + percent) * (F.col("n") - F.col("unshared")) >= percent * (F.col("n") + least))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("point"), F.col("_parts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    rows = rows.withColumn("_x", F.least("_own", "_other")).withColumn("_y", F.greatest("_own", "_other")).drop("_pivot", "_parts", "_short", "_other", "n")
+    blocks = rows.join(sets.withColumnRenamed("point", "_o"), F.col("point") == F.col("_o")).drop("_o")
+    links = blocks.groupBy("pivot", "_x", "_y").applyInPandas(_links(percent), "a long, b long")
+    return components(stars.union(links))
+
+
+def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, extra: float = EXTRA, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     r"""doc_id, n_shingles and component_id of every row of docs with a doc_id.
 
     Words are ``[^\x20\x09-\x0D]+`` with A-Z lower-cased, a set the different 5-word shingles; fewer words are one
     shingle; null or empty texts have none, link with nothing and are their own component. Documents link when
     100 * intersection >= percent * union; component_id is the smallest doc_id that links reach. Rows that repeat a
-    doc_id are returned each; rows without one, which no component can name, have a null component. Other columns are
-    ignored; an empty table gives an empty result.
+    doc_id are returned each; with other texts they are documents of their own and each keeps its links. Rows without
+    a doc_id, which no component can name, have a null component. Other columns are ignored; an empty table gives an
+    empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     narrow = staged(texts.mapInArrow(_describe, "doc_id long, n long, print binary, mark long"), "sets")
-    points = staged(narrow.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("print", "mark", "n").agg(F.min("doc_id").alias("rep")), "points")
+    points = narrow.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("print", "mark", "n").agg(F.min("doc_id").alias("rep"))
+    points = staged(points.withColumn("point", F.monotonically_increasing_id()), "points")
 
-    # step 1: cells of shingles in hash order
+    # step 1: the screen
     met = texts.mapInArrow(_meetings(percent, extra), "shingle long, mark long, met long")
     sent = met.where(F.col("shingle").isNotNull()).select("shingle", "mark").repartition("shingle").sortWithinPartitions("shingle")
     credit = met.where(F.col("shingle").isNull()).select("mark", "met").union(sent.mapInArrow(_shared, "mark long, met long"))
     credit = credit.groupBy(F.col("mark").alias("_mark")).agg(F.sum("met").alias("_met"))
     needed = F.greatest(F.lit(1), F.floor(F.lit(extra * percent / 100) * F.col("n")) - 1)
-    left = staged(points.join(credit, F.col("mark") == F.col("_mark")).where(F.col("_met") >= needed).select("rep", "n"), "left")
+    left = points.join(credit, F.col("mark") == F.col("_mark")).where(F.col("_met") >= needed).select("point", "rep", "print")
 
-    # step 2: cells of the rarest shingles
+    # step 2: cells of the rarest shared shingles
     # texts meet the documents left by a merge join at any size: how many are left has no bound to broadcast by
-    kept = texts.join(left.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
-    whole = staged(kept.mapInArrow(_sets, "rep long, n long, shingles array<long>"), "shingles")
-    first = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + F.greatest(F.lit(1), F.floor(F.col("n") * WIDE)))
-    entries = whole.select(F.explode(F.slice("shingles", F.lit(1), first.cast("int"))).alias("shingle"), "rep").repartition("shingle").sortWithinPartitions("shingle")
-    shared = entries.mapInArrow(_degrees, "rep long, df long, shingle long").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("_shared"))
-    lacking = first - F.greatest(F.lit(1), F.floor(F.col("n") * WIDE * percent / 100) - 1)
-    unshared = first - F.size("_shared")
-    close = shared.join(left, "rep").where(unshared <= lacking)
+    kept = texts.join(left.hint("merge"), F.col("doc_id") == F.col("rep")).select("point", "print", "text")
+    whole = staged(kept.mapInArrow(_sets, "point long, n long, shingles array<long>").dropDuplicates(["point"]), "shingles")
+    entries = whole.select(F.explode("shingles").alias("shingle"), "point", "n")
+    degrees = entries.groupBy(F.col("shingle").alias("_of")).agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(fresh_long("_of").alias("_shingle"), "df")
+    shared = entries.join(degrees.hint("merge"), F.col("shingle") == F.col("_shingle")).groupBy("point", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("_shared"))
+    unshared = F.col("n") - F.size("_shared")
+    lacking = F.col("n") - F.ceil(F.col("n") * percent / 100)
     rarest = F.slice("_shared", 1, F.greatest(F.lit(0), lacking + 1 - unshared).cast("int"))
-    cells = staged(close.select("rep", "n", F.explode(F.transform(rarest, lambda x: x["shingle"])).alias("cell")), "cells")
-    centres = cells.groupBy(F.col("cell").alias("_cell")).agg(F.min(F.struct("n", "rep")).alias("_centre"))
-    spokes = cells.join(centres, F.col("cell") == fresh_long("_cell")).select(F.col("rep").alias("a"), F.col("_centre.rep").alias("b")).where("a != b").distinct()
-    region = components(spokes).select(F.col("node").alias("rep"), F.col("label").alias("region"))
-
-    # step 3: regions by documents as pivots
-    regions = staged(whole.dropDuplicates(["rep"]).join(region, "rep").select("region", "rep", "n", "shingles"), "regions")
-    named = components(join_regions(regions, percent, region_docs, region_shingles))
-    classes = points.join(named, F.col("rep") == F.col("node"), "left").select(F.concat("print", F.lit(b"")).alias("_print"), F.coalesce("label", "rep").alias("_component"))
+    close = shared.where(unshared <= lacking).select("point", "n", unshared.alias("unshared"), F.transform(rarest, lambda x: x["shingle"]).alias("_rarest"))
+    cells = staged(close.select("point", "n", "unshared", F.explode("_rarest").alias("cell")), "cells")
+
+    # step 3: Voronoi regions
+    named = join_cells(cells, whole.select("point", "shingles"), percent, block_docs, block_shingles)
+    classes = staged(points.join(named, F.col("point") == F.col("node"), "left").select("print", "rep", F.coalesce("label", "point").alias("label")), "classes")
+    first = classes.groupBy(F.col("label").alias("_l")).agg(F.min("rep").alias("_component"))
+    classes = classes.join(first.select(fresh_long("_l").alias("_label"), "_component"), F.col("label") == F.col("_label")).select(F.col("print").alias("_print"), "_component")
     rows = narrow.join(classes, F.col("print") == F.col("_print"), "left")
     own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
