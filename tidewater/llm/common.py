@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, a temporary one if driver and
+    executors are one process, as in tests; an error on a cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         named = tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -34,7 +37,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame | str) -> None:
+    """Deletes the folders of staged tables, or named ones, that nothing reads any more."""
+    for table in tables:
+        path = table if isinstance(table, str) else table._staged_at
+        jvm, conf = SparkSession.active()._jvm, SparkSession.active()._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def free_names(columns: list[str], *stems: str) -> list[str]:
+    """The stems, each with as many underscores as make it differ from all columns, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        out.append(stem)
+    return out
 
 
 def fresh(key: Column | str) -> Column:

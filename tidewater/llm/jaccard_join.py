@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_long, staged
+from .common import discard, fresh_long, staged
 
 #: Words of a shingle; similarity of a link in percent; share of a set, beyond the 0.2 n that may differ, read in step 1.
 WORDS, PERCENT, EXTRA = 5, 80, 0.1
 #: Documents and shingles of a block; pivots of a region inside a block; documents that are compared without pivots.
-BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, LEAF = 512, 1_000_000, 4, 16
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, LEAF = 256, 1_000_000, 4, 16
 #: Random odd numbers, one for each word of a shingle.
 FACTORS = np.frombuffer(hashlib.shake_256(b"shingle words").digest(8 * 16), np.uint64) | np.uint64(1)
 
@@ -146,7 +146,9 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(around, F.col("node") == F.col("_a")).select("node", F.least("label", "_near").alias("label"))
         jump = lower.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         lower = staged(lower.join(jump, F.col("label") == F.col("_n")).select("node", F.col("_l").alias("label")), "labels")
-        if labels.join(lower.withColumnRenamed("label", "_new"), "node").where(F.col("label") != F.col("_new")).isEmpty():
+        done = labels.join(lower.withColumnRenamed("label", "_new"), "node").where(F.col("label") != F.col("_new")).isEmpty()
+        discard(labels, *[both] * done)
+        if done:
             return lower
         labels = lower
 
@@ -260,7 +262,9 @@ def join_cells(cells: DataFrame, sets: DataFrame, percent: int = PERCENT, docs:
     rows = rows.withColumn("_x", F.least("_own", "_other")).withColumn("_y", F.greatest("_own", "_other")).drop("_pivot", "_parts", "_short", "_other", "n")
     blocks = rows.join(sets.withColumnRenamed("point", "_o"), F.col("point") == F.col("_o")).drop("_o")
     links = blocks.groupBy("pivot", "_x", "_y").applyInPandas(_links(percent), "a long, b long")
-    return components(stars.union(links))
+    out = components(stars.union(links))
+    discard(placed, stars, joined, named, regions)
+    return out
 
 
 def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, extra: float = EXTRA, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -289,7 +293,11 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, extra: fl
     # step 2: cells of the rarest shared shingles
     # texts meet the documents left by a merge join at any size: how many are left has no bound to broadcast by
     kept = texts.join(left.hint("merge"), F.col("doc_id") == F.col("rep")).select("point", "print", "text")
-    whole = staged(kept.mapInArrow(_sets, "point long, n long, shingles array<long>").dropDuplicates(["point"]), "shingles")
+    whole = staged(kept.mapInArrow(_sets, "point long, n long, shingles array<long>").withColumn("_row", F.monotonically_increasing_id()), "shingles")
+    # rows that repeat a doc_id and its text give a point again; sets move for that only if there are such rows
+    first = whole.groupBy("point").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_k")).where("_k > 1").select(fresh_long("point").alias("_point"), "_first")
+    again = staged(whole.select("point", "_row").join(first, (F.col("point") == F.col("_point")) & (F.col("_row") > F.col("_first"))).select(F.col("_row").alias("_again")), "again")
+    whole = whole if again.isEmpty() else staged(whole.join(again, F.col("_row") == F.col("_again"), "left_anti"), "shingles")
     entries = whole.select(F.explode("shingles").alias("shingle"), "point", "n")
     degrees = entries.groupBy(F.col("shingle").alias("_of")).agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(fresh_long("_of").alias("_shingle"), "df")
     shared = entries.join(degrees.hint("merge"), F.col("shingle") == F.col("_shingle")).groupBy("point", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("_shared"))
@@ -302,6 +310,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT, extra: fl
     # step 3: Voronoi regions
     named = join_cells(cells, whole.select("point", "shingles"), percent, block_docs, block_shingles)
     classes = staged(points.join(named, F.col("point") == F.col("node"), "left").select("print", "rep", F.coalesce("label", "point").alias("label")), "classes")
+    discard(points, whole, again, cells, named)
     first = classes.groupBy(F.col("label").alias("_l")).agg(F.min("rep").alias("_component"))
     classes = classes.join(first.select(fresh_long("_l").alias("_label"), "_component"), F.col("label") == F.col("_label")).select(F.col("print").alias("_print"), "_component")
     rows = narrow.join(classes, F.col("print") == F.col("_print"), "left")
