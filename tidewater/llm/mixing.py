@@ -1,13 +1,14 @@
 """Mixing sources to target weights with soft membership.
 
-A naive Bayes classifier learns from the rows that name their domain how hashed words are spread over the domains; a
-declared domain counts as one more, very telling, feature. Every document so gets a posterior over the domains, and
-one without a declared domain is placed by its words. Rates are then fitted to the documents: the expected tokens of
-a domain are the sum of rate x tokens x posterior, and nonnegative rates are sought that bring them to the targets,
-by projected-gradient least squares. An iteration is one aggregate over the documents: only a residual for each domain
+A naive Bayes classifier learns from a bounded sample of rows that name their domain how hashed words are spread over
+the domains. It then gives every document a posterior over the domains from its text alone; a declared domain is an
+answer to learn from and never an input. The posteriors are calibrated: a factor for each domain brings its expected
+tokens to those that rows declare, as otherwise the fit would correct the classifier and not the mixture. Rates are then
+fitted to the documents: the expected tokens of a domain are the sum of rate x tokens x posterior, and nonnegative rates
+are sought that bring them to the targets, by projected-gradient least squares. An iteration is one aggregate over the documents: only a residual for each domain
 comes to the driver, and a document's rate follows from its posterior and the steps so far.
 
-All of it is DataFrame expressions; no Python runs on the executors.
+All of it is DataFrame expressions and Spark's own feature hashing and naive Bayes; no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -15,96 +16,118 @@ from __future__ import annotations
 import json
 import logging
 import math
+from dataclasses import dataclass
 
+from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_sample, discard, free_names, staged
 
-#: Hash buckets of words, weight of all a text's words together against a declared domain, trust in a declared one.
-BUCKETS, EVIDENCE, TRUST = 4096, 20.0, 0.98
+#: Hash buckets of words; weight of a text's words against the prior, over the root of their number; labelled rows learned from, about, of
+#: each domain; every how-manyth of these, by a hash of its id, is held out to measure the accuracy.
+BUCKETS, EVIDENCE, PER_DOMAIN, HELD_OUT = 1 << 14, 4.0, 500, 5
+#: Pseudo-counts of each bucket; largest relative deviation of a domain's expected from its declared tokens after calibration,
+#: and its rounds at most.
+SMOOTHING, CALIBRATED, ROUNDS = 1.0, 0.01, 30
 #: Largest relative residual that ends the fit. It also ends when so many iterations haven't lessened the least by this share.
-TOLERANCE, PATIENCE, PROGRESS = 1e-3, 50, 0.01
+TOLERANCE, PATIENCE, PROGRESS = 1e-3, 20, 0.02
 #: Exponent that flattens the domains' own shares into default targets.
 FLATTEN = 0.7
 LOG = logging.getLogger(__name__)
 WHITE_RUN = r"[\x20\x09-\x0D]+"
+ADDED = ("tokens", "domain_pred", "posterior", "rate", "copies", "residual")
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE_RUN), lambda w: w != "")
 
 
-def buckets_of(words: Column, buckets: int) -> Column:
-    """The hash bucket of each of a text's different words. Words that share one count each: long texts don't fill up."""
-    return F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-
-
 def literal(values: list[float]) -> Column:
     """Numbers as one constant: a parsed literal stays small in the plan."""
     return F.from_json(F.lit(json.dumps(values)), "array<double>")
 
 
-def with_features(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs with tokens, the number of words, and _found, the hash bucket of each different word."""
-    words = words_of(F.col("text"))
-    return docs.withColumn("tokens", F.size(words).cast("long")).withColumn("_found", buckets_of(words, buckets))
+def draw_of(salt: str, *columns: str) -> Column:
+    """A number from 0 to 1 by a hash."""
+    return F.pmod(F.xxhash64(F.lit(salt), *columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def flattened(features: DataFrame, domain: str, flatten: float = FLATTEN) -> dict[str, float]:
+def flattened(sizes: dict[str, int], flatten: float = FLATTEN) -> dict[str, float]:
     """Target weights: each domain's share of the tokens to the power flatten, normalised."""
-    rows = features.where(F.col(domain).isNotNull()).groupBy(domain).agg(F.sum("tokens").alias("n")).where("n > 0").collect()
-    powers = {r[domain]: float(r["n"]) ** flatten for r in rows}
-    return {k: v / sum(powers.values()) for k, v in sorted(powers.items())}
-
-
-def learn_classifier(features: DataFrame, domains: list[str], domain: str, buckets: int) -> tuple[list[float], list[float], list[list[float]]]:
-    """Log priors, shares of the tokens, and for each domain the log likelihoods of the buckets: that many numbers on the driver.
-
-    A domain's counts are smoothed by as many of all domains' as there are buckets, so that one with few words is near
-    the mean and not near an even spread, which would speak against all that is common.
-    """
-    named = features.where(F.col(domain).isin(domains))
-    rows = named.select(F.col(domain).alias("_domain"), F.explode("_found").alias("_bucket")).groupBy("_domain", "_bucket").count().collect()
-    counts = {(r["_domain"], r["_bucket"]): r["count"] for r in rows}
-    sizes = {r[0]: (r[1], r[2] or 0) for r in named.groupBy(domain).agg(F.count("*"), F.sum("tokens")).collect()}
-    held = [sizes.get(d, (0, 0))[0] + 1 for d in domains]
-    tokens = [sizes.get(d, (0, 0))[1] + 1 for d in domains]
-    spread = [1] * buckets
-    for (_, b), n in counts.items():
-        spread[b] += n
-    mean = buckets / sum(spread)
-    table = []
-    for d in domains:
-        own = [counts.get((d, b), 0) + mean * spread[b] for b in range(buckets)]
-        table.append([math.log(n / sum(own)) for n in own])
-    return [math.log(n / sum(held)) for n in held], [n / sum(tokens) for n in tokens], table
-
-
-def with_posterior(features: DataFrame, domains: list[str], model: tuple[list[float], list[float], list[list[float]]], domain: str) -> DataFrame:
-    """features with posterior (array<double>, in the order of domains) added.
-
-    What isn't trusted of a declared domain goes to the others in proportion to their tokens: by an even split, a
-    large domain would give a small one more than it has itself.
+    powers = {k: float(n) ** flatten for k, n in sorted(sizes.items()) if n > 0}
+    return {k: v / sum(powers.values()) for k, v in powers.items()}
+
+
+@dataclass
+class Classifier:
+    """domains in ascending order, their log priors, and Spark's model; none is needed for a single domain."""
+
+    domains: list[str]
+    priors: list[float]
+    model: NaiveBayesModel | None
+    buckets: int
+    accuracy: float | None
+
+    def posterior(self, rows: DataFrame, words: Column, keep: list[str]) -> DataFrame:
+        """keep, tokens and posterior (array<double>, in the order of domains) of rows; texts without words get the priors."""
+        if self.model is None:
+            return rows.select(*keep, F.size(words).cast("long").alias("tokens"), F.array(F.lit(1.0)).alias("posterior"))
+        w, x, r = free_names(rows.columns, "words", "vector", "scores")
+        hashed = HashingTF(numFeatures=self.buckets, binary=True, inputCol=w, outputCol=x).transform(rows.withColumn(w, words))
+        raw = self.model.setFeaturesCol(x).setPredictionCol("").setProbabilityCol("").setRawPredictionCol(r).transform(hashed)
+        # words are not independent: their summed log likelihood grows with the root of their number only
+        n = F.greatest(F.size(F.array_distinct(F.col(w))), F.lit(1))
+        scores = F.zip_with(F.zip_with(vector_to_array(r), literal(list(self.model.pi.toArray())), lambda s, p: (s - p) * (F.lit(EVIDENCE) / F.sqrt(n))), literal(self.priors), lambda s, p: s + p)
+        placed = raw.select(*keep, F.size(w).cast("long").alias("tokens"), scores.alias("posterior"))
+        placed = placed.withColumn("posterior", F.transform("posterior", lambda s: F.exp(s - F.array_max("posterior"))))
+        return placed.withColumn("posterior", F.transform("posterior", lambda e: e / F.aggregate("posterior", F.lit(0.0), lambda a, b: a + b)))
+
+
+def learn_classifier(docs: DataFrame, domain: str, per_domain: int = PER_DOMAIN, buckets: int = BUCKETS) -> Classifier:
+    """The classifier for texts by the domains that rows declare; rows without words teach nothing.
+
+    It learns from about per_domain rows of each domain, picked by a hash of doc_id and text: what comes to the driver is a
+    count for each domain and a number for each domain and bucket. accuracy is that on a held-out part of the sample.
     """
-    priors, shares, table = model
-    known = F.coalesce(F.col(domain).isin(domains), F.lit(False))
-    n = F.greatest(F.size("_found"), F.lit(1))
-
-    # log of what is left of a declared domain for all others, before their shares
-    left = {d: math.log((1 - TRUST) / max(1e-300, sum(s for e, s in zip(domains, shares, strict=True) if e != d))) for d in domains}
-    left_of = F.try_element_at(F.create_map(*[F.lit(x) for item in left.items() for x in item]), F.col(domain))
-
-    def log_of(d: str, prior: float, share: float, likelihoods: list[float]) -> Column:
-        # the words' mean log likelihood times EVIDENCE: long texts aren't surer than short ones by their length alone
-        values = literal(likelihoods)
-        words = F.aggregate("_found", F.lit(0.0), lambda total, b: total + F.get(values, b))
-        return words * (EVIDENCE / n) + F.when(~known, F.lit(prior)).when(F.col(domain) == d, F.lit(math.log(TRUST))).otherwise(left_of + F.lit(math.log(share)))
-
-    rows = features.withColumn("_log", F.array(*[log_of(*x) for x in zip(domains, priors, shares, table, strict=True)]))
-    rows = rows.withColumn("_exp", F.transform("_log", lambda x: F.exp(x - F.array_max("_log"))))
-    rows = rows.withColumn("_total", F.aggregate("_exp", F.lit(0.0), lambda a, x: a + x))
-    return rows.withColumn("posterior", F.transform("_exp", lambda x: x / F.col("_total"))).drop("_log", "_exp", "_total")
+    named = docs.where(F.col(domain).isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col(domain).cast("string").alias("domain"), "text", F.xxhash64("doc_id", "text").alias("id"))
+    counts = {r[0]: r[1] for r in named.groupBy("domain").count().collect()}
+    domains = sorted(counts)
+    priors = [math.log(counts[d] / sum(counts.values())) for d in domains]
+    if len(domains) < 2:
+        return Classifier(domains, priors, None, buckets, None)
+    label = (F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1).cast("double").alias("label")
+    sample = staged(bounded_sample(named, "domain", "id", per_domain).select("id", label, words_of(F.col("text")).alias("words")), "labelled")
+    hashed = HashingTF(numFeatures=buckets, binary=True, inputCol="words", outputCol="features").transform(sample)
+    rest = F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(HELD_OUT))
+    part = NaiveBayes(smoothing=SMOOTHING).fit(hashed.where((rest != 0)))
+    tested = part.transform(hashed.where(rest == 0)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    LOG.info("domains told apart from text, held-out accuracy: %s", tested)
+    model = NaiveBayes(smoothing=SMOOTHING).fit(hashed)
+    discard(sample)
+    return Classifier(domains, priors, model, buckets, tested)
+
+
+def reweighed(posterior: Column, factors: list[float]) -> Column:
+    """The posterior times a factor for each domain, normalised again."""
+    each = F.zip_with(posterior, literal(factors), lambda p, f: p * f)
+    total = sum((F.get(posterior, F.lit(d)) * F.lit(f) for d, f in enumerate(factors)), F.lit(0.0))
+    return F.transform(each, lambda p: p / total)
+
+
+def calibrate(placed: DataFrame, sizes: list[int]) -> list[float]:
+    """The factors that bring each domain's expected share of the tokens to its share of sizes."""
+    factors = [1.0] * len(sizes)
+    for _ in range(ROUNDS if sum(sizes) else 0):
+        got = expected(placed.select("tokens", reweighed(F.col("posterior"), factors).alias("posterior")), [0.0] * len(sizes))
+        ratios = [n / sum(sizes) / (g / sum(got)) if n > 0 and g > 0 else 1.0 for n, g in zip(sizes, got, strict=True)]
+        factors = [f * r for f, r in zip(factors, ratios, strict=True)]
+        if max(abs(r - 1) for r in ratios) <= CALIBRATED:
+            break
+    top = max(factors)
+    return [f / top for f in factors]
 
 
 def rate_at(posterior: Column, steps: list[float]) -> Column:
@@ -115,79 +138,87 @@ def rate_at(posterior: Column, steps: list[float]) -> Column:
     return F.greatest(F.lit(0.0), moved)
 
 
+def expected(placed: DataFrame, steps: list[float]) -> list[float]:
+    """The domains' expected tokens at these steps."""
+    weighed = placed.select((rate_at(F.col("posterior"), steps) * F.col("tokens")).alias("w"), "posterior")
+    return [x or 0.0 for x in weighed.agg(*[F.sum(F.col("w") * F.get("posterior", F.lit(d))).alias(f"t{d}") for d in range(len(steps))]).first()]
+
+
 def fit(placed: DataFrame, weights: list[float], budget: float | None = None, iterations: int | None = None, tolerance: float = TOLERANCE) -> tuple[list[float], list[float]]:
     """The summed gradient steps that left the least residual, and each domain's relative one; placed has tokens and posterior.
 
     budget: the tokens that the targets share out; by default as many as need no document twice if domains were told
-    apart without doubt. The residuals are weighed by the domains' own expected tokens, which makes a step of one safe:
-    the gradient's matrix is then a mean of posteriors and has no eigenvalue above one. Rates start at 1 and are projected
-    from the sum of all steps, so of all rates that meet the targets the fit tends to those nearest 1. Without a bound
-    on iterations it goes on as long as the residual moves; targets out of reach leave one that is given back.
+    apart without doubt. The residuals are weighed by the domains' own expected tokens. Rates start at 1 and are projected
+    from the sum of all steps, so of all rates that meet the targets the fit tends to those nearest 1. The length of a
+    step is that of Barzilai and Borwein: the last move by what it did to the gradient. Without a bound on iterations
+    the fit goes on as long as the residual lessens; targets out of reach leave one that is given back.
     """
     k = len(weights)
-    sums = lambda rate: [F.sum(rate * F.col("tokens") * F.get("posterior", F.lit(d))).alias(f"t{d}") for d in range(k)]
-    own = [x or 0.0 for x in placed.agg(*sums(F.lit(1.0))).first()]
+    own = expected(placed, [0.0] * k)
     if budget is None:
         budget = min((own[d] / weights[d] for d in range(k) if weights[d] > 0), default=0.0)
-    steps, best, last, mark, done = [0.0] * k, ([0.0] * k, [0.0] * k), math.inf, math.inf, 0
+    best, last, mark, done = ([0.0] * k, [0.0] * k), math.inf, math.inf, 0
     if budget <= 0:
         return best
     targets = [w * budget for w in weights]
-    while iterations is None or done < iterations:
-        got = [x or 0.0 for x in placed.agg(*sums(rate_at(F.col("posterior"), steps))).first()]
+    steps, got, before = [0.0] * k, own, None
+    while True:
         off = [(g - t) / t if t > 0 else 0.0 for g, t in zip(got, targets, strict=True)]
         worst = max(map(abs, off))
         if worst < last:
             best, last = (steps, off), worst
-        if worst <= tolerance:
-            break
+        if worst <= tolerance or done == iterations:
+            return best
         done += 1
         if done % PATIENCE == 0:
             if last > mark * (1 - PROGRESS):
-                break
+                return best
             mark = last
-        steps = [s + ((g - t) / o if o > 0 else 0.0) for s, g, t, o in zip(steps, got, targets, own, strict=True)]
-    return best
-
+        pull = [(g - t) / o if o > 0 else 0.0 for g, t, o in zip(got, targets, own, strict=True)]
+        length = 1.0
+        if before:
+            moved, turned = [s - q for s, q in zip(steps, before[0], strict=True)], [q - p for p, q in zip(pull, before[1], strict=True)]
+            along = sum(m * t for m, t in zip(moved, turned, strict=True))
+            length = sum(m * m for m in moved) / along if along > 0 else 1.0
+        before = (steps, pull)
+        steps = [s + length * p for s, p in zip(steps, pull, strict=True)]
+        got = expected(placed, steps)
 
-def fit_steps(placed: DataFrame, weights: list[float], iterations: int | None = None, tolerance: float = TOLERANCE) -> tuple[list[float], float]:
-    """The steps of the fit within what needs no document twice, and the largest relative residual."""
-    steps, off = fit(placed, weights, iterations=iterations, tolerance=tolerance)
-    return steps, max(map(abs, off), default=0.0)
 
-
-def fit_rates(docs: DataFrame, targets: dict[str, float] | None = None, domain: str = "source", buckets: int = BUCKETS) -> DataFrame:
-    """docs with tokens, domain_pred, posterior, rate and copies added.
+def fit_rates(docs: DataFrame, targets: dict[str, float] | None = None, domain: str = "source", per_domain: int = PER_DOMAIN, buckets: int = BUCKETS) -> DataFrame:
+    """docs with tokens, domain_pred, posterior, rate, copies and residual added.
 
     rate is how often a document should be read; copies is the whole number drawn for it, the rate rounded up or down
     by a hash of its doc_id, so that the sum comes out as expected. targets: a weight for each domain, normalised
-    here; without them the domains' own shares, flattened. They share out as many tokens as the table has, so scarce
-    domains are read more than once and no domain is thinned for another's sake. What the fit leaves of each target is
-    logged, and warned of where it is more than the tolerance; so is a domain that no row with words declares, and the
-    others share out the tokens. Domains without a target weigh nothing but by their
-    likeness to the others; null domains are placed by the words. Null and empty texts have no tokens and keep the
-    rate that their posterior gives. Repeated rows get the same rate; without any domain all rates are 1; an empty
-    table gives an empty result. Columns of the added names are replaced.
+    here; without them the domains' own shares of the tokens, flattened. They share out as many tokens as the table has.
+    residual is what the fit leaves of the target of domain_pred, relative to it: the texts may not tell the domains far enough
+    apart to meet the targets, which is warned of. Domains that no row with words declares can't be learned; the
+    others share out the tokens. Rows of other or null domains are placed by their words, as all are. Null and empty
+    texts have no tokens and the priors as posterior. Repeated rows get the same rate; without any domain all rates are 1;
+    an empty table gives an empty result. Columns of the added names are replaced; no other name is touched.
     """
-    kept = [c for c in docs.columns if c not in ("tokens", "domain_pred", "posterior", "rate", "copies", "_found")]
-    docs = docs.select(*kept)
-    features = staged(with_features(docs.select("text", domain), buckets).drop("text"), "features")
-    own = flattened(features, domain)
-    for d in sorted(d for d, w in (targets or {}).items() if d not in own and w > 0):
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    learned = learn_classifier(docs, domain, per_domain, buckets)
+    for d in sorted(d for d, w in (targets or {}).items() if d not in learned.domains and w > 0):
         LOG.warning("%s: no row with words declares it, so nothing can meet its target of %.3g", d, targets[d])
-    targets = {d: w for d, w in (targets or own).items() if d in own}
-    if not targets:
-        none = {"domain_pred": F.lit(None).cast("string"), "posterior": F.array().cast("array<double>"), "rate": F.lit(1.0), "copies": F.lit(1)}
-        return with_features(docs, buckets).drop("_found").withColumns(none)
-    domains = sorted(targets)
-    weights = [targets[d] / sum(targets.values()) for d in domains]
-    model = learn_classifier(features, domains, domain, buckets)
-    placed = staged(with_posterior(with_features(docs, buckets), domains, model, domain).drop("_found"), "posteriors")
-    steps, residuals = fit(placed, weights, float(placed.agg(F.sum("tokens")).first()[0] or 0))
-    for d, off in zip(domains, residuals, strict=True):
-        LOG.log(logging.WARNING if abs(off) > TOLERANCE else logging.INFO, "%s: expected tokens %+.3g of the target %.3g", d, off, targets[d])
-    rated = placed.withColumn("rate", rate_at(F.col("posterior"), steps))
-    best = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")
-    return rated.withColumns({"domain_pred": F.get(F.array(*map(F.lit, domains)), best - 1), "copies": copies.cast("int")}).select(*kept, "tokens", "domain_pred", "posterior", "rate", "copies")
+    words = words_of(F.col("text"))
+    if not learned.domains:
+        none = {"tokens": F.size(words).cast("long"), "domain_pred": F.lit(None).cast("string"), "posterior": F.array().cast("array<double>"), "rate": F.lit(1.0), "copies": F.lit(1), "residual": F.lit(0.0)}
+        return docs.select(*kept, *[c.alias(n) for n, c in none.items()])
+    placed = staged(learned.posterior(docs.select(*kept), words, kept), "posteriors")
+    sizes = {r[0]: r[1] for r in placed.where(F.col(domain).isNotNull()).groupBy(F.col(domain).cast("string")).agg(F.sum("tokens")).collect()}
+    factors = calibrate(placed, [sizes.get(d, 0) for d in learned.domains])
+    fitted = staged(placed.select("tokens", reweighed(F.col("posterior"), factors).alias("posterior")), "calibrated")
+    wanted = flattened({d: sizes.get(d, 0) for d in learned.domains}) if targets is None else targets
+    wanted = [max(0.0, wanted.get(d, 0.0)) for d in learned.domains]
+    weights = [w / (sum(wanted) or 1.0) for w in wanted]
+    steps, residuals = fit(fitted, weights, float(fitted.agg(F.sum("tokens")).first()[0] or 0))
+    discard(fitted)
+    for d, off in zip(learned.domains, residuals, strict=True):
+        LOG.log(logging.WARNING if abs(off) > TOLERANCE else logging.INFO, "%s: expected tokens %+.3g of the target", d, off)
+    placed = placed.withColumn("posterior", reweighed(F.col("posterior"), factors))
+    best = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
+    rate = rate_at(F.col("posterior"), steps)
+    copies = (F.floor("rate") + (draw_of("mix", "doc_id") < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    rated = placed.select(*kept, "tokens", F.get(F.array(*map(F.lit, learned.domains)), best).alias("domain_pred"), "posterior", rate.alias("rate"), F.get(literal(residuals), best).alias("residual"))
+    return rated.withColumn("copies", copies).select(*kept, *ADDED)
