@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE
+from .common import WHITE, staged
 
 #: Chunk sizes in bytes: least, most, and the bits of the rolling hash that must be zero (2 KB apart on average).
 LEAST, MOST, BITS = 256, 16384, 11
@@ -103,7 +103,7 @@ def duplicate_classes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     row with most code points stays, then the smallest doc_id (a null one last). Repeated rows count one each, and of
     rows alike in doc_id and length one is kept. Other columns are ignored; an empty table gives an empty result.
     """
-    found = recipes(docs, digest_bytes)
+    found = staged(recipes(docs, digest_bytes), "recipes")
     bad = ambiguous(docs, digest_bytes).agg(F.collect_list("digest")).scalar()
     spelled = F.concat(F.col("recipe"), F.array(F.unhex("text_sha256")))
     key = F.when(F.size(F.array_intersect("recipe", bad)) > 0, spelled).otherwise(F.col("recipe"))
