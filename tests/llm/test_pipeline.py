@@ -70,10 +70,24 @@ def test_encoded(kept):
 
 
 def test_stages_stand_odd_rows(spark, sf_dir, kept):
-    odd = spark.createDataFrame([(None, None, None, None, None), (10**7, "", None, None, 0), (10**7 + 1, "a b", "en", None, 3), (10**7 + 1, "a b", "en", None, 3)], kept["documents"].schema)
-    for docs in (odd, kept["documents"].limit(0)):
-        for _, stage in cp.STAGES:
-            stage(spark, docs, sf_dir).collect()
+    rows = [(None, None, None, None, None), (10**7, "", None, None, 0), (10**7 + 1, "a b", "en", None, 3), (10**7 + 1, "a b", "en", None, 3), (10**7 + 2, "a  b", "en", "s", 4)]
+    odd = spark.createDataFrame(rows, kept["documents"].schema)
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=lambda d: (d is not None, d))
+    every = [None, 10**7, 10**7 + 1, 10**7 + 1, 10**7 + 2]
+    want = {"toxicity": every, "exact_dedup": [10**7, 10**7 + 2], "jaccard_join": [None, 10**7, 10**7 + 1, 10**7 + 1], "source_mixing": every, "bpe": every}
+    for name, stage in cp.STAGES:
+        assert ids(stage(spark, odd, sf_dir)) == want[name]
+        empty = stage(spark, kept["documents"].limit(0), sf_dir)
+        assert empty.count() == 0 and (name == "bpe" or empty.columns == odd.columns)
+
+
+def test_stages_hand_on_columns_that_clash(spark, sf_dir, kept):
+    names = ["score", "Predicted", "copies", "tokens", "rate", "_copy", "_doc", "_n", "own_score"]
+    docs = kept["documents"].limit(20).select("*", *[F.lit(f"kept {n}").alias(n) for n in names])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count() > 0
+        assert {tuple(r) for r in out.select(*names).collect()} == {tuple(f"kept {n}" for n in names)}
 
 
 def test_run(spark, sf_dir, kept):

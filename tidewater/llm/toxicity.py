@@ -97,7 +97,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mac
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     own = F.broadcast(bounded_sample(usable, "toxic", "doc_id", per_class).withColumnRenamed("doc_id", "_doc"))
-    rows = docs.where(F.col("text").isNotNull()).join(own, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "toxic")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(own, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "toxic")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     p, q = float(totals.get(1, 0)), float(totals.get(0, 0))
     if not p or not q:

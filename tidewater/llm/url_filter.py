@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, fresh
+from .common import LOWER, UPPER, free_names, fresh
 
 #: Production rules: host, path, verdict.
 RULES = [
@@ -28,7 +28,9 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    """host, path and verdict of the rules, as a relation of constants."""
+    each = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules])
+    return spark.range(1).select(F.inline(each))
 
 
 def host_of(url: Column) -> Column:
@@ -58,7 +60,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     A null URL, or one without ``://``, has an empty host and path, no rule and the default verdict. Repeated pages
     are judged alike and all returned. Of rules that fit, the one with most characters wins; of equal ones, block.
     Rules without a host fit nothing; with an empty path they fit every path. Columns host, path, rule and verdict
-    of the input are replaced; an empty table gives an empty result.
+    of the input are replaced, others stay whatever their names; an empty table gives an empty result.
     """
     rules = rules.where(F.coalesce(F.col("host"), F.lit("")) != "").select(
         F.translate("host", UPPER, LOWER).alias("_host"),
@@ -72,6 +74,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     keyed = rules.withColumn("_rule", F.concat("_host", "_path")).withColumn("_full", F.sha2("_rule", 256))
     keyed = keyed.select(F.substring("_full", 1, SHORT).alias("_short"), "_full", "_rule", "_verdict")
 
+    own, key, top = free_names(pages.columns, "_url", "_key", "_best")
     host, path = host_of(F.col("_url")), path_of(F.col("_url"))
     urls = pages.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct()
     asked = urls.select("_url", F.explode(expressions(host, path, shapes)).alias("_expression"))
@@ -80,14 +83,14 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     best = met.groupBy("_url").agg(
         F.max(F.struct(F.length("_rule").alias("n"), (F.col("_verdict") == "block").alias("b"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))).alias("_best")
     )
-    best = best.select(fresh("_url").alias("_key"), "_best")
+    best = best.select(fresh("_url").alias(key), F.col("_best").alias(top))
 
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*kept, F.col(url_col).alias("_url")).join(best, F.col("_url") == F.col("_key"), "left")
+    rows = pages.select(*kept, F.col(url_col).alias(own)).join(best, F.col(own) == F.col(key), "left")
     return rows.select(
         *kept,
-        host.alias("host"),
-        path.alias("path"),
-        F.col("_best.rule").alias("rule"),
-        F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"),
+        host_of(F.col(own)).alias("host"),
+        path_of(F.col(own)).alias("path"),
+        F.col(top)["rule"].alias("rule"),
+        F.coalesce(F.col(top)["verdict"], F.lit(default)).alias("verdict"),
     )
