@@ -37,30 +37,45 @@ ENDS = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td",
 ENDS |= dict.fromkeys(("thead", "tbody", "tfoot"), {"td", "th", "tr", "thead", "tbody", "tfoot"})
 BESIDE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"}
 BESIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-#: Words in a class or id of what stands beside an article.
-BESIDE_WORDS = {
-    "ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
+#: Role words of classes and ids. A name tells a role only if all its parts are role or layout words: a
+#: share-bar is one, a share-price is not.
+ROLE_WORDS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "paywall", "newsletter", "subscribe", "signup", "login",
-    "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "topbar", "toc", "skip",
+    "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "topbar", "toc",
     "sidebar", "aside", "widget", "widgets", "related", "recommended", "share", "sharing", "social", "header", "masthead", "footer", "copyright", "legal", "disclaimer",
     "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion", "form", "search",
 }
+LAYOUT_WORDS = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "center", "col", "column", "container", "content", "first", "fixed", "global", "group",
+    "holder", "inner", "item", "items", "last", "left", "link", "links", "list", "main", "middle", "outer", "page", "panel", "post", "posts", "primary", "reader", "region",
+    "right", "row", "secondary", "section", "site", "slot", "sticky", "thread", "top", "unit", "user", "wrap", "wrapper", "zone",
+}
 ARTICLE_WORDS = {"articlebody", "article-body", "post-content", "entry-content", "article-content", "story-body", "post-body"}
 #: Words of comment blocks: an article inside is a reader's. Teasers: a mere <article> inside is about another page.
 COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion"}
 TEASERS, TEASER_WORDS = {"nav", "footer", "aside", "menu"}, {"related", "recommended", "promo", "promotion", "sponsor", "sponsored", "ad", "ads", "advert", "adverts", "widget", "widgets"}
-WORDS = re.compile(r"[A-Za-z][a-z]*")
-#: Layout modifiers: a name that has one tells what the page has, not what the element is.
-MODIFIER = re.compile(r"(?:^|[-_])(?:no|has|have|with|without)[-_]", re.I)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 CONTAINERS = {"article", "content", "post", "entry", "main", "story", "page", "wrapper", "container", "layout"}
 #: How firmly an element is beside: if it holds no more than half of the page's text, till a named article opens, till
 #: <main> or an article body opens, for good.
 LOOSE, WEAK, TEASER, FIRM = 1, 2, 3, 4
 
 
-def words_in(held: dict[str, str]) -> set[str]:
-    """The words of class and id, but for names with a layout modifier."""
-    return {w.lower() for k in ("class", "id") for part in held.get(k, "").split() if not MODIFIER.search(part) for w in WORDS.findall(part)}
+def roles_in(held: dict[str, str]) -> set[str]:
+    """The role words of those names in class and id that hold nothing but role and layout words."""
+    found: set[str] = set()
+    for key in ("class", "id"):
+        for name in held.get(key, "").split():
+            parts = {w.lower() for w in WORDS.findall(name) if not w.isdigit()}
+            if parts and parts <= ROLE_WORDS | LAYOUT_WORDS:
+                found |= parts & ROLE_WORDS
+    return found
+
+
+def containers_in(held: dict[str, str]) -> set[str]:
+    """The container words that are names or parts of names in class and id."""
+    return {w.lower() for key in ("class", "id") for w in WORDS.findall(held.get(key, ""))} & CONTAINERS
 
 
 def beside(name: str, attributes: str, in_article: bool) -> int:
@@ -73,19 +88,18 @@ def beside(name: str, attributes: str, in_article: bool) -> int:
         return FIRM
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", held.get("style", ""), re.I):
         return FIRM
-    own, loose = words_in(held) - ({"form"} if by_name == LOOSE else set()), False
+    own, loose = roles_in(held) - ({"form"} if by_name == LOOSE else set()), False
     if in_article:
-        own -= {"header", "toc", "legal", "discussion", "alert", "notice"} if {"article", "post", "entry", "content"} & own else set()
-    elif CONTAINERS & own:
+        own -= {"header", "toc", "legal", "discussion", "alert", "notice"} if {"article", "post", "entry", "content"} & containers_in(held) else set()
+    elif containers_in(held):
         loose = True
-        own &= {"comment", "comments", "sidebar", "footer", "related", "nav", "menu", "ad", "ads"}
     if own & COMMENT_WORDS:
         return FIRM
     if not loose and own & (TEASER_WORDS | {"sidebar"}):
         return TEASER
     if loose and own:
         return max(by_name, LOOSE)
-    return max(by_name, WEAK if own & BESIDE_WORDS or held.get("role", "").lower() in BESIDE_ROLES else 0)
+    return max(by_name, WEAK if own or held.get("role", "").lower() in BESIDE_ROLES else 0)
 
 
 def names_article(name: str, attributes: str) -> int:
@@ -183,16 +197,25 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, share:
     named = any(article and not aside and n for _, n, aside, article in lines)
     # inside a named article neither blank lines nor what is dropped leave a gap; elsewhere they part what stands around
     inside = [line for line in lines if line[3] and line[0] and not line[2]] if named else lines
-    lengths = np.array([0 if aside else n for _, n, aside, _ in inside], np.int64)
+    kept = surged(np.array([0 if aside else n for _, n, aside, _ in inside], np.int64), window, surge, share)
+    return " ".join(text for (text, _, aside, _), k in zip(inside, kept, strict=True) if text and not aside and k)
+
+
+def surged(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> np.ndarray:
+    """Whether a line lies between a surge of the window's text and the dive that ends it.
+
+    A window is a line and those after it. It dives where all its lines are blank; of the lines between two dives all are
+    kept if some window among them reaches the smaller of surge and the share of the longest window's text.
+    """
     if not lengths.any():
-        return ""
+        return np.zeros(len(lengths), bool)
     padded = np.concatenate([lengths, np.zeros(window, np.int64)])
     blocks = sum(padded[k : len(lengths) + k] for k in range(window))
     least = min(surge, share * int(blocks.max()))
     run = np.cumsum(np.concatenate([[False], (blocks[:-1] == 0)]))  # a new run after each line that a dive begins at
-    surged = np.zeros(run[-1] + 1, bool)
-    np.logical_or.at(surged, run, blocks >= max(1, least))
-    return " ".join(text for (text, _, aside, _), r in zip(inside, run, strict=True) if text and not aside and surged[r])
+    reached = np.zeros(run[-1] + 1, bool)
+    np.logical_or.at(reached, run, blocks >= max(1, least))
+    return reached[run]
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
