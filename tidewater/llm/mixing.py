@@ -61,6 +61,15 @@ def flattened(sizes: dict[str, int], flatten: float = FLATTEN) -> dict[str, floa
     return {k: v / sum(powers.values()) for k, v in powers.items()}
 
 
+def with_each(values: Column, one: Column, k: int, f) -> Column:
+    """f of each of k values and one number, which is found once and not for each of them."""
+    return F.zip_with(values, F.array_repeat(one, k), f)
+
+
+def normalised(values: Column, k: int) -> Column:
+    return with_each(values, F.aggregate(values, F.lit(0.0), lambda a, b: a + b), k, lambda v, total: v / total)
+
+
 @dataclass
 class Classifier:
     """domains in ascending order, their log priors, and Spark's model; none is needed for a single domain."""
@@ -79,11 +88,12 @@ class Classifier:
         hashed = HashingTF(numFeatures=self.buckets, binary=True, inputCol=w, outputCol=x).transform(rows.withColumn(w, words))
         raw = self.model.setFeaturesCol(x).setPredictionCol("").setProbabilityCol("").setRawPredictionCol(r).transform(hashed)
         # words are not independent: their summed log likelihood grows with the root of their number only
-        n = F.greatest(F.size(F.array_distinct(F.col(w))), F.lit(1))
-        scores = F.zip_with(F.zip_with(vector_to_array(r), literal(list(self.model.pi.toArray())), lambda s, p: (s - p) * (F.lit(EVIDENCE) / F.sqrt(n))), literal(self.priors), lambda s, p: s + p)
+        evidence = F.zip_with(vector_to_array(r), literal(list(self.model.pi.toArray())), lambda s, p: s - p)
+        scale = F.lit(EVIDENCE) / F.sqrt(F.greatest(F.size(F.array_distinct(F.col(w))), F.lit(1)))
+        scores = F.zip_with(with_each(evidence, scale, len(self.domains), lambda s, f: s * f), literal(self.priors), lambda s, p: s + p)
         placed = raw.select(*keep, F.size(w).cast("long").alias("tokens"), scores.alias("posterior"))
-        placed = placed.withColumn("posterior", F.transform("posterior", lambda s: F.exp(s - F.array_max("posterior"))))
-        return placed.withColumn("posterior", F.transform("posterior", lambda e: e / F.aggregate("posterior", F.lit(0.0), lambda a, b: a + b)))
+        placed = placed.withColumn("posterior", with_each(F.col("posterior"), F.array_max("posterior"), len(self.domains), lambda s, top: F.exp(s - top)))
+        return placed.withColumn("posterior", normalised(F.col("posterior"), len(self.domains)))
 
 
 def learn_classifier(docs: DataFrame, domain: str, per_domain: int = PER_DOMAIN, buckets: int = BUCKETS) -> Classifier:
@@ -112,40 +122,46 @@ def learn_classifier(docs: DataFrame, domain: str, per_domain: int = PER_DOMAIN,
 
 def reweighed(posterior: Column, factors: list[float]) -> Column:
     """The posterior times a factor for each domain, normalised again."""
-    each = F.zip_with(posterior, literal(factors), lambda p, f: p * f)
-    total = sum((F.get(posterior, F.lit(d)) * F.lit(f) for d, f in enumerate(factors)), F.lit(0.0))
-    return F.transform(each, lambda p: p / total)
+    return normalised(F.zip_with(posterior, literal(factors), lambda p, f: p * f), len(factors))
+
+
+def spread(placed: DataFrame, k: int) -> DataFrame:
+    """tokens, and the posterior as a column for each domain: cheaper to read in every iteration than an array."""
+    return placed.select("tokens", *[F.get("posterior", F.lit(d)).alias(f"p{d}") for d in range(k)])
 
 
 def calibrate(placed: DataFrame, sizes: list[int]) -> list[float]:
-    """The factors that bring each domain's expected share of the tokens to its share of sizes."""
-    factors = [1.0] * len(sizes)
-    for _ in range(ROUNDS if sum(sizes) else 0):
-        got = expected(placed.select("tokens", reweighed(F.col("posterior"), factors).alias("posterior")), [0.0] * len(sizes))
-        ratios = [n / sum(sizes) / (g / sum(got)) if n > 0 and g > 0 else 1.0 for n, g in zip(sizes, got, strict=True)]
+    """The factors that bring each domain's expected share of the tokens to its share of sizes; placed has tokens and p0, p1, ..."""
+    factors, all_, k = [1.0] * len(sizes), sum(sizes), len(sizes)
+    for _ in range(ROUNDS if all_ else 0):
+        total = sum((F.col(f"p{d}") * F.lit(f) for d, f in enumerate(factors)), F.lit(0.0))
+        weighed = placed.select((F.col("tokens") / total).alias("w"), *[f"p{d}" for d in range(k)])
+        got = [f * (g or 0.0) for f, g in zip(factors, weighed.agg(*[F.sum(F.col("w") * F.col(f"p{d}")) for d in range(k)]).first(), strict=True)]
+        ratios = [n / all_ / (g / sum(got)) if n > 0 and g > 0 else 1.0 for n, g in zip(sizes, got, strict=True)]
         factors = [f * r for f, r in zip(factors, ratios, strict=True)]
         if max(abs(r - 1) for r in ratios) <= CALIBRATED:
             break
-    top = max(factors)
+    top = max(factors, default=1.0)
     return [f / top for f in factors]
 
 
-def rate_at(posterior: Column, steps: list[float]) -> Column:
-    """The rate after the steps taken so far, summed by domain, projected onto what isn't negative."""
+def rate_at(each: list[Column], steps: list[float]) -> Column:
+    """The rate after the steps taken so far, summed by domain, projected onto what isn't negative; each: the posteriors."""
     moved = F.lit(1.0)
-    for d, step in enumerate(steps):
-        moved = moved - F.get(posterior, F.lit(d)) * F.lit(step)
+    for p, step in zip(each, steps, strict=True):
+        moved = moved - p * F.lit(step)
     return F.greatest(F.lit(0.0), moved)
 
 
 def expected(placed: DataFrame, steps: list[float]) -> list[float]:
-    """The domains' expected tokens at these steps."""
-    weighed = placed.select((rate_at(F.col("posterior"), steps) * F.col("tokens")).alias("w"), "posterior")
-    return [x or 0.0 for x in weighed.agg(*[F.sum(F.col("w") * F.get("posterior", F.lit(d))).alias(f"t{d}") for d in range(len(steps))]).first()]
+    """The domains' expected tokens at these steps; placed has tokens and p0, p1, ..."""
+    each = [F.col(f"p{d}") for d in range(len(steps))]
+    weighed = placed.select((rate_at(each, steps) * F.col("tokens")).alias("w"), *each)
+    return [x or 0.0 for x in weighed.agg(*[F.sum(F.col("w") * p) for p in each]).first()]
 
 
 def fit(placed: DataFrame, weights: list[float], budget: float | None = None, iterations: int | None = None, tolerance: float = TOLERANCE) -> tuple[list[float], list[float]]:
-    """The summed gradient steps that left the least residual, and each domain's relative one; placed has tokens and posterior.
+    """The summed gradient steps that left the least residual, and each domain's relative one; placed has tokens and p0, p1, ...
 
     budget: the tokens that the targets share out; by default as many as need no document twice if domains were told
     apart without doubt. The residuals are weighed by the domains' own expected tokens. Rates start at 1 and are projected
@@ -207,18 +223,19 @@ def fit_rates(docs: DataFrame, targets: dict[str, float] | None = None, domain:
         return docs.select(*kept, *[c.alias(n) for n, c in none.items()])
     placed = staged(learned.posterior(docs.select(*kept), words, kept), "posteriors")
     sizes = {r[0]: r[1] for r in placed.where(F.col(domain).isNotNull()).groupBy(F.col(domain).cast("string")).agg(F.sum("tokens")).collect()}
-    factors = calibrate(placed, [sizes.get(d, 0) for d in learned.domains])
-    fitted = staged(placed.select("tokens", reweighed(F.col("posterior"), factors).alias("posterior")), "calibrated")
+    narrow = staged(spread(placed, len(learned.domains)), "narrow")
+    factors = calibrate(narrow, [sizes.get(d, 0) for d in learned.domains])
+    fitted = staged(spread(placed.select("tokens", reweighed(F.col("posterior"), factors).alias("posterior")), len(factors)), "calibrated")
     wanted = flattened({d: sizes.get(d, 0) for d in learned.domains}) if targets is None else targets
     wanted = [max(0.0, wanted.get(d, 0.0)) for d in learned.domains]
     weights = [w / (sum(wanted) or 1.0) for w in wanted]
     steps, residuals = fit(fitted, weights, float(fitted.agg(F.sum("tokens")).first()[0] or 0))
-    discard(fitted)
+    discard(fitted, narrow)
     for d, off in zip(learned.domains, residuals, strict=True):
         LOG.log(logging.WARNING if abs(off) > TOLERANCE else logging.INFO, "%s: expected tokens %+.3g of the target", d, off)
     placed = placed.withColumn("posterior", reweighed(F.col("posterior"), factors))
     best = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
-    rate = rate_at(F.col("posterior"), steps)
+    rate = rate_at([F.get("posterior", F.lit(d)) for d in range(len(steps))], steps)
     copies = (F.floor("rate") + (draw_of("mix", "doc_id") < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     rated = placed.select(*kept, "tokens", F.get(F.array(*map(F.lit, learned.domains)), best).alias("domain_pred"), "posterior", rate.alias("rate"), F.get(literal(residuals), best).alias("residual"))
     return rated.withColumn("copies", copies).select(*kept, *ADDED)
