@@ -84,6 +84,52 @@ def test_html_article_in_what_looks_beside():
         assert html_extract.main_text(f"<body>{outer}<main><p>{long}</p></main>") == ""
 
 
+def test_html_names_with_role_words_in_them_are_no_roles():
+    long = "This is running text that goes on for a while and says things, so that it is clearly the content of the page."
+    for name in ("share-price", "search-results", "header-bidding", "commentary", "menu-recipes", "notice-of-intent", "social-history", "legal-analysis"):
+        for page in (f"<article><p>{long}</p><div class='{name}'><p>{long}</p></div></article>", f"<p>{long}</p><p class='{name}'>{long}</p>"):
+            assert html_extract.main_text(page) == f"{long} {long}"
+    for name in ("share-bar", "searchBox", "site-header", "comments-area", "menu", "cookie-notice", "ad_slot 1", "social-links", "footer-widgets"):
+        assert html_extract.main_text(f"<article><p>{long}</p><div class='{name}'><p>{long}</p></div></article>") == long
+
+
+def brute_surges(lengths, window, surge, share):
+    """Window by window: runs begin after a dive, and a run stays whole if one of its windows surges."""
+    text = [sum(lengths[k : k + window]) for k in range(len(lengths))]
+    least, out, k = max(1, min(surge, share * max(text, default=0))), [False] * len(lengths), 0
+    while k < len(lengths):
+        end = k
+        while end < len(lengths) - 1 and text[end] > 0:
+            end += 1
+        for i in range(k, end + 1):
+            out[i] = any(lengths) and any(t >= least for t in text[k : end + 1])
+        k = end + 1
+    return out
+
+
+def test_html_windows_match_brute_force():
+    rng = random.Random(11)
+    for _ in range(500):
+        lengths = [rng.choice([0, 0, 0, 0, rng.randrange(1, 15), rng.randrange(1, 300)]) for _ in range(rng.randrange(0, 40))]
+        window, surge, share = rng.randrange(1, 5), rng.choice([0, 10, 60, 200]), rng.choice([0.0, 0.1, 0.5])
+        assert list(html_extract.surged(np.array(lengths, np.int64), window, surge, share)) == brute_surges(lengths, window, surge, share)
+
+
+def test_html_windows_decide_where_nothing_is_named(monkeypatch):
+    # no element names its role: only the lengths of lines tell the article from what stands around it
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice(["some", "words", "of", "text"]) for _ in range(n))
+    for _ in range(50):
+        story = [text(rng.randrange(30, 90)) for _ in range(rng.randrange(2, 6))]
+        stray = [text(2) for _ in range(4)]
+        gap = "<div></div>" * 6
+        page = "".join(f"<div>{x}</div>{gap}" for x in stray[:2]) + "".join(f"<div>{x}</div>" for x in story) + "".join(f"{gap}<div>{x}</div>" for x in stray[2:])
+        assert html_extract.main_text(page) == " ".join(story)
+        with monkeypatch.context() as without:
+            without.setattr(html_extract, "surged", lambda lengths, *_: np.ones(len(lengths), bool))
+            assert html_extract.main_text(page) == " ".join(stray[:2] + story + stray[2:])
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -199,7 +245,7 @@ def test_posterior_is_naive_bayes(spark):
 def test_mixing_matches_numpy(spark):
     rng = np.random.default_rng(0)
     p, tokens = rng.dirichlet([0.3] * 3, 200), rng.integers(10, 200, 200)
-    df = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p)], "tokens long, posterior array<double>")
+    df = spark.createDataFrame([(int(t), *[float(x) for x in q]) for t, q in zip(tokens, p)], "tokens long, p0 double, p1 double, p2 double")
     w = np.array([0.5, 0.3, 0.2])
     steps, off = mixing.fit(df, list(w), tolerance=1e-7)
     own = (tokens[:, None] * p).sum(0)
