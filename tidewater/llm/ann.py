@@ -3,7 +3,8 @@
 A few hundred pivots are taken from the vectors; every vector is represented by its nearest pivots in order. Shards of
 rows hold inverted files, one list of (place, row) for each pivot. A query walks the lists of its own nearest pivots,
 which gives each row's footrule distance between the two orders; the closest share of every shard is reranked by the
-exact inner product. Shards are dealt by a hash of the id, so no list is hot, and each query block meets each shard.
+exact inner product. Shards are dealt by a hash of the id, so no list is hot. The stated queries meet all rows in blocks:
+each block of queries meets each shard, which copies the index once for so many queries.
 
 Beyond the first copies of a vector, further ones can't be among a query's nearest, as ties go to smaller ids: they
 are left out of the shards, and queries with equal vectors are searched once.
@@ -23,7 +24,7 @@ from .common import fresh_long, staged
 #: Pivots (the vectors with the smallest id hashes), nearest pivots kept of each vector, share of a shard reranked.
 PIVOTS, NEAREST, SHARE = 512, 64, 0.2
 #: Rows of a shard and queries of a block, about.
-SHARD, BLOCK = 16384, 4096
+SHARD, BLOCK = 16384, 16384
 
 
 def usable(vector: Column) -> Column:
@@ -77,8 +78,8 @@ def nearest_neighbours(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: of every query (is_query, on vec_id) the top rows with the largest inner product.
 
-    Vectors that are null, empty, zero, of an uncommon length, or hold null or non-finite components take no part;
-    rows that repeat an id count once (the smallest vector). A query isn't its own neighbour. Equal scores go to the
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part; nor do those of another length
+    than most, with which there is no inner product. Rows that repeat an id count once (the smallest vector). A query isn't its own neighbour. Equal scores go to the
     smaller id; fewer than top candidates are all returned; an empty table gives an empty result.
     """
     rows = staged(clean_vectors(vectors, id_col, vector_col), "vectors")
@@ -117,7 +118,7 @@ def nearest_neighbours(
     near = near.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= top + 1)
     lists = near.groupBy("_class").agg(F.array_sort(F.collect_list(F.struct("_rank", "vec_id", "score"))).alias("_list"))
 
-    named = asked.join(classes, "vector").select(F.col("vec_id").alias("query_id"), "_class")
+    named = asked.join(classes.select(F.concat("vector", F.array().cast("array<double>")).alias("_of"), "_class"), F.col("vector") == F.col("_of")).select(F.col("vec_id").alias("query_id"), "_class")
     met = named.join(lists.select(fresh_long("_class").alias("_of"), "_list"), F.col("_class") == F.col("_of"))
     others = F.slice(F.filter("_list", lambda x: x["vec_id"] != F.col("query_id")), 1, top)
     each = met.select("query_id", F.posexplode(others).alias("_at", "_found"))

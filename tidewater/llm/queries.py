@@ -25,7 +25,7 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.fit_rates(docs).select("doc_id", "source", "domain_pred", "tokens", "rate", "copies")
+    return mixing.fit_rates(docs).select("doc_id", "source", "domain_pred", "tokens", "rate", "copies", "residual")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
