@@ -153,6 +153,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "tex
                 ids = _lists(*own.encode_all([t or "" for t in part.column(len(names)).to_pylist()]))
                 decoded = pa.array([own.decode(x.values.to_numpy().tolist()) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), ids, decoded], names=[*names, "token_ids", "decoded_text"])
+        own.known.clear()  # the worker lives on and runs other stages
 
     added = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_text", T.StringType())]
     return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, T.StructType([*fields, *added]))

@@ -68,12 +68,14 @@ def print_of(own: np.ndarray) -> bytes:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-        prints = [print_of(s) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([int.from_bytes(p[:8], "little", signed=True) for p in prints], pa.int64())],
-            names=["doc_id", "n", "print", "mark"],
-        )
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            sets = [shingle_set(t.as_py()) for t in part.column(1)]
+            prints = [print_of(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([int.from_bytes(p[:8], "little", signed=True) for p in prints], pa.int64())],
+                names=["doc_id", "n", "print", "mark"],
+            )
 
 
 def _meetings(percent: int, extra: float):

@@ -25,7 +25,7 @@ SPACE, PER_CLASS, FEATURES, CHI2, LEAST = 1 << 22, 8000, 1024, 20.0, 4
 #: Length of a feature's vector, steps of gradient descent, weight of the penalty.
 FACTORS, STEPS, DECAY = 4, 300, 1e-3
 WORD, STARTS = re.compile(r"[^\W_]+"), (4, 5, 6)
-REMEMBERED = 300_000
+REMEMBERED = 80_000
 
 
 def hashed(word: str) -> list[int]:
