@@ -6,9 +6,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import align, bars, curve, forecast, pairs, spectral
+from tidewater.operators import align, bars, curve, flow, forecast, pairs, spectral
 from tidewater.plans import ORACLE_SQL, QUERIES
 
 
@@ -91,7 +92,18 @@ def test_ssa_continues_a_cycle():
     assert np.abs(path - truth).mean() < np.abs(x[-1] - truth).mean() / 3 and share > 0.9
 
 
-SAMPLE = ["a3_bar_upsert", "b2_bar_merge", "c8_as_of_close", "d5_best_lag", "e2_crossings", "f11_flow_attribution", "g1_market_events", "k14_scoring", "l4_trigger_study", "m13_cash_accounts", "n11_lexicon_sentiment", "r1_stream_bars"]
+def test_tiles_are_those_of_one_window(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"A{i % 7}", i, float(rng.integers(0, 40)) if i % 3 else 1.0, int(i % 2)) for i in range(503)]
+    df = spark.createDataFrame(rows, "asset string, ts long, x double, g int")
+    for by in ((), ("g",)):
+        want = df.withColumn("tile", F.ntile(5).over(Window.partitionBy(*by).orderBy("x", "asset", "ts")))
+        assert sorted(map(tuple, flow.with_tile(df, "x", "tile", by).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    few = flow.with_tile(df.limit(3), "x", "tile").collect()
+    assert sorted(r["tile"] for r in few) == [1, 2, 3] and flow.with_tile(df.limit(0), "x", "tile").count() == 0
+
+
+SAMPLE = ["f16_overhang_quintiles", "f17_double_sort", "a3_bar_upsert", "b2_bar_merge", "c8_as_of_close", "d5_best_lag", "e2_crossings", "f11_flow_attribution", "g1_market_events", "k14_scoring", "l4_trigger_study", "m13_cash_accounts", "n11_lexicon_sentiment", "r1_stream_bars"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)

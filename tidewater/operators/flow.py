@@ -134,11 +134,28 @@ def forward_sum(rows: DataFrame, value: str, h: int) -> DataFrame:
     return rows.withColumn("ahead", F.when(F.count(value).over(ahead) == h, F.sum(value).over(ahead)))
 
 
+def with_tile(rows: DataFrame, value: str, name: str, by: tuple[str, ...] = (), tiles: int = 5, parts: int = 64) -> DataFrame:
+    """rows with the ntile by (value, asset, ts), in each group of by: what ntile over one window gives, without one task
+    that sorts all rows. Rows are numbered inside parts between approximate quantiles; the parts' counts, a few rows a group, add up
+    to where each begins."""
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("_cuts"))
+    dealt = rows.join(F.broadcast(cuts), list(by)) if by else rows.crossJoin(F.broadcast(cuts))
+    dealt = dealt.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    before, whole = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    sizes = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_k"))
+    sizes = sizes.select(*by, "_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(whole).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(value, "asset", "ts")) + F.col("_before")
+    placed = dealt.join(F.broadcast(sizes), [*by, "_part"]).withColumn("_rank", rank)
+    base, more = F.floor(F.col("_n") / tiles), F.col("_n") % tiles  # the first tiles have one row more
+    wide = more * (base + 1)
+    tile = F.when(F.col("_rank") <= wide, F.ceil(F.col("_rank") / (base + 1))).otherwise(more + F.ceil((F.col("_rank") - wide) / F.when(base > 0, base)))
+    return placed.withColumn(name, tile.cast("int")).drop("_part", "_before", "_n", "_rank")
+
+
 def quintile_study(rows: DataFrame, feature: str) -> DataFrame:
     """Mean and count of ``ahead`` in each fifth of a feature."""
-    at = Window.orderBy(feature, "asset", "ts")
     n = rows.where(f"{feature} IS NOT NULL AND ahead IS NOT NULL")
-    return n.withColumn("fifth", F.ntile(5).over(at)).groupBy("fifth").agg(F.avg("ahead").alias("mean_ahead"), F.count(F.lit(1)).alias("n"), F.stddev_samp("ahead").alias("sd_ahead"))
+    return with_tile(n, feature, "fifth").groupBy("fifth").agg(F.avg("ahead").alias("mean_ahead"), F.count(F.lit(1)).alias("n"), F.stddev_samp("ahead").alias("sd_ahead"))
 
 
 def spread_test(fifths: DataFrame) -> DataFrame:
@@ -164,8 +181,8 @@ def feature_control(rows: DataFrame, x1: str, x2: str) -> DataFrame:
 
 def double_sort(rows: DataFrame, x1: str, x2: str) -> DataFrame:
     """Mean and count of ``ahead`` in fifths of one feature inside fifths of another."""
-    own_ = rows.where(f"{x1} IS NOT NULL AND {x2} IS NOT NULL AND ahead IS NOT NULL").withColumn("fifth1", F.ntile(5).over(Window.orderBy(x1, "asset", "ts")))
-    own_ = own_.withColumn("fifth2", F.ntile(5).over(Window.partitionBy("fifth1").orderBy(x2, "asset", "ts")))
+    own_ = with_tile(rows.where(f"{x1} IS NOT NULL AND {x2} IS NOT NULL AND ahead IS NOT NULL"), x1, "fifth1")
+    own_ = with_tile(own_, x2, "fifth2", ("fifth1",))
     return own_.groupBy("fifth1", "fifth2").agg(F.avg("ahead").alias("mean_ahead"), F.count(F.lit(1)).alias("n"))
 
 
