@@ -14,8 +14,11 @@ from .registry import query, rounded
 
 
 def folder(spark) -> str:
-    """A new folder where the cluster's shared one is named, or a temporary one in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewater-")
+    """A new folder in the cluster's shared one; a temporary one only if driver and executors are one process, as in tests."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="tidewater-")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
