@@ -144,3 +144,17 @@ def facet_counts(assets: DataFrame) -> DataFrame:
 
 def log_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("r", log_return(F.col("close"), F.lag("close").over(own())))
+
+
+def ingest(fetched: DataFrame, stored: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
+    """The table after clean bars of a batch are put over the stored ones, and each asset's bars fetched, rejected and written."""
+    flagged = flag_outliers(fetched, most)
+    values = ["open", "high", "low", "close", "volume"]
+    table = upsert(stored.select("asset", "ts", *values), flagged.where("kept").select("asset", "ts", *values), ["asset", "ts"])
+    report = flagged.groupBy("asset").agg(F.count(F.lit(1)).alias("fetched"), F.count_if(~F.col("kept")).alias("rejected"), F.count_if("kept").alias("written"))
+    return table, report
+
+
+def write_track(old: DataFrame, batch: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The track after a batch: one row of the batch for each key, the first by order, put over the old rows."""
+    return upsert(old, last_of_batch(batch, keys, order), keys)

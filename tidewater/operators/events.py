@@ -41,6 +41,25 @@ def confirmed(train: DataFrame, test: DataFrame, top: int, least_t: float = 2.0)
     return both.agg(F.count(F.lit(1)).alias("links"), F.avg((F.signum("mean") == F.signum("_m")).cast("double")).alias("same_sign"))
 
 
+def scan(train: DataFrame, test: DataFrame, top: int, least_t: float = 2.0) -> DataFrame:
+    """The strongest links of one period with what became of them in the next: confirmed (same sign, |t| large again), weak (same
+    sign), refuted, or untested where the next period has too few events."""
+    best = train.where(F.abs("t") >= least_t).orderBy(F.desc(F.round(F.abs("t"), 9)), "leader", "follower").limit(top)
+    both = best.join(test.select("leader", "follower", F.col("mean").alias("_m"), F.col("t").alias("t_test")), ["leader", "follower"], "left")
+    same = F.signum("mean") == F.signum("_m")
+    verdict = F.when(F.col("_m").isNull(), "untested").when(same & (F.abs("t_test") >= least_t), "confirmed").when(same, "weak").otherwise("refuted")
+    return both.select("leader", "follower", "n", "t", "t_test", verdict.alias("verdict"))
+
+
+def shuffled_events(rows: DataFrame, least: float) -> DataFrame:
+    """As many events of each leader as it has moves beyond ``least``, at positions that a digest draws: leader, ts, sign.
+    The draw is the same in every run. rows: asset, ts, r."""
+    whole = Window.partitionBy("asset")
+    drawn = F.row_number().over(whole.orderBy(F.md5(F.concat_ws("|", "asset", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))), "ts"))
+    kept = rows.withColumn("_k", drawn).withColumn("_n", F.count_if(F.abs("r") > least).over(whole)).where("_k <= _n")
+    return kept.select(F.col("asset").alias("leader"), "ts", F.signum("r").alias("sign"))
+
+
 def shape_windows(bars: DataFrame, n: int, ahead: int, step: int) -> DataFrame:
     """asset, ts, shape, forward: log-price windows of n bars, standardised, every ``step`` bars, with the return after."""
     x = F.ln("close")

@@ -123,3 +123,12 @@ def decorrelated(ranking: DataFrame, pairs: DataFrame, top: int, limit: float) -
     rows = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "asset", "_near"))).alias("_r"))
     kept = F.aggregate("_r", F.array().cast("array<string>"), lambda acc, x: F.when(F.arrays_overlap(acc, x["_near"]), acc).otherwise(F.concat(acc, F.array(x["asset"]))))
     return rows.select(F.posexplode(kept).alias("place", "asset")).select((F.col("place") + 1).alias("place"), "asset")
+
+
+def total(wealth: DataFrame, rates: DataFrame, series: dict[str, str]) -> DataFrame:
+    """ts, total, gain: all depots in one currency. wealth: depot, ts, wealth, paid (what was paid in by then). rates: series, ts, rate, filled
+    forward. series: which rate a depot's currency has; other depots are in the target currency. Before a rate's first value its depot is left out."""
+    foreign = F.create_map(*[F.lit(x) for pair in series.items() for x in pair])[F.col("depot")]
+    met = wealth.withColumn("series", foreign).join(rates, ["series", "ts"], "left").withColumn("_r", F.when(F.col("series").isNull(), 1.0).otherwise(F.col("rate")))
+    sums = met.groupBy("ts").agg(F.sum(F.col("wealth") * F.col("_r")).alias("total"), F.sum(F.col("paid") * F.col("_r")).alias("_p"))
+    return sums.select("ts", "total", (F.col("total") - F.col("_p")).alias("gain"))

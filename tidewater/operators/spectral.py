@@ -58,7 +58,7 @@ def coherence(transformed: DataFrame) -> DataFrame:
 
 
 def hurst(returns: DataFrame, least_box: int = 8) -> DataFrame:
-    """asset, hurst, r2, label by detrended fluctuation: the profile's residual in boxes of growing size, on log scales.
+    """asset, hurst, r2, label, confidence by detrended fluctuation: the profile's residual in boxes of growing size, on log scales.
 
     returns: asset, ts, r. Each box's regression is a moment sum, so boxes are groups of one aggregate."""
     w = own()
@@ -75,7 +75,48 @@ def hurst(returns: DataFrame, least_box: int = 8) -> DataFrame:
     scales = boxes.groupBy("asset", "box").agg(F.sqrt(F.sum(rest) / (F.count(F.lit(1)) * F.col("box"))).alias("_f")).where("_f > 0").select("asset", F.ln("box").alias("lx"), F.ln("_f").alias("ly"))
     fit = scales.groupBy("asset").agg(F.regr_slope("ly", "lx").alias("_h"), F.regr_r2("ly", "lx").alias("r2"), F.count(F.lit(1)).alias("_c")).where("_c >= 4")
     h = F.greatest(F.lit(0.0), F.least(F.lit(1.2), F.col("_h")))
-    return fit.select("asset", h.alias("hurst"), "r2", F.when(h > 0.55, "trending").when(h < 0.45, "reverting").otherwise("random").alias("label"))
+    return fit.select("asset", h.alias("hurst"), "r2", F.when(h > 0.55, "trending").when(h < 0.45, "reverting").otherwise("random").alias("label"), (F.least(F.lit(1.0), F.abs(h - 0.5) / 0.25) * F.col("r2")).alias("confidence"))
+
+
+def regime_prior(regimes: DataFrame) -> DataFrame:
+    """asset, model, weight: trending series lean to momentum and drift, reverting ones to the mean, by confidence; the weights
+    add up to 1, or are all 1 without confidence. regimes: see hurst."""
+    k = 1 + 0.5 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence")))
+    trending, reverting, one = F.col("label") == "trending", F.col("label") == "reverting", F.lit(1.0)
+    raw = {"naive": one, "drift": F.when(trending, k).otherwise(one), "momentum": F.when(trending, k).when(reverting, 1 / k).otherwise(one), "meanrev": F.when(trending, 1 / k).when(reverting, k).otherwise(one), "leadlag": one}
+    each = F.array(*[F.struct(F.lit(m).alias("model"), v.alias("weight")) for m, v in raw.items()])
+    total = F.when(F.col("confidence") > 0, F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["weight"])).otherwise(1.0)
+    return regimes.withColumn("_w", each).withColumn("_t", total).select("asset", "_t", F.explode("_w").alias("_m")).select("asset", "_m.model", (F.col("_m.weight") / F.col("_t")).alias("weight"))
+
+
+def band_pass(bars: DataFrame, shortest: float = 5.0, longest: float = 120.0) -> DataFrame:
+    """asset, ts, band: log price between two exponential means, a fast one that drops what is shorter than the band and a slow one
+    that drops what is longer. The run-in is left out where enough remains; series under 8 bars give nothing."""
+    fast, slow = 2 / (max(2.0, shortest / 2) + 1), 2 / (max(4.0, longest * 1.2) + 1)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("ts")
+        n, y = len(part), np.log(part["close"])
+        warm = min(n // 4, int(2 * longest))
+        out = part[["asset", "ts"]].assign(band=y.ewm(alpha=fast, adjust=False).mean() - y.ewm(alpha=slow, adjust=False).mean())
+        return out.iloc[warm if n - warm > 32 else 0 :] if n >= 8 else out.iloc[:0]
+
+    return bars.where("close > 0").select("asset", "ts", "close").groupBy("asset").applyInPandas(run, "asset string, ts timestamp, band double")
+
+
+def cycle_stability(transformed: DataFrame, segment: int, segments: int = 7, near: float = 0.2, least: float = 4.0) -> DataFrame:
+    """asset, windows, stability, period, deviation, prominence: in how many rolling windows of ``segments`` half-overlapping segments
+    the strongest period lies near the median one. A window whose peak doesn't stand out counts as a miss.
+
+    transformed: see fourier; windows share its segments, so each is transformed once."""
+    rolling = transformed.withColumn("_w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("seg") - (segments - 1)), F.col("seg"))))
+    power = rolling.groupBy(F.struct("asset", "_w").alias("asset"), "k").agg(F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"), F.count(F.lit(1)).alias("_n"))
+    peaks = summary(power.where(F.col("_n") == segments).drop("_n"), segment).select("asset.asset", F.when(F.col("prominence") >= least, F.col("period")).alias("p"), "prominence")
+    middle = peaks.groupBy("asset").agg(F.percentile("p", F.lit(0.5)).alias("_m"), F.percentile("prominence", F.lit(0.5)).alias("prominence"))
+    met = peaks.select("asset", "p").join(middle, "asset")
+    off = F.abs(F.col("p") - F.col("_m"))
+    own_ = met.groupBy("asset", "_m", "prominence").agg(F.count(F.lit(1)).alias("windows"), F.avg(F.when(off / F.col("_m") <= near, 1.0).otherwise(0.0)).alias("stability"), F.avg(off).alias("deviation"))
+    return own_.select("asset", "windows", "stability", F.coalesce("_m", F.lit(0.0)).alias("period"), F.coalesce("deviation", F.lit(0.0)).alias("deviation"), "prominence")
 
 
 def ssa_forecast(x: np.ndarray, window: int, components: int, ahead: int) -> tuple[np.ndarray, float]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.series import clamp, correlation, slope
+
 #: Words of the sentiment lexicon with their weights, negations, and marker words of languages.
 LEXICON = {"good": 1.0, "great": 1.5, "gain": 1.0, "rise": 1.0, "strong": 1.0, "profit": 1.0, "bad": -1.0, "loss": -1.0, "fall": -1.0, "weak": -1.0, "worthless": -1.5, "stupid": -1.0, "trash": -1.0, "pathetic": -1.0}
 NEGATIONS = ["not", "no", "never", "without", "nicht", "kein", "pas", "sin"]
@@ -93,6 +95,17 @@ def decayed(scores: DataFrame, half_life_h: float = 24.0) -> DataFrame:
     return scores.groupBy("asset").agg((F.sum(F.col("mood") * w) / F.sum(w)).alias("mood"), F.count(F.lit(1)).alias("texts"))
 
 
+def calibration(pairs: DataFrame, least: int = 30) -> DataFrame:
+    """h, n, r, slope, threshold, skill: whether moods (s) tell the return after (r) at each horizon. The threshold is what
+    chance reaches, 2 / sqrt(n); skill grows only beyond it, and below it the slope counts as 0. Fewer than ``least`` pairs give zeros."""
+    own_ = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), correlation("s", "r", 1).alias("_r"), slope("r", "s", 1).alias("_b"))
+    enough, bar, size = F.col("n") >= least, 2 / F.sqrt("n"), F.abs("_r")
+    return own_.select(
+        "h", "n", F.when(enough, F.col("_r")).otherwise(0.0).alias("r"), F.when(enough & (size > bar), F.col("_b")).otherwise(0.0).alias("slope"), F.when(enough, bar).otherwise(0.0).alias("threshold"),
+        F.when(enough, clamp((size - bar) / 0.1, 0.0, 1.0)).otherwise(0.0).alias("skill"),
+    )
+
+
 def detect_language(docs: DataFrame, markers: DataFrame) -> DataFrame:
     """The language with most marker words, if three at least and twice those of the next; else null. markers: token, lang."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")

@@ -161,6 +161,13 @@ def quality_report(spark, sf_dir):
     return rounded(ops.quality_report(ops.flag_outliers(t.bars(spark, sf_dir), ops.JUMP["1d"])))
 
 
+@query("a11_ingest", f"""{FLAGS_SQL} SELECT asset, count(*) AS fetched, count(*) FILTER (NOT kept) AS rejected, count(*) FILTER (kept) AS written, count(*) FILTER (kept OR ts < TIMESTAMP '1995-01-01') AS stored FROM f GROUP BY 1""")
+def ingest(spark, sf_dir):
+    bars = t.bars(spark, sf_dir)
+    table, report = ops.ingest(bars, bars.where("ts < TIMESTAMP '1995-01-01'"), ops.JUMP["1d"])
+    return report.join(table.groupBy("asset").agg(F.count(F.lit(1)).alias("stored")), "asset")
+
+
 @query("b5_jumpy_assets", f"""WITH {D}, s AS (SELECT asset, close / lag(close) OVER (PARTITION BY asset ORDER BY ts) AS f FROM bars WHERE close > 0)
     SELECT asset, count(*) AS jumps, round(max(greatest(f, 1 / f)), 6) AS worst FROM s WHERE greatest(f, 1 / f) > 8 GROUP BY 1 HAVING count(*) >= 2""")
 def jumpy_assets(spark, sf_dir):

@@ -11,7 +11,7 @@ from tidewater.operators.bars import log_returns
 from tidewater.sources import tables as t
 
 from .alignment import D, RET, WK
-from .flow import NEUTRAL, flow
+from .flow import NEUTRAL
 from .registry import query, rounded
 
 A = t.ASSET_SQL
@@ -71,6 +71,7 @@ def type_statistics(spark, sf_dir):
 TRAN = f"""{NEUTRAL}, lead_ev AS (SELECT asset AS leader, ts, sign(r) AS sign FROM ret WHERE abs(r) > 2),
     mt AS (SELECT leader, ah.asset AS follower, lead_ev.ts, sign * ahead AS x FROM lead_ev JOIN ah ON ah.ts = lead_ev.ts AND ah.asset <> leader WHERE ahead IS NOT NULL)"""
 MEAS = "SELECT leader, follower, count(*) AS n, avg(x) AS mean, greatest(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0 END), 1 - avg(CASE WHEN x > 0 THEN 1.0 ELSE 0 END)) AS consistency, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t FROM mt {w} GROUP BY 1, 2 HAVING count(*) >= 12"
+SHUFFLED = "SELECT asset AS leader, ts, sign(r) AS sign FROM ret QUALIFY row_number() OVER (PARTITION BY asset ORDER BY md5(asset || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')), ts) <= count(*) FILTER (abs(r) > 2) OVER (PARTITION BY asset)"
 SPLIT = "TIMESTAMP '1999-01-01 00:00:00'"
 
 
@@ -91,6 +92,25 @@ def confirmation(spark, sf_dir):
     return rounded(ops.confirmed(transmitted(spark, sf_dir, f"ts < {SPLIT}"), transmitted(spark, sf_dir, f"ts >= {SPLIT}"), 30))
 
 
+@query("g13_shuffle_control", f"WITH {D}{TRAN.replace('SELECT asset AS leader, ts, sign(r) AS sign FROM ret WHERE abs(r) > 2', SHUFFLED)}, m AS ({MEAS.format(w='')}) SELECT leader, follower, n, round(mean, 6) AS mean, round(consistency, 6) AS consistency, round(t, 5) AS t FROM m")
+def shuffle_control(spark, sf_dir):
+    rows = flows.forward_sum(flows.market_neutral(t.bars(spark, sf_dir)), "neutral", 10)
+    return rounded(ops.transmission(ops.shuffled_events(rows.select("asset", "ts", "r"), 2.0), rows.select(F.col("asset").alias("follower"), "ts", "ahead")), t=5)
+
+
+@query("g14_transmission_scan", f"""WITH {D}{TRAN}, tr AS ({MEAS.format(w='WHERE ts < ' + SPLIT)}), te AS ({MEAS.format(w='WHERE ts >= ' + SPLIT)}), b AS (SELECT * FROM tr WHERE abs(t) >= 2 ORDER BY round(abs(t), 9) DESC, leader, follower LIMIT 100)
+    SELECT b.leader, b.follower, b.n, round(b.t, 5) AS t, round(te.t, 5) AS t_test, CASE WHEN te.mean IS NULL THEN 'untested' WHEN sign(b.mean) = sign(te.mean) AND abs(te.t) >= 2 THEN 'confirmed' WHEN sign(b.mean) = sign(te.mean) THEN 'weak' ELSE 'refuted' END AS verdict FROM b LEFT JOIN te ON te.leader = b.leader AND te.follower = b.follower""")
+def transmission_scan(spark, sf_dir):
+    return rounded(ops.scan(transmitted(spark, sf_dir, f"ts < {SPLIT}"), transmitted(spark, sf_dir, f"ts >= {SPLIT}"), 100), 5)
+
+
+@query("g8_event_page", f"WITH {D}{EV}, f AS (SELECT asset, ts, kind, severity FROM me WHERE severity >= 40 AND NOT (z < 2 AND dbl < 2) AND kind <> 'mixed' AND severity >= 60) SELECT asset, ts, kind, CAST(severity AS DOUBLE) AS severity, (SELECT count(*) FROM f) AS total FROM f ORDER BY severity DESC, ts DESC, asset LIMIT 25 OFFSET 25")
+def event_page(spark, sf_dir):
+    found = ops.market_events(t.bars(spark, sf_dir)).where("kind <> 'mixed' AND severity >= 60").select("asset", "ts", "kind", "severity")
+    page = found.orderBy(F.desc("severity"), F.desc("ts"), "asset").offset(25).limit(25)
+    return page.join(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))
+
+
 def shapes(spark, sf_dir):
     return ops.shape_windows(t.bars(spark, sf_dir, "week"), 30, 5, 5)
 
@@ -155,7 +175,40 @@ def coherence(spark, sf_dir):
     return rounded(spectral.coherence(transformed(spark, sf_dir)), phase=5)
 
 
-@query("h9_hurst")
+SIZES, _box = [], 8.0
+while _box < 1e6:
+    SIZES.append(int(_box))
+    _box *= 1.35
+DFA = f"""{RET}, h0 AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS i, ts, r - avg(r) OVER (PARTITION BY asset) AS c, count(*) OVER (PARTITION BY asset) AS n FROM ret), h1 AS (SELECT asset, i, n, sum(c) OVER (PARTITION BY asset ORDER BY ts ROWS UNBOUNDED PRECEDING) AS y FROM h0),
+    h2 AS (SELECT asset, box, i // box AS k, regr_syy(y, i) AS syy, regr_sxy(y, i) AS sxy, regr_sxx(y, i) AS sxx FROM h1 JOIN (SELECT unnest({SIZES}) AS box) z ON box <= n / 4 WHERE (i // box + 1) * box <= n GROUP BY 1, 2, 3),
+    h3 AS (SELECT asset, box, sqrt(sum(greatest(syy - sxy * sxy / sxx, 0)) / (count(*) * box)) AS f FROM h2 GROUP BY 1, 2), h4 AS (SELECT asset, least(1.2, greatest(0, regr_slope(ln(f), ln(box)))) AS hurst, regr_r2(ln(f), ln(box)) AS r2 FROM h3 WHERE f > 0 GROUP BY 1 HAVING count(*) >= 4),
+    hu AS (SELECT asset, hurst, r2, CASE WHEN hurst > 0.55 THEN 'trending' WHEN hurst < 0.45 THEN 'reverting' ELSE 'random' END AS label, least(1, abs(hurst - 0.5) / 0.25) * r2 AS confidence FROM h4)"""
+
+
+@query("h2_band_pass", f"""WITH RECURSIVE {WK}, l AS (SELECT asset, ts, ln(close) AS y, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i, count(*) OVER (PARTITION BY asset) AS n FROM bars WHERE close > 0),
+    g AS (SELECT asset, i, ts, n, y AS fast, y AS slow FROM l WHERE i = 1 UNION ALL SELECT l.asset, l.i, l.ts, l.n, fast + (2 / 3.5) * (y - fast), slow + (2 / 145.0) * (y - slow) FROM g JOIN l ON l.asset = g.asset AND l.i = g.i + 1)
+    SELECT asset, ts, round(fast - slow, 6) AS band FROM g WHERE n >= 8 AND i > CASE WHEN n - least(n // 4, 240) > 32 THEN least(n // 4, 240) ELSE 0 END""")
+def band_pass(spark, sf_dir):
+    return rounded(spectral.band_pass(t.bars(spark, sf_dir, "week")))
+
+
+@query("h6_cycle_stability", f"""WITH {D}{DET}{FOU.replace('range(12, 129)', 'range(5, 103)')}, w0 AS (SELECT asset, k, re, im, unnest(range(greatest(0, seg - 6), seg + 1)) AS w FROM fo), wp AS (SELECT asset, w, k, avg(re * re + im * im) AS power FROM w0 GROUP BY 1, 2, 3 HAVING count(*) = 7),
+    wr AS (SELECT *, median(power) OVER (PARTITION BY asset, w ORDER BY k ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS ring FROM wp), pk AS (SELECT asset, w, first(4.0 * {SEGMENT} / k ORDER BY power DESC, k) AS period, first(power / ring ORDER BY power DESC, k) AS prominence FROM wr GROUP BY 1, 2),
+    pv AS (SELECT *, CASE WHEN prominence >= 4 THEN period END AS p, median(CASE WHEN prominence >= 4 THEN period END) OVER (PARTITION BY asset) AS m, median(prominence) OVER (PARTITION BY asset) AS pm FROM pk)
+    SELECT asset, count(*) AS windows, round(avg(CASE WHEN abs(p - m) / m <= 0.2 THEN 1.0 ELSE 0 END), 6) AS stability, round(coalesce(any_value(m), 0), 6) AS period, round(coalesce(avg(abs(p - m)), 0), 6) AS deviation, round(any_value(pm), 6) AS prominence FROM pv GROUP BY 1""")
+def cycle_stability(spark, sf_dir):
+    grid = spark.range(5, 103).select(F.col("id").cast("int").alias("k"))
+    return rounded(spectral.cycle_stability(spectral.fourier(spectral.detrended(t.bars(spark, sf_dir)), grid, SEGMENT), SEGMENT))
+
+
+@query("h10_regime_prior", f"""WITH {D}{DFA}, k AS (SELECT *, 1 + 0.5 * least(1, greatest(0, confidence)) AS k FROM hu), w AS (SELECT asset, confidence, unnest([struct_pack(model := 'naive', w := 1.0::DOUBLE), struct_pack(model := 'drift', w := CASE label WHEN 'trending' THEN k ELSE 1 END), struct_pack(model := 'momentum', w := CASE label WHEN 'trending' THEN k WHEN 'reverting' THEN 1 / k ELSE 1 END),
+      struct_pack(model := 'meanrev', w := CASE label WHEN 'trending' THEN 1 / k WHEN 'reverting' THEN k ELSE 1 END), struct_pack(model := 'leadlag', w := 1.0::DOUBLE)]) AS m FROM k)
+    SELECT asset, m.model AS model, round(m.w / CASE WHEN confidence > 0 THEN sum(m.w) OVER (PARTITION BY asset) ELSE 1 END, 5) AS weight FROM w""")
+def regime_prior(spark, sf_dir):
+    return rounded(spectral.regime_prior(spectral.hurst(log_returns(t.bars(spark, sf_dir)).select("asset", "ts", "r"))), 5)
+
+
+@query("h9_hurst", f"WITH {D}{DFA} SELECT asset, round(hurst, 6) AS hurst, round(r2, 6) AS r2, label, round(confidence, 6) AS confidence FROM hu")
 def hurst(spark, sf_dir):
     return rounded(spectral.hurst(log_returns(t.bars(spark, sf_dir)).select("asset", "ts", "r")))
 
@@ -181,20 +234,6 @@ def market_state(spark, sf_dir):
     return rounded(own_.join(F.broadcast(n)).withColumn("coverage", F.col("_c") / F.col("_n")).drop("_c", "_n"))
 
 
-@query("j2_feature_rows", f"""WITH {D}, {A}{STATE}, f AS (SELECT asset, ts, cls, row_number() OVER w AS i, {', '.join(f'sum(r) OVER (PARTITION BY asset ORDER BY ts ROWS {n - 1} PRECEDING) AS r{n}' for n in (1, 2, 3, 5, 10, 20))}, stddev_samp(r) OVER (PARTITION BY asset ORDER BY ts ROWS 19 PRECEDING) AS vol20, stddev_samp(r) OVER (PARTITION BY asset ORDER BY ts ROWS 59 PRECEDING) AS vol60,
-      avg(r) OVER (PARTITION BY ts) AS market_r1, avg(r) OVER (PARTITION BY ts, cls) AS class_r1, 10000 * gross / sum(gross) OVER (PARTITION BY ts) AS flow_share_bp FROM fl2 WINDOW w AS (PARTITION BY asset ORDER BY ts))
-    SELECT asset, ts, cls, {', '.join(f'round(r{n}, 6) AS r{n}' for n in (1, 2, 3, 5, 10, 20))}, round(vol20, 6) AS vol20, round(vol60, 6) AS vol60, round(market_r1, 6) AS market_r1, round(class_r1, 6) AS class_r1, round(flow_share_bp, 4) AS flow_share_bp FROM f WHERE i >= 70""")
-def feature_rows(spark, sf_dir):
-    from tidewater.functions.series import last_rows
-
-    rows = log_returns(flow(spark, sf_dir)).withColumn("i", F.row_number().over(own()))
-    rows = rows.select(
-        "asset", "ts", "cls", "i", *[F.sum("r").over(last_rows(n)).alias(f"r{n}") for n in (1, 2, 3, 5, 10, 20)], F.stddev_samp("r").over(last_rows(20)).alias("vol20"), F.stddev_samp("r").over(last_rows(60)).alias("vol60"),
-        F.avg("r").over(Window.partitionBy("ts")).alias("market_r1"), F.avg("r").over(Window.partitionBy("ts", "cls")).alias("class_r1"), (10000 * F.col("gross") / F.sum("gross").over(Window.partitionBy("ts"))).alias("flow_share_bp"),
-    )
-    return rounded(rows.where("i >= 70").drop("i"), flow_share_bp=4)
-
-
 @query("j4_forward_targets", f"WITH {D} SELECT asset, ts, {', '.join(f'round(ln(lead(close, {h}) OVER (PARTITION BY asset ORDER BY ts) / close), 6) AS y_h{h}' for h in (1, 5, 20))} FROM bars")
 def forward_targets(spark, sf_dir):
     return rounded(t.bars(spark, sf_dir).select("asset", "ts", *[F.ln(F.lead("close", h).over(own()) / F.col("close")).alias(f"y_h{h}") for h in (1, 5, 20)]))

@@ -67,13 +67,18 @@ def ensemble(spark, sf_dir):
 
 
 LOSS = "least(4.0, abs({p} - a) / greatest(0.002, 2 * abs(a))) + CASE WHEN abs(a) > 1e-5 AND (abs({p}) < 1e-4 OR sign({p}) <> sign(a)) THEN 1.2 ELSE 0 END"
-HEDGE = f"""WITH RECURSIVE {WK}{FC}, o AS (SELECT asset, h, row_number() OVER (PARTITION BY asset, h ORDER BY target_ts) AS i, ln(actual_close / close) AS a, naive, drift, momentum, meanrev FROM fc WHERE actual_close IS NOT NULL),
+def grown(after: int = 0) -> str:
+    """SQL of the weights after i arrived forecasts of those made after so many bars."""
+    return f"""o AS (SELECT asset, h, row_number() OVER (PARTITION BY asset, h ORDER BY target_ts) AS i, ln(actual_close / close) AS a, naive, drift, momentum, meanrev FROM fc WHERE actual_close IS NOT NULL AND rn > {after}),
     g AS (SELECT asset, h, 0::BIGINT AS i, 0.25::DOUBLE AS w1, 0.25::DOUBLE AS w2, 0.25::DOUBLE AS w3, 0.25::DOUBLE AS w4 FROM (SELECT DISTINCT asset, h FROM o)
       UNION ALL
       SELECT asset, h, i, l1 / (l1 + l2 + l3 + l4), l2 / (l1 + l2 + l3 + l4), l3 / (l1 + l2 + l3 + l4), l4 / (l1 + l2 + l3 + l4) FROM (
         SELECT asset, h, i, greatest(0.01, x1 / (x1 + x2 + x3 + x4)) AS l1, greatest(0.01, x2 / (x1 + x2 + x3 + x4)) AS l2, greatest(0.01, x3 / (x1 + x2 + x3 + x4)) AS l3, greatest(0.01, x4 / (x1 + x2 + x3 + x4)) AS l4 FROM (
           SELECT o.asset, o.h, o.i, w1 * exp(-0.5 * ({LOSS.format(p='naive')})) AS x1, w2 * exp(-0.5 * ({LOSS.format(p='drift')})) AS x2, w3 * exp(-0.5 * ({LOSS.format(p='momentum')})) AS x3, w4 * exp(-0.5 * ({LOSS.format(p='meanrev')})) AS x4
-          FROM g JOIN o ON o.asset = g.asset AND o.h = g.h AND o.i = g.i + 1))),
+          FROM g JOIN o ON o.asset = g.asset AND o.h = g.h AND o.i = g.i + 1)))"""
+
+
+HEDGE = f"""WITH RECURSIVE {WK}{FC}, {grown()},
     e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset, h ORDER BY i DESC) AS q FROM g) WHERE q = 1)
     SELECT asset, h, 'naive' AS model, round(w1, 6) AS weight FROM e UNION ALL SELECT asset, h, 'drift', round(w2, 6) FROM e UNION ALL SELECT asset, h, 'momentum', round(w3, 6) FROM e UNION ALL SELECT asset, h, 'meanrev', round(w4, 6) FROM e"""
 

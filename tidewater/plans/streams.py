@@ -63,3 +63,10 @@ def stream_quality(spark, sf_dir):
 def stream_enriched(spark, sf_dir):
     known = t.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("asset")).agg(F.count(F.lit(1)).alias("known"))
     return drained(spark, jobs.enriched(jobs.tick_stream(spark, sf_dir), known)).select("event_id", "ts", "asset", "value", "known")
+
+
+@query("r9_stream_outcomes", "SELECT f.event_type AS asset, f.ts AS made_at, round(f.value, 6) AS predicted, e.ts, round(e.value, 6) AS value FROM events f JOIN events e ON e.event_type = f.event_type AND e.ts > f.ts AND e.ts <= f.ts + INTERVAL 1 HOUR WHERE f.event_id % 10 = 0")
+def stream_outcomes(spark, sf_dir):
+    """Every tenth tick stands for a forecast; the ticks of the hour after are its outcomes."""
+    made = jobs.tick_stream(spark, sf_dir).where("event_id % 10 = 0").select("asset", F.col("ts").alias("made_at"), F.col("value").alias("predicted"))
+    return rounded(drained(spark, jobs.outcomes(made, jobs.tick_stream(spark, sf_dir))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.series import own
 from tidewater.operators import text as ops
 from tidewater.sources import tables as t
 
@@ -28,7 +29,9 @@ def unfold(spark, sf_dir):
     return docs(spark, sf_dir).where(~F.col("text").rlike(r"\n\s*\n")).select("doc_id", F.sha2(ops.unfold(F.col("text")), 256).alias("text_sha256"))
 
 
-@query("n3_prose_filter")
+@query("n3_prose_filter", r"""WITH k AS (SELECT doc_id, text, array_to_string(list_filter(string_split(text, chr(10)), lambda p: length(p) >= 60 AND len(regexp_extract_all(p, '[.!?]')) * 220 >= length(p) AND len(regexp_extract_all(p, '\S+')) >= 12
+      AND len(list_filter(regexp_extract_all(p, '\S+'), lambda w: length(w) <= 3)) >= 0.12 * len(regexp_extract_all(p, '\S+'))), chr(10)) AS kept FROM documents)
+    SELECT doc_id, length(text) AS before, CASE WHEN length(kept) > 200 THEN length(kept) ELSE length(text) END AS after FROM k""")
 def prose_filter(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.length("text").alias("before"), F.length(ops.prose(F.col("text"))).alias("after"))
 
@@ -107,6 +110,24 @@ def decayed_sentiment(spark, sf_dir):
 MARK = ", ".join(f"('{w}', '{k}')" for k, ws in ops.MARKERS.items() for w in ws)
 
 
+CALIB = f"""WITH {t.DAILY_SQL}, {MOOD}, sm AS (SELECT (doc_id // 25) % 1000 + 1 AS rn, doc_id % 25 + 1 AS place, avg(mood) AS s FROM mo GROUP BY 1, 2), ab AS (SELECT asset, row_number() OVER (ORDER BY asset) AS place FROM (SELECT DISTINCT asset FROM bars)),
+    bh AS (SELECT asset, row_number() OVER w AS rn, unnest([struct_pack(h := 1, r := ln(lead(close, 1) OVER w / close)), struct_pack(h := 5, r := ln(lead(close, 5) OVER w / close)), struct_pack(h := 20, r := ln(lead(close, 20) OVER w / close))]) AS y FROM bars WHERE close > 0 WINDOW w AS (PARTITION BY asset ORDER BY ts)),
+    pr AS (SELECT y.h AS h, s, y.r AS r FROM sm JOIN ab USING (place) JOIN bh ON bh.asset = ab.asset AND bh.rn = sm.rn WHERE y.r IS NOT NULL), c AS (SELECT h, count(*) AS n, coalesce(CASE WHEN stddev_pop(s) > 1e-12 THEN corr(s, r) END, 0) AS r, coalesce(CASE WHEN stddev_pop(s) > 1e-12 THEN regr_slope(r, s) END, 0) AS slope, 2 / sqrt(count(*)) AS threshold FROM pr GROUP BY 1)"""
+
+
+@query("n14_semantic_calibration", f"""{CALIB} SELECT h, n, round(CASE WHEN n >= 30 THEN r ELSE 0 END, 6) AS r, round(CASE WHEN n >= 30 AND abs(r) > threshold THEN slope ELSE 0 END, 6) AS slope, round(CASE WHEN n >= 30 THEN threshold ELSE 0 END, 6) AS threshold,
+    round(CASE WHEN n >= 30 THEN least(1, greatest(0, (abs(r) - threshold) / 0.1)) ELSE 0 END, 6) AS skill FROM c""")
+def semantic_calibration(spark, sf_dir):
+    """Texts stand for the news of an asset's day: the asset and the day's number follow from doc_id."""
+    moods = ops.sentiment(docs(spark, sf_dir), lexicon(spark))
+    moods = moods.groupBy((F.floor(F.col("doc_id") / 25) % 1000 + 1).alias("rn"), (F.col("doc_id") % 25 + 1).alias("place")).agg(F.avg("mood").alias("s"))
+    bars = t.bars(spark, sf_dir).where("close > 0")
+    places = bars.select("asset").distinct().withColumn("place", F.row_number().over(Window.orderBy("asset")))
+    ahead = F.array(*[F.struct(F.lit(h).alias("h"), F.ln(F.lead("close", h).over(own()) / F.col("close")).alias("r")) for h in (1, 5, 20)])
+    rows = bars.select("asset", F.row_number().over(own()).alias("rn"), ahead.alias("_a")).select("asset", "rn", F.explode("_a").alias("_y")).select("asset", "rn", "_y.h", "_y.r")
+    return rounded(ops.calibration(moods.join(places, "place").join(rows.where("r IS NOT NULL"), ["asset", "rn"])))
+
+
 @query("n15_language_markers", rf"""WITH k AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}]+')) AS token FROM documents), c AS (SELECT doc_id, lang, count(*) AS n FROM k JOIN (VALUES {MARK}) m(token, lang) USING (token) GROUP BY 1, 2),
     b AS (SELECT *, row_number() OVER w AS q, coalesce(lead(n) OVER w, 0) AS s FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, lang))
     SELECT d.doc_id, CASE WHEN n >= 3 AND n >= 2 * s THEN b.lang END AS detected FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND q = 1""")
