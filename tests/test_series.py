@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import align, bars, curve, flow, forecast, pairs, spectral
+from tidewater.operators import align, bars, curve, flow, forecast, pairs, portfolio, spectral
 from tidewater.plans import ORACLE_SQL, QUERIES
 
 
@@ -80,8 +80,7 @@ def test_thinning_keeps_a_gap(spark):
 
 def test_spectrum_finds_a_sine(spark):
     rows = spark.createDataFrame([("A", i, math.sin(2 * math.pi * i / 16)) for i in range(512)], "asset string, i long, x double")
-    grid = spark.range(12, 129).select(F.col("id").cast("int").alias("k"))
-    found = spectral.summary(spectral.welch(spectral.fourier(rows, grid, 128)), 128).first()
+    found = spectral.summary(spectral.welch(spectral.fourier(rows, range(12, 129), 128)), 128).first()
     assert abs(found["period"] - 16) < 0.5 and found["prominence"] > 10
 
 
@@ -103,7 +102,61 @@ def test_tiles_are_those_of_one_window(spark):
     assert sorted(r["tile"] for r in few) == [1, 2, 3] and flow.with_tile(df.limit(0), "x", "tile").count() == 0
 
 
-SAMPLE = ["f16_overhang_quintiles", "f17_double_sort", "a3_bar_upsert", "b2_bar_merge", "c8_as_of_close", "d5_best_lag", "e2_crossings", "f11_flow_attribution", "g1_market_events", "k14_scoring", "l4_trigger_study", "m13_cash_accounts", "n11_lexicon_sentiment", "r1_stream_bars"]
+def test_walk_forward_learns_only_what_has_arrived(spark):
+    rng = np.random.default_rng(5)
+    closes = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 55)))
+    changed = closes.copy()
+    changed[45:] *= 1.5
+    one, two = ([{r["rn"]: r["combined"] for r in forecast.walk_forward(forecast.forecasts(series(spark, c), (5,)), 20).collect()}] for c in (closes, changed))
+    early = [n for n in one[0] if n <= 45]
+    assert early and all(one[0][n] == pytest.approx(two[0][n], abs=1e-12) for n in early)
+    assert any(abs(one[0][n] - two[0][n]) > 1e-9 for n in one[0] if n > 45)
+
+
+def test_cycle_of_a_sine(spark):
+    rows = spark.createDataFrame([("A", i, math.sin(2 * math.pi * i / 20)) for i in range(300)] + [("B", i, 1.0) for i in range(30)], "asset string, ts long, band double")
+    found = spectral.instant_cycle(rows).collect()
+    assert [r["asset"] for r in found] == ["A"] and abs(found[0]["period"] - 20) < 2 and abs(found[0]["amplitude"] - 1) < 0.15
+    path = [r["projected"] for r in spectral.cycle_projection(spectral.instant_cycle(rows), 20).orderBy("step").collect()]
+    assert np.corrcoef(path, np.array([math.sin(2 * math.pi * (300 + i) / 20) for i in range(20)]))[0, 1] > 0.7
+
+
+def test_patterns_match_across_assets_with_their_lag(spark):
+    rng = np.random.default_rng(1)
+    rows = [(a, i, math.cos(2 * math.pi * (i - shift) / 32) + 0.2 * float(rng.normal())) for a, shift in (("A", 0), ("B", 4)) for i in range(1600)]
+    waves = spark.createDataFrame(rows, "asset string, i long, x double")
+    found = spectral.frequency_patterns(waves, spectral.fourier(waves, range(5, 103), 128), 128, peaks=1)
+    matches = spectral.match_patterns(found).collect()
+    assert matches and all(abs(abs(m["lag"]) - 4) < 1 for m in matches) and all(m["a"] == "A" and m["b"] == "B" for m in matches)
+    again = spectral.recurring_pairs(spectral.match_patterns(found), 2).collect()
+    assert len(again) == 1 and again[0]["epochs"] == len({m["epoch"] for m in matches})
+
+
+def test_conserved_group_is_found(spark):
+    rng = np.random.default_rng(2)
+    steps = np.cumsum(rng.normal(size=(400, 8)), axis=0)
+    steps[:, 2] = -(steps[:, 0] + steps[:, 1])
+    rows = [(f"A{k}", f"2020-01-01 {t // 60:02d}:{t % 60:02d}:00", float(steps[t, k])) for t in range(400) for k in range(8)]
+    shares = spark.createDataFrame(rows, "asset string, ts string, share double").withColumn("ts", F.to_timestamp("ts"))
+    found = flow.conserved_groups(shares, pd.Timestamp("2020-01-01 03:20:00").to_pydatetime(), groups=1).collect()
+    assert {"A0", "A1", "A2"} <= {r["asset"] for r in found} and all(r["holds"] and r["out_sample"] < r["chance"] for r in found)
+
+
+def test_greedy_basket_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0.01, 0.05, (60, 6))
+    x[:, 1] = x[:, 0] + rng.normal(0, 0.001, 60)
+    rows = [(f"A{k}", t, float(x[t, k])) for t in range(60) for k in range(6)]
+    found = portfolio.greedy_baskets(spark.createDataFrame(rows, "asset string, ts long, r double"), (3,)).orderBy("place").collect()
+    own = [int(np.argmax(x.mean(axis=0) / x.std(axis=0, ddof=1)))]
+    while len(own) < 3:
+        fine = [j for j in range(6) if j not in own and all(np.corrcoef(x[:, j], x[:, g])[0, 1] <= 0.9 for g in own)]
+        own.append(min(fine, key=lambda j: x[:, [*own, j]].mean(axis=1).std(ddof=1)))
+    assert [r["asset"] for r in found] == [f"A{k}" for k in own]
+    assert found[0]["deviation"] == pytest.approx(x[:, own].mean(axis=1).std(ddof=1))
+
+
+SAMPLE = ["a11_ingest", "b3_outlier_filter", "c14_nearest_event", "g16_similar_shapes", "h2_band_pass", "j2_feature_rows", "j6_cross_section", "k26_walk_forward", "k31_verdict_contribution", "k32_verdict_scoring", "f16_overhang_quintiles", "f17_double_sort", "a3_bar_upsert", "b2_bar_merge", "c8_as_of_close", "d5_best_lag", "e2_crossings", "f11_flow_attribution", "g1_market_events", "k14_scoring", "l4_trigger_study", "m13_cash_accounts", "n11_lexicon_sentiment", "r1_stream_bars"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)

@@ -106,12 +106,13 @@ def band_join(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
 def nearest_event(events: DataFrame, anomalies: DataFrame, width: int) -> DataFrame:
     """events (asset, i) with the nearest anomaly position (the earlier one on a tie), their distance, and whether it is within width.
 
-    Anomalies are market-wide and few; each asset's events are read against them in one order."""
-    marks = events.select("asset").distinct().join(anomalies.select(F.col("i").alias("_a"))).select("asset", F.col("_a").alias("i"), F.lit(0).alias("_event"), "_a")
-    rows = events.select("asset", "i", F.lit(1).alias("_event"), F.lit(None).cast("long").alias("_a")).unionByName(marks.withColumn("_a", F.col("_a").cast("long")))
-    before = F.last("_a", ignorenulls=True).over(Window.partitionBy("asset").orderBy("i", "_event").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_a", ignorenulls=True).over(Window.partitionBy("asset").orderBy("i", "_event").rowsBetween(0, Window.unboundedFollowing))
-    met = rows.withColumn("_before", before).withColumn("_after", after).where("_event = 1")
+    Positions are days, so the nearest anomalies before and after are found once for each position and joined to the events."""
+    days = events.select("i").distinct().unionByName(anomalies.select(F.col("i").cast(events.schema["i"].dataType).alias("i"))).distinct()
+    days = days.join(anomalies.select(F.col("i"), F.col("i").alias("_a")).distinct(), "i", "left")
+    order = Window.orderBy("i")
+    before = F.last("_a", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_a", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    met = events.select("asset", "i").join(days.select("i", before.cast("long").alias("_before"), after.cast("long").alias("_after")), "i")
     nearest = F.when(F.col("_after").isNull() | (F.col("i") - F.col("_before") <= F.col("_after") - F.col("i")), F.col("_before")).otherwise(F.col("_after"))
     return met.select("asset", "i", nearest.alias("nearest"), (F.col("i") - nearest).alias("lag"), (F.abs(F.col("i") - nearest) <= width).alias("hit"))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions.series import log_return, own
 
@@ -72,20 +74,24 @@ def top_of_class(assets: DataFrame, n: int) -> DataFrame:
 def flag_outliers(bars: DataFrame, most: float) -> DataFrame:
     """bars with kept and factor: a close that jumps by more than ``most`` against the last kept one is dropped,
     unless the following bar confirms the new level; closes that aren't positive are dropped. The rule depends on
-    what was kept before, so each asset's closes are folded in order."""
-    rows = bars.withColumn("_next", F.lead("close").over(own())).groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("ts", "close", "_next"))).alias("_bars"))
-    start = F.struct(F.lit(None).cast("double").alias("kept"), F.array().cast("array<struct<ts:timestamp,kept:boolean,factor:double>>").alias("out"))
-    inside = lambda f: (f <= most) & (f >= 1 / most)
-
-    def step(state: Column, bar: Column) -> Column:
-        factor = F.try_divide(bar["close"], state["kept"])
-        confirmed = F.coalesce((bar["_next"] > 0) & inside(F.try_divide(bar["_next"], bar["close"])), F.lit(False))
-        fine = (bar["close"] > 0) & (state["kept"].isNull() | inside(factor) | confirmed)
-        row = F.struct(bar["ts"].alias("ts"), fine.alias("kept"), F.greatest(factor, F.try_divide(F.lit(1.0), factor)).alias("factor"))
-        return F.struct(F.when(fine, bar["close"]).otherwise(state["kept"]).alias("kept"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    flags = rows.select("asset", F.explode(F.aggregate("_bars", start, step)["out"]).alias("_f"))
-    return bars.join(flags.select("asset", F.col("_f.ts").alias("ts"), F.col("_f.kept").alias("kept"), F.col("_f.factor").alias("factor")), ["asset", "ts"])
+    what was kept before, so each asset's closes are walked in order, with the last kept one as the only state."""
+
+    def inside(x: float) -> bool:
+        return 1 / most <= x <= most
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("ts")
+        closes, anchor, kept, factors = part["close"].to_list(), None, [], []
+        for close, after in zip(closes, [*closes[1:], None], strict=True):
+            factor = None if anchor is None else close / anchor
+            confirmed = after is not None and after > 0 and close > 0 and inside(after / close)
+            fine = bool(close > 0 and (factor is None or inside(factor) or confirmed))
+            kept.append(fine)
+            factors.append(max(factor, 1 / factor) if factor else None)
+            anchor = close if fine else anchor
+        return part.assign(kept=kept, factor=pd.Series(factors, index=part.index, dtype="float64"))
+
+    return bars.groupBy("asset").applyInPandas(run, T.StructType([*bars.schema.fields, T.StructField("kept", T.BooleanType()), T.StructField("factor", T.DoubleType())]))
 
 
 def quality_report(flagged: DataFrame, suspicious: float = 0.02) -> DataFrame:

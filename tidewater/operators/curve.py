@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions.series import last_rows, own, severity, upper_median
 
 
 def smooth(bars: DataFrame, value: str, alpha: float) -> DataFrame:
-    """bars with smoothed: exponential smoothing that starts at the first value, folded along each series."""
-    rows = bars.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("ts", F.col(value).alias("x")))).alias("_s"))
+    """bars with smoothed: exponential smoothing that starts at the first value, along each series."""
 
-    def step(out: Column, x: Column) -> Column:
-        before = F.try_element_at(out, F.lit(-1))["y"]
-        return F.concat(out, F.array(F.struct(x["ts"].alias("ts"), F.when(before.isNull(), x["x"]).otherwise(alpha * x["x"] + (1 - alpha) * before).alias("y"))))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("ts")
+        return part.assign(smoothed=part[value].ewm(alpha=alpha, adjust=False).mean())
 
-    start = F.array().cast("array<struct<ts:timestamp,y:double>>")
-    smoothed = rows.select("asset", F.explode(F.aggregate("_s", start, step)).alias("_y")).select("asset", "_y.ts", F.col("_y.y").alias("smoothed"))
-    return bars.join(smoothed, ["asset", "ts"])
+    return bars.groupBy("asset").applyInPandas(run, T.StructType([*bars.schema.fields, T.StructField("smoothed", T.DoubleType())]))
 
 
 def thinned(events: DataFrame, gap: int, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
     """Events (keys, i, ...) without those less than ``gap`` positions after the last one kept of their keys."""
-    rest = [c for c in events.columns if c not in keys]
-    rows = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", F.struct(*rest).alias("e")))).alias("_e"))
-    start = F.struct(F.lit(-10**9).cast("long").alias("last"), F.filter("_e", lambda x: F.lit(False)).alias("out"))
 
-    def step(state: Column, event: Column) -> Column:
-        fine = event["i"] - state["last"] >= gap
-        return F.struct(F.when(fine, event["i"].cast("long")).otherwise(state["last"]).alias("last"), F.when(fine, F.concat(state["out"], F.array(event))).otherwise(state["out"]).alias("out"))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part, kept, last = part.sort_values("i"), [], None
+        for i in part["i"]:
+            fine = last is None or i - last >= gap
+            last = i if fine else last
+            kept.append(fine)
+        return part[kept]
 
-    return rows.select(*keys, F.explode(F.aggregate("_e", start, step)["out"]).alias("_k")).select(*keys, *[F.col(f"_k.e.{c}").alias(c) for c in rest])
+    return events.groupBy(*keys).applyInPandas(run, events.schema)
 
 
 def derivative_events(bars: DataFrame, alpha: float = 2 / 11, scale: int = 120, least: float = 3.0, gap: int = 10) -> DataFrame:

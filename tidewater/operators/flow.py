@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,3 +188,43 @@ def double_sort(rows: DataFrame, x1: str, x2: str) -> DataFrame:
     return own_.groupBy("fifth1", "fifth2").agg(F.avg("ahead").alias("mean_ahead"), F.count(F.lit(1)).alias("n"))
 
 
+def conserved_groups(shares: DataFrame, split, groups: int = 3, most: int = 12, draws: int = 300, seed: int = 7) -> DataFrame:
+    """grp, asset, side, weight, in_sample, out_sample, chance, holds: sets of assets whose shares of the flow add up to much the same.
+
+    shares: asset, ts, share. Changes of the shares are standardised on each side of ``split``; a set's closure is the deviation of its sum
+    over that of independent changes, a quadratic form of the correlation matrix. So Spark makes the two matrices over time, and one
+    task grows sets from the most opposed pair while closure falls. A set holds if it closes better after the split than random sets of its size.
+    Timestamps that not all assets have are left out, and so are assets that don't change."""
+    n = shares.agg(F.count_distinct("asset").alias("_all"))
+    full = shares.groupBy("ts").agg(F.count_distinct("asset").alias("_n")).join(F.broadcast(n)).where("_n = _all").select("ts")
+    d = shares.join(full, "ts", "left_semi").withColumn("d", F.col("share") - F.lag("share").over(Window.partitionBy("asset").orderBy("ts"))).where("d IS NOT NULL").withColumn("late", (F.col("ts") >= F.lit(split)).cast("int"))
+    x, y = d.select("ts", "late", F.col("asset").alias("a"), F.col("d").alias("da")), d.select("ts", F.col("asset").alias("b"), F.col("d").alias("db"))
+    pairs = x.join(y, "ts").groupBy("late", "a", "b").agg(F.corr("da", "db").alias("r")).where(F.col("r").isNotNull() & ~F.isnan("r"))
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        columns = ["grp", "asset", "side", "weight", "in_sample", "out_sample", "chance", "holds"]
+        names = sorted(set(part[part["late"] == 0]["a"]) & set(part[part["late"] == 1]["a"]))
+        early, late = (part[part["late"] == k].pivot(index="a", columns="b", values="r").reindex(index=names, columns=names).to_numpy() for k in (0, 1))
+        closure = lambda m, own_: float(np.sqrt(max(m[np.ix_(own_, own_)].sum(), 0.0) / len(own_)))
+        rng, free, out = np.random.default_rng(seed), set(range(len(names))), []
+        for g in range(1, groups + 1):
+            opposed = [(early[i, j], i, j) for i in sorted(free) for j in sorted(free) if i < j]
+            if not opposed:
+                break
+            own_ = list(min(opposed)[1:])
+            while len(own_) < most and len(own_) < len(free):
+                value, j = min((closure(early, [*own_, j]), j) for j in sorted(free - set(own_)))
+                if value >= closure(early, own_):
+                    break
+                own_.append(j)
+            if len(own_) < 3:
+                break
+            free -= set(own_)
+            chance = float(np.mean([closure(late, list(rng.choice(len(names), len(own_), replace=False))) for _ in range(draws)]))
+            _, vectors = np.linalg.eigh(early[np.ix_(own_, own_)])
+            swing = vectors[:, -2] * (1 if vectors[np.argmax(np.abs(vectors[:, -2])), -2] > 0 else -1)
+            inside, outside = closure(early, own_), closure(late, own_)
+            out += [(g, names[j], int(np.sign(v)), abs(float(v)), inside, outside, chance, outside < 0.85 * chance) for j, v in zip(own_, swing, strict=True)]
+        return pd.DataFrame(out, columns=columns)
+
+    return pairs.groupBy(F.lit(1).alias("_one")).applyInPandas(grow, "grp int, asset string, side int, weight double, in_sample double, out_sample double, chance double, holds boolean")

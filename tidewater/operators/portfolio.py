@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,3 +134,36 @@ def total(wealth: DataFrame, rates: DataFrame, series: dict[str, str]) -> DataFr
     met = wealth.withColumn("series", foreign).join(rates, ["series", "ts"], "left").withColumn("_r", F.when(F.col("series").isNull(), 1.0).otherwise(F.col("rate")))
     sums = met.groupBy("ts").agg(F.sum(F.col("wealth") * F.col("_r")).alias("total"), F.sum(F.col("paid") * F.col("_r")).alias("_p"))
     return sums.select("ts", "total", (F.col("total") - F.col("_p")).alias("gain"))
+
+
+def greedy_baskets(returns: DataFrame, sizes: tuple[int, ...] = (3, 5, 8), candidates: int = 40, most: float = 0.9, least: int = 30) -> DataFrame:
+    """size, place, asset, deviation: baskets that start with the best return for its deviation and take the candidate that lowers
+    the basket's deviation most, none that correlates above ``most`` with a member. Sizes that can't be filled are left out.
+
+    returns: asset, ts, r of the selection part only. Spark ranks the assets and makes the covariances of at most ``candidates`` of them on the
+    timestamps that all have; the choice from that small matrix is one task."""
+    best = returns.where("r IS NOT NULL").groupBy("asset").agg((F.avg("r") / F.stddev_samp("r")).alias("_q")).orderBy(F.desc(F.round("_q", 9)), "asset").limit(candidates)
+    best = best.withColumn("_place", F.row_number().over(Window.orderBy(F.desc(F.round("_q", 9)), "asset")))
+    rows = returns.where("r IS NOT NULL").join(F.broadcast(best), "asset")
+    full = rows.groupBy("ts").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(best.agg(F.count(F.lit(1)).alias("_all")))).where("_n = _all").select("ts")
+    rows = rows.join(full, "ts", "left_semi")
+    x, y = rows.select("ts", F.col("_place").alias("a"), F.col("asset"), F.col("r").alias("ra")), rows.select("ts", F.col("_place").alias("b"), F.col("r").alias("rb"))
+    pairs = x.join(y, "ts").groupBy("a", "b", "asset").agg(F.covar_samp("ra", "rb").alias("c"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        m = part.pivot(index="a", columns="b", values="c").to_numpy()
+        names = part.drop_duplicates("a").sort_values("a")["asset"].to_list()
+        r, out = m / np.sqrt(np.outer(np.diag(m), np.diag(m))), []
+        for size in sizes:
+            own_ = [0]
+            while len(own_) < size:
+                open_ = [j for j in range(len(m)) if j not in own_ and (r[j, own_] <= most).all()]
+                if not open_:
+                    break
+                own_.append(min(open_, key=lambda j: m[np.ix_([*own_, j], [*own_, j])].sum()))
+            if len(own_) == size:
+                deviation = float(np.sqrt(m[np.ix_(own_, own_)].sum()) / size)
+                out += [(size, place, names[j], deviation) for place, j in enumerate(own_, 1)]
+        return pd.DataFrame(out, columns=["size", "place", "asset", "deviation"])
+
+    return pairs.groupBy(F.lit(1).alias("_one")).applyInPandas(choose, "size int, place int, asset string, deviation double")

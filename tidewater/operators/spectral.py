@@ -1,9 +1,7 @@
-"""Spectra by aggregation: a Fourier sum over a bounded grid of frequencies is a join with a small table and two sums."""
+"""Spectra, cycles and regimes. Spark cuts the series into segments and groups what belongs together; tasks transform whole segments."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,18 +17,27 @@ def detrended(bars: DataFrame) -> DataFrame:
     return rows.join(line, "asset").select("asset", "ts", F.col("i").cast("long").alias("i"), (F.col("_x") - F.col("_a") - F.col("_b") * F.col("i")).alias("x"))
 
 
-def fourier(series: DataFrame, frequencies: DataFrame, segment: int) -> DataFrame:
-    """asset, seg, k, re, im of half-overlapping Hann-weighed segments without their mean. frequencies: k."""
+def fourier(series: DataFrame, frequencies: range, segment: int) -> DataFrame:
+    """asset, seg, k, re, im of half-overlapping Hann-weighed segments without their mean.
+
+    A segment's points are gathered first, so that a row is a whole segment and its transform one matrix product."""
     half = segment // 2
     rows = series.withColumn("_first", F.floor(F.col("i") / half)).withColumn("seg", F.explode(F.array(F.col("_first") - 1, F.col("_first")))).where("seg >= 0")
-    rows = rows.withColumn("j", F.col("i") - F.col("seg") * half)
-    whole = Window.partitionBy("asset", "seg")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_m", F.avg("x").over(whole)).where(F.col("_n") == segment)
-    w = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("j") / (segment - 1))
-    rows = rows.select("asset", "seg", "j", (w * (F.col("x") - F.col("_m"))).alias("y"), w.alias("w"))
-    angle = 2 * math.pi * F.col("k") * F.col("j") / (4 * segment)
-    sums = rows.join(F.broadcast(frequencies)).groupBy("asset", "seg", "k").agg(F.sum(F.col("y") * F.cos(angle)).alias("re"), F.sum(F.col("y") * F.sin(angle)).alias("im"), F.sum(F.col("w") * F.col("w")).alias("_w2"))
-    return sums.withColumn("re", F.col("re") / F.sqrt("_w2")).withColumn("im", F.col("im") / F.sqrt("_w2")).drop("_w2")
+    whole = rows.groupBy("asset", "seg").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_s")).where(F.size("_s") == segment)
+    j = np.arange(segment)
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * j / (segment - 1))
+    k = np.array(frequencies)
+    wave = np.exp(2j * np.pi * np.outer(j, k) / (4 * segment)) * (w / np.sqrt((w * w).sum()))[:, None]
+
+    def run(batches):
+        for part in batches:
+            if len(part):
+                x = np.stack(part["x"].to_numpy()).astype(float)
+                z = (x - x.mean(axis=1, keepdims=True)) @ wave
+                at = np.repeat(np.arange(len(part)), len(k))
+                yield pd.DataFrame({"asset": part["asset"].to_numpy()[at], "seg": part["seg"].to_numpy()[at], "k": np.tile(k, len(part)), "re": z.real.ravel(), "im": z.imag.ravel()})
+
+    return whole.select("asset", "seg", F.col("_s.x").alias("x")).mapInPandas(run, "asset string, seg long, k int, re double, im double")
 
 
 def welch(transformed: DataFrame) -> DataFrame:
@@ -154,7 +161,7 @@ def ssa(bars: DataFrame, tail: int = 400, components: int = 4, ahead: int = 20)
     def run(part: pd.DataFrame) -> pd.DataFrame:
         x = part.sort_values("_n", ascending=False)["x"].to_numpy()
         if len(x) < 40:
-            return pd.DataFrame({"asset": [], "step": [], "predicted": [], "share": []})
+            return pd.DataFrame([], columns=["asset", "step", "predicted", "share"])
         path, share = ssa_forecast(x, len(x) // 4, components, ahead)
         return pd.DataFrame({"asset": part["asset"].iloc[0], "step": np.arange(1, ahead + 1), "predicted": path, "share": share})
 
@@ -180,3 +187,108 @@ def leading_modes(transformed: DataFrame) -> DataFrame:
     return rows.groupBy("k").applyInPandas(run, "k int, asset string, explained double, weight double, phase double")
 
 
+def instant_cycle(band: DataFrame, shortest: float = 6.0, longest: float = 120.0, lookback: int = 20) -> DataFrame:
+    """asset, phase (degrees), amplitude, period, quality at the end of each band-passed series (asset, ts, band), by the homodyne
+    discriminator: the turn between one analytic value and the next is the phase gained a bar. Quality is how still the period
+    lay of late. Series under 64 bars or without a period in the band are left out."""
+
+    def quadrature(x: list[float]) -> float:
+        return 0.0962 * (x[-1] - x[-7]) + 0.5769 * (x[-3] - x[-5])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x = part.sort_values("ts")["band"].to_numpy()
+        none = pd.DataFrame([], columns=["asset", "phase", "amplitude", "period", "quality"])
+        if len(x) < 64:
+            return none
+        smooth = np.convolve(x, [0.4, 0.3, 0.2, 0.1])[: len(x)]
+        smooth[:3] = 0
+        detrended, in_phase, quadratures = [0.0] * 6, [0.0] * 6, [0.0] * 6
+        period, shown, pointer, product = (shortest + longest) / 2, [], 0j, 0j
+        for i in range(6, len(x)):
+            gain = 0.075 * period + 0.54
+            detrended.append(quadrature([*smooth[i - 6 : i + 1]]) * gain)
+            in_phase.append(detrended[-4])
+            quadratures.append(quadrature(detrended) * gain)
+            turned = complex(in_phase[-1] - quadrature(quadratures) * gain, quadratures[-1] + quadrature(in_phase) * gain)
+            now = 0.2 * turned + 0.8 * pointer
+            product = 0.2 * now.conjugate() * pointer + 0.8 * product
+            pointer = now
+            turn = abs(np.angle(product)) if product.real and product.imag else 0.0
+            found = 2 * np.pi / turn if turn > 1e-9 else period
+            found = min(max(found, 0.67 * period), 1.5 * period)
+            period = 0.2 * min(max(found, shortest), longest) + 0.8 * period
+            shown.append(0.33 * period + 0.67 * (shown[-1] if shown else period))
+        length, late = shown[-1], np.array(shown[-(lookback + 1) :])
+        span = min(round(length), len(x) - 7)
+        if not shortest <= length <= longest or span < 4:
+            return none
+        quality = min(1.0, max(0.0, 1 - 4 * np.abs(late - late.mean()).mean() / late.mean()))
+        last, angle = smooth[::-1][:span], 2 * np.pi * np.arange(span) / length
+        phase = np.degrees(np.arctan2((np.cos(angle) * last).sum(), (np.sin(angle) * last).sum())) % 360
+        return pd.DataFrame({"asset": part["asset"].iloc[:1], "phase": phase, "amplitude": np.sqrt(2 * (last**2).mean()), "period": length, "quality": quality})
+
+    return band.groupBy("asset").applyInPandas(run, "asset string, phase double, amplitude double, period double, quality double").where("quality > 0")
+
+
+def cycle_projection(states: DataFrame, ahead: int, half_life: float = 20.0) -> DataFrame:
+    """asset, step, projected: the cycle goes on in phase while its amplitude, scaled by quality, halves every so many bars."""
+    rows = states.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(ahead))))
+    decay, angle = F.pow(F.lit(0.5), F.col("step") / max(1.0, half_life)), F.radians("phase") + 2 * np.pi / F.col("period") * F.col("step")
+    return rows.select("asset", "step", (F.col("amplitude") * F.col("quality") * decay * F.cos(angle)).alias("projected"))
+
+
+def frequency_patterns(series: DataFrame, transformed: DataFrame, segment: int, segments: int = 15, every: int = 4, peaks: int = 5, least_prominence: float = 4.0, least_stability: float = 0.5) -> DataFrame:
+    """asset, epoch, period, prominence, stability, phase, amplitude: the strongest peaks of each epoch of ``segments`` segments, one epoch
+    every ``every`` segments. Peaks are measured against the ring around them and lie at least 15 % apart; stability is that of
+    the epoch's rolling windows. Phase and amplitude are those at the epoch's end, projected over the whole epoch.
+
+    series: asset, i, x; transformed: see fourier."""
+    first = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("seg") - (segments - 1)) / every)), F.floor(F.col("seg") / every))
+    dealt = transformed.where(F.floor(F.col("seg") / every) >= F.greatest(F.lit(0), F.ceil((F.col("seg") - (segments - 1)) / every))).withColumn("epoch", F.explode(first))
+    key = F.struct("asset", "epoch").alias("asset")
+    power = dealt.groupBy(key, "k").agg(F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == segments).drop("_n")
+    ring = F.percentile("power", F.lit(0.5)).over(Window.partitionBy("asset").orderBy("k").rowsBetween(-12, 12))
+    ratios = power.withColumn("ratio", F.try_divide(F.col("power"), ring)).select("asset.asset", "asset.epoch", "k", "ratio")
+
+    def pick(part: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple[float, float]] = []
+        for k, ratio in part.sort_values(["ratio", "k"], ascending=[False, True])[["k", "ratio"]].itertuples(index=False):
+            period = 4.0 * segment / k
+            if len(kept) < peaks and all(abs(p - period) / period >= 0.15 for p, _ in kept):
+                kept.append((period, ratio))
+        return pd.DataFrame([(part["asset"].iloc[0], part["epoch"].iloc[0], p, r) for p, r in kept], columns=["asset", "epoch", "period", "prominence"])
+
+    found = ratios.groupBy("asset", "epoch").applyInPandas(pick, "asset string, epoch long, period double, prominence double").where(F.col("prominence") >= least_prominence)
+    windows = dealt.where(F.col("seg") - F.col("epoch") * every <= segments - 1).select(F.to_json(F.struct("asset", "epoch")).alias("asset"), (F.col("seg") - F.col("epoch") * every).alias("seg"), "k", "re", "im")
+    still = cycle_stability(windows, segment).select(F.from_json("asset", "asset string, epoch long").alias("_a"), "stability").select("_a.*", "stability").where(F.col("stability") >= least_stability)
+    half, length = segment // 2, (segments + 1) * segment // 2
+    met = found.join(still, ["asset", "epoch"]).withColumn("_from", F.col("epoch") * every * half)
+    at = met.withColumn("i", F.explode(F.sequence(F.col("_from"), F.col("_from") + length - 1))).join(series.select("asset", "i", "x"), ["asset", "i"])
+    angle = 2 * np.pi / F.col("period") * (F.col("i") - F.col("_from") - (length - 1))
+    sums = at.groupBy("asset", "epoch", "period", "prominence", "stability").agg(F.sum(F.col("x") * F.cos(angle)).alias("_c"), F.sum(F.col("x") * F.sin(angle)).alias("_s"))
+    return sums.select("asset", "epoch", "period", "prominence", "stability", F.pmod(F.degrees(F.atan2(-F.col("_s"), F.col("_c"))), F.lit(360.0)).alias("phase"), (2 * F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / length).alias("amplitude"))
+
+
+def match_patterns(patterns: DataFrame, tolerance: float = 0.12, least: float = 0.3) -> DataFrame:
+    """epoch, a, b, period_a, period_b, delta, phase_delta, lag, score of patterns of two assets in one epoch with periods within the
+    tolerance; lag is in bars, from the one with the shorter period. Periods meet by buckets of their logarithm."""
+    width = float(np.log1p(tolerance))
+    x = patterns.withColumn("_k", F.floor(F.ln("period") / width))
+    p, q = x.select("epoch", F.explode(F.array(F.col("_k"), F.col("_k") + 1)).alias("_k"), F.struct("period", "asset", "prominence", "stability", "phase").alias("p")), x.select("epoch", "_k", F.struct("period", "asset", "prominence", "stability", "phase").alias("q"))
+    met = p.join(q, ["epoch", "_k"]).where("p.asset <> q.asset AND (p.period < q.period OR (p.period = q.period AND p.asset < q.asset))")
+    met = met.withColumn("delta", (F.col("q.period") - F.col("p.period")) / F.col("p.period")).where(F.col("delta") <= tolerance)
+    score = 0.3 * (1 - F.col("delta") / tolerance) + 0.4 * F.least("p.stability", "q.stability") + 0.3 * F.least(F.lit(1.0), F.least("p.prominence", "q.prominence") / 12)
+    turn = F.pmod(F.col("q.phase") - F.col("p.phase") + 180, F.lit(360.0)) - 180
+    first = F.col("p.asset") < F.col("q.asset")
+    pair = [F.when(first, F.col(f"{u}.{c}")).otherwise(F.col(f"{v}.{c}")).alias(n) for u, v, c, n in (("p", "q", "asset", "a"), ("q", "p", "asset", "b"), ("p", "q", "period", "period_a"), ("q", "p", "period", "period_b"))]
+    return met.select("epoch", *pair, "delta", turn.alias("phase_delta"), (turn / 360 * (F.col("p.period") + F.col("q.period")) / 2).alias("lag"), score.alias("score")).where(F.col("score") >= least)
+
+
+def recurring_pairs(matches: DataFrame, least: int = 3) -> DataFrame:
+    """a, b, epochs, mean_period, mean_lag, lag_sd, mean_score of the pairs that match in at least so many epochs."""
+    lag = F.when(F.col("lag") != 0, F.col("lag"))
+    rows = matches.groupBy("a", "b").agg(
+        F.count_distinct("epoch").alias("epochs"), F.avg((F.col("period_a") + F.col("period_b")) / 2).alias("mean_period"), F.coalesce(F.avg(lag), F.lit(0.0)).alias("mean_lag"),
+        F.coalesce(F.stddev_samp(lag), F.lit(0.0)).alias("lag_sd"), F.avg("score").alias("mean_score"),
+    )
+    return rows.where(F.col("epochs") >= least)

@@ -60,7 +60,7 @@ def curve_features(spark, sf_dir):
 @query("g6_event_links")
 def event_links(spark, sf_dir):
     bars = t.bars(spark, sf_dir)
-    return rounded(curve.link_events(curve.curve_features(bars), bars.select("asset", "ts")))
+    return rounded(curve.link_events(curve.curve_features(bars), bars.select("asset", "ts"), least_lift=1.0))
 
 
 @query("g9_type_statistics")
@@ -127,14 +127,20 @@ def latest_shapes(spark, sf_dir):
     return ops.similar_shapes(last, own_, 20, 30)
 
 
-@query("g16_similar_shapes")
+SHAPES = f"""WITH {WK}, l AS (SELECT asset, ts, ln(close) AS x, row_number() OVER p AS i, lead(ln(close), 5) OVER p - ln(close) AS forward FROM bars WHERE close > 0 WINDOW p AS (PARTITION BY asset ORDER BY ts)),
+    s0 AS (SELECT asset, i, forward, list(x) OVER w AS v, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s FROM l WINDOW w AS (PARTITION BY asset ORDER BY i ROWS 29 PRECEDING)), s1 AS (SELECT asset, i, forward, list_transform(v, lambda x: (x - m) / s) AS shape FROM s0 WHERE len(v) = 30 AND i % 5 = 0 AND s > 1e-12),
+    q AS (SELECT asset AS q_asset, i AS q_i, shape AS q FROM s1 QUALIFY row_number() OVER (PARTITION BY asset ORDER BY i DESC) = 1), c AS (SELECT q_asset, q_i, asset, i, forward, list_inner_product(shape, q) / 30 AS r FROM s1 JOIN q ON asset <> q_asset OR abs(i - q_i) >= 30),
+    sm AS (SELECT *, row_number() OVER (PARTITION BY q_asset, q_i ORDER BY round(r, 9) DESC, asset, i) AS rank FROM c QUALIFY rank <= 20)"""
+
+
+@query("g16_similar_shapes", f"{SHAPES} SELECT q_asset, q_i, asset, i, round(forward, 6) AS forward, round(r, 6) AS r, rank FROM sm")
 def similar_shapes(spark, sf_dir):
     return rounded(latest_shapes(spark, sf_dir))
 
 
-@query("g17_shape_consensus")
+@query("g17_shape_consensus", f"{SHAPES} SELECT q_asset, q_i, count(*) AS n, round(avg(forward), 6) AS mean_forward, round(greatest(avg(CASE WHEN forward > 0 THEN 1.0 ELSE 0 END), 1 - avg(CASE WHEN forward > 0 THEN 1.0 ELSE 0 END)), 6) AS agreement FROM sm WHERE r >= 0.5 AND forward IS NOT NULL GROUP BY 1, 2")
 def shape_consensus(spark, sf_dir):
-    return rounded(ops.consensus(latest_shapes(spark, sf_dir)))
+    return rounded(ops.consensus(latest_shapes(spark, sf_dir), 0.5))
 
 
 DET = """, dx AS (SELECT asset, ts, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS i, ln(close) AS y FROM bars WHERE close > 0), dl AS (SELECT asset, regr_slope(y, i) AS b, regr_intercept(y, i) AS a FROM dx GROUP BY 1), de AS (SELECT asset, ts, i, y - a - b * i AS x FROM dx JOIN dl USING (asset))"""
@@ -153,8 +159,7 @@ FOU = f""", sg AS (SELECT asset, i, x, unnest([i // {SEGMENT // 2} - 1, i // {SE
 
 
 def transformed(spark, sf_dir):
-    grid = spark.range(12, 129).select(F.col("id").cast("int").alias("k"))
-    return spectral.fourier(spectral.detrended(t.bars(spark, sf_dir, "week")), grid, SEGMENT)
+    return spectral.fourier(spectral.detrended(t.bars(spark, sf_dir, "week")), range(12, 129), SEGMENT)
 
 
 @query("h3_welch_spectrum", f"WITH {WK}{DET}{FOU} SELECT asset, k, round(power, 6) AS power FROM we")
@@ -197,8 +202,42 @@ def band_pass(spark, sf_dir):
     pv AS (SELECT *, CASE WHEN prominence >= 4 THEN period END AS p, median(CASE WHEN prominence >= 4 THEN period END) OVER (PARTITION BY asset) AS m, median(prominence) OVER (PARTITION BY asset) AS pm FROM pk)
     SELECT asset, count(*) AS windows, round(avg(CASE WHEN abs(p - m) / m <= 0.2 THEN 1.0 ELSE 0 END), 6) AS stability, round(coalesce(any_value(m), 0), 6) AS period, round(coalesce(avg(abs(p - m)), 0), 6) AS deviation, round(any_value(pm), 6) AS prominence FROM pv GROUP BY 1""")
 def cycle_stability(spark, sf_dir):
-    grid = spark.range(5, 103).select(F.col("id").cast("int").alias("k"))
-    return rounded(spectral.cycle_stability(spectral.fourier(spectral.detrended(t.bars(spark, sf_dir)), grid, SEGMENT), SEGMENT))
+    return rounded(spectral.cycle_stability(spectral.fourier(spectral.detrended(t.bars(spark, sf_dir)), range(5, 103), SEGMENT), SEGMENT))
+
+
+def cycles(spark, sf_dir):
+    return spectral.instant_cycle(spectral.band_pass(t.bars(spark, sf_dir)))
+
+
+@query("h7_instant_cycle")
+def instant_cycle(spark, sf_dir):
+    return rounded(cycles(spark, sf_dir))
+
+
+@query("h8_cycle_projection")
+def cycle_projection(spark, sf_dir):
+    return rounded(spectral.cycle_projection(cycles(spark, sf_dir), 20))
+
+
+def patterns(spark, sf_dir):
+    """Peaks a fifth above their ring, whatever the stability, as prices without cycles have nothing stronger."""
+    series = spectral.detrended(t.bars(spark, sf_dir))
+    return spectral.frequency_patterns(series, spectral.fourier(series, range(5, 103), SEGMENT), SEGMENT, least_prominence=1.2, least_stability=0.0)
+
+
+@query("h13_frequency_patterns")
+def frequency_patterns(spark, sf_dir):
+    return rounded(patterns(spark, sf_dir))
+
+
+@query("h15_pattern_matches")
+def pattern_matches(spark, sf_dir):
+    return rounded(spectral.match_patterns(patterns(spark, sf_dir)))
+
+
+@query("h16_recurring_pairs")
+def recurring_pairs(spark, sf_dir):
+    return rounded(spectral.recurring_pairs(spectral.match_patterns(patterns(spark, sf_dir)), 2))
 
 
 @query("h10_regime_prior", f"""WITH {D}{DFA}, k AS (SELECT *, 1 + 0.5 * least(1, greatest(0, confidence)) AS k FROM hu), w AS (SELECT asset, confidence, unnest([struct_pack(model := 'naive', w := 1.0::DOUBLE), struct_pack(model := 'drift', w := CASE label WHEN 'trending' THEN k ELSE 1 END), struct_pack(model := 'momentum', w := CASE label WHEN 'trending' THEN k WHEN 'reverting' THEN 1 / k ELSE 1 END),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -206,3 +208,9 @@ def momentum(spark, sf_dir):
 @query("g10_market_neutral", f"WITH {D}{NEUTRAL} SELECT asset, ts, round(neutral, 6) AS neutral FROM ne")
 def market_neutral(spark, sf_dir):
     return rounded(ops.market_neutral(t.bars(spark, sf_dir)).select("asset", "ts", "neutral"))
+
+
+@query("f19_conserved_groups")
+def conserved_groups(spark, sf_dir):
+    weekly = ops.with_flow(t.bars(spark, sf_dir, "week"), t.assets(spark, sf_dir))
+    return rounded(ops.conserved_groups(ops.shares(weekly).select("asset", "ts", "share"), datetime(1996, 6, 1)))

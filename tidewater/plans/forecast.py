@@ -46,7 +46,13 @@ for _name, _model in (("k1_naive", "naive"), ("k2_drift", "drift"), ("k3_momentu
     of_model(_name, _model)
 
 
-@query("k5_lead_lag")
+LEADLAG = f"""{p.W_STATS}{p.LEAD}, le AS (SELECT * FROM ld WHERE place <= 5 AND abs(lag_corr) >= 0.05), rr AS (SELECT asset, ts, ln(close / lag(close) OVER (PARTITION BY asset ORDER BY ts)) AS r FROM bars),
+    mt AS (SELECT le.asset, le.leader, lag, lag_corr, x.ts, x.r AS rl, y.r AS r FROM le JOIN rr x ON x.asset = le.leader JOIN rr y ON y.asset = le.asset AND y.ts = x.ts),
+    sh AS (SELECT *, lag(rl, CAST(lag AS INT)) OVER w AS past, row_number() OVER w AS i, count(*) OVER (PARTITION BY asset, leader) AS n FROM mt WINDOW w AS (PARTITION BY asset, leader ORDER BY ts)),
+    sg AS (SELECT asset, leader, lag_corr, CASE WHEN count(past) < 3 THEN 0 ELSE coalesce(regr_slope(r, past), 0) END AS beta, sum(CASE WHEN i < n AND i >= n - lag THEN rl END) AS recent FROM sh GROUP BY asset, leader, lag_corr, lag)"""
+
+
+@query("k5_lead_lag", f"{LEADLAG} SELECT asset, round(sum(abs(lag_corr) * beta * recent) / sum(abs(lag_corr)), 6) AS predicted, count(*) AS leaders FROM sg GROUP BY 1")
 def lead_lag(spark, sf_dir):
     """Leaders' last returns over their lag, times beta, weighed by |r|; K6 builds the signals."""
     led = pair_ops.leaders(p.stats(spark, sf_dir), 5).where(F.abs("lag_corr") >= 0.05)

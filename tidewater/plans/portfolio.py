@@ -54,6 +54,12 @@ def fixed_baskets(spark, sf_dir):
     return rounded(own_.groupBy("basket").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_r"), F.stddev_samp("r").alias("sd_r")))
 
 
+@query("m6_greedy_baskets")
+def greedy_baskets(spark, sf_dir):
+    """Chosen from the first 60 % of the time, which ends in June 1996."""
+    return rounded(ops.greedy_baskets(returns(spark, sf_dir, "week").where("ts < TIMESTAMP '1996-06-01'").select("asset", "ts", "r")))
+
+
 @query("m7_intraday_mobility", f"""WITH {t.HOURLY_SQL}, m AS (SELECT asset, abs(ln(close / lag(close) OVER (PARTITION BY asset ORDER BY ts))) AS m FROM bars)
     SELECT asset, round(avg(m), 6) AS mean_move, round(median(m), 6) AS median_move, round(avg(CASE WHEN m > 0.003 THEN 1.0 ELSE 0 END), 6) AS above_one, round(avg(CASE WHEN m > 0.006 THEN 1.0 ELSE 0 END), 6) AS above_two FROM m WHERE m IS NOT NULL GROUP BY 1""")
 def intraday_mobility(spark, sf_dir):
