@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_extract, jaccard_join, langid, line_dedup, mixing, toxicity, url_filter
+from . import ann, bpe, divergence, exact_dedup, exact_topk, html_extract, importance, jaccard_join, langid, line_dedup, mixing, toxicity, url_filter
 from .common import fold_of, table
 
 
@@ -75,6 +75,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -86,6 +98,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL = {
@@ -133,4 +148,43 @@ ORACLE_SQL = {
                  row_number() OVER (PARTITION BY p.page_id ORDER BY length(rule_host || rule_path) DESC) AS k
           FROM p LEFT JOIN r ON (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path))
         SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op11_source_divergence": r"""
+        WITH d AS (
+          SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+          FROM documents),
+        c AS (SELECT lang, source, doc, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS n FROM c GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 10),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY 1),
+        n AS (SELECT lang, source, term, count(*) AS n FROM c SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+        g AS (
+          SELECT d.lang, d.source, coalesce(any_value(s.total), 0) AS total, coalesce(any_value(l.v), 0) AS v
+          FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN (SELECT lang, source, sum(n) AS total FROM n GROUP BY 1, 2) s USING (lang, source)
+          LEFT JOIN l ON l.lang = d.lang GROUP BY 1, 2),
+        p AS (
+          SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+                 CAST(1 + 1000000000::HUGEINT * (coalesce(n.n, 0) + 2) // (g.total + 2 * g.v) AS BIGINT) AS p,
+                 CAST(1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * l.v) AS BIGINT) AS q
+          FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+        pv AS (
+          SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        u AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pv.value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source
+          UNION ALL
+          SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank
+        FROM u QUALIFY part = 'pair' OR rank <= 10""",
+    "op12_exact_topk": r"""
+        WITH e AS (
+          SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+          FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10""",
 }
