@@ -159,19 +159,28 @@ def reversal_summary(study: DataFrame) -> DataFrame:
     )
 
 
-def region_lead(bars: DataFrame, regions: DataFrame, least: int) -> DataFrame:
-    """Mean returns of each region and day (close to close, overnight, open to close), and how those of a region that
-    closes early go with the same day of one that closes later; the counter-check takes the late region's day before.
+def region_lead(bars: DataFrame, regions: DataFrame, hours: DataFrame, least: int) -> DataFrame:
+    """early, late, hours, n, early_members, late_members, r_cc, r_gap, r_oc, r_counter, overlap: how the mean log return of a region and day goes with that of a region
+    that closes later the same day: close to close, overnight and within the day. Each region's assets count alike.
 
-    regions: region, closes (hour in UTC) of each asset.
-    """
+    The counter-check takes the late region's calendar day before; days without one drop out of the moments that need it, and only of these. An overlap of
+    trading hours means that both move at once, which is no lead. regions: asset, region; hours: region, opens, closes."""
     from tidewater.functions.series import own
 
     before = F.lag("close").over(own())
-    returns = bars.join(regions, "asset").select("region", "closes", "ts", (F.col("close") / before - 1).alias("cc"), (F.col("open") / before - 1).alias("gap"), (F.col("close") / F.col("open") - 1).alias("oc"))
-    days = returns.where("cc IS NOT NULL AND gap IS NOT NULL AND oc IS NOT NULL").groupBy("region", "closes", "ts").agg(F.avg("cc").alias("cc"), F.avg("gap").alias("gap"), F.avg("oc").alias("oc"))
-    days = days.withColumn("cc_before", F.lag("cc").over(Window.partitionBy("region").orderBy("ts")))
-    early, late = days.alias("e"), days.alias("l")
-    met = early.join(late, F.col("e.ts") == F.col("l.ts")).where("e.region <> l.region AND e.closes < l.closes")
-    rows = met.select(F.col("e.region").alias("early"), F.col("l.region").alias("late"), F.col("e.cc").alias("x"), F.col("l.cc").alias("cc"), F.col("l.gap").alias("gap"), F.col("l.oc").alias("oc"), F.col("l.cc_before").alias("counter"))
-    return rows.groupBy("early", "late").agg(F.count(F.lit(1)).alias("n"), *[correlation("x", c).alias(f"r_{c}") for c in ("cc", "gap", "oc", "counter")]).where(F.col("n") >= least)
+    sound = bars.where("close > 0 AND open > 0").join(regions, "asset")
+    returns = sound.select("region", F.to_date("ts").alias("day"), F.ln(F.col("close") / before).alias("cc"), F.ln(F.col("open") / before).alias("gap"), F.ln(F.col("close") / F.col("open")).alias("oc"))
+    days = returns.where("cc IS NOT NULL AND gap IS NOT NULL AND oc IS NOT NULL").groupBy("region", "day").agg(F.count(F.lit(1)).alias("members"), *[F.avg(c).alias(c) for c in ("cc", "gap", "oc")]).join(hours, "region")
+    early = days.select("day", F.col("region").alias("early"), F.col("closes").alias("_ends"), F.col("members").alias("_em"), F.col("cc").alias("_f"))
+    late = days.select("day", F.col("region").alias("late"), "opens", "closes", F.col("members").alias("_lm"), "cc", "gap", "oc")
+    prior = days.select(F.date_add("day", 1).alias("day"), F.col("region").alias("late"), F.col("cc").alias("_b"))
+    met = early.join(late, "day").where(F.col("closes") > F.col("_ends")).join(prior, ["day", "late"], "left")
+
+    def moment(x: str, y: str) -> Column:
+        return F.try_divide(F.avg(F.col(x) * F.col(y)) - F.avg(x) * F.avg(y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    rows = met.groupBy("early", "late").agg(
+        F.first(F.col("closes") - F.col("_ends")).alias("hours"), F.count(F.lit(1)).alias("n"), F.avg("_em").alias("early_members"), F.avg("_lm").alias("late_members"),
+        *[moment("_f", c).alias(f"r_{c}") for c in ("cc", "gap", "oc")], moment("_b", "_f").alias("r_counter"), F.first(F.greatest(F.lit(0), F.col("_ends") - F.col("opens"))).alias("overlap"),
+    )
+    return rows.where(F.col("n") >= least)

@@ -168,25 +168,6 @@ def ssa(bars: DataFrame, tail: int = 400, components: int = 4, ahead: int = 20)
     return rows.groupBy("asset").applyInPandas(run, "asset string, step int, predicted double, share double")
 
 
-def leading_modes(transformed: DataFrame) -> DataFrame:
-    """k, asset, explained, weight, phase: the leading eigenvector of the matrix of coherencies between all assets at
-    each frequency. Spark makes the cross-spectra; one small matrix for each frequency is solved in a task."""
-    pairs = coherence(transformed)
-    rows = pairs.select("k", "a", "b", (F.sqrt("coherence") * F.cos("phase")).alias("re"), (F.sqrt("coherence") * F.sin("phase")).alias("im"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(part["a"]) | set(part["b"]))
-        at = {n: i for i, n in enumerate(names)}
-        m = np.eye(len(names), dtype=complex)
-        for a, b, re, im in part[["a", "b", "re", "im"]].itertuples(index=False):
-            m[at[a], at[b]], m[at[b], at[a]] = complex(re, im), complex(re, -im)
-        values, vectors = np.linalg.eigh(m)
-        v = vectors[:, -1] * np.exp(-1j * np.angle(vectors[:, -1][np.argmax(np.abs(vectors[:, -1]))]))
-        return pd.DataFrame({"k": part["k"].iloc[0], "asset": names, "explained": float(values[-1] / len(names)), "weight": np.abs(v), "phase": np.angle(v)})
-
-    return rows.groupBy("k").applyInPandas(run, "k int, asset string, explained double, weight double, phase double")
-
-
 def instant_cycle(band: DataFrame, shortest: float = 6.0, longest: float = 120.0, lookback: int = 20) -> DataFrame:
     """asset, phase (degrees), amplitude, period, quality at the end of each band-passed series (asset, ts, band), by the homodyne
     discriminator: the turn between one analytic value and the next is the phase gained a bar. Quality is how still the period

@@ -7,9 +7,30 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.series import clamp, correlation, slope
 
-#: Words of the sentiment lexicon with their weights, negations, and marker words of languages.
-LEXICON = {"good": 1.0, "great": 1.5, "gain": 1.0, "rise": 1.0, "strong": 1.0, "profit": 1.0, "bad": -1.0, "loss": -1.0, "fall": -1.0, "weak": -1.0, "worthless": -1.5, "stupid": -1.0, "trash": -1.0, "pathetic": -1.0}
-NEGATIONS = ["not", "no", "never", "without", "nicht", "kein", "pas", "sin"]
+# The words of the sentiment lexicon with their weights, the negations, and marker words of languages.
+POSITIVE = {
+    "rekord": 1.0, "rekordhoch": 1.0, "allzeithoch": 1.0, "durchbruch": 0.9, "rallye": 0.9, "hausse": 0.9, "gewinnsprung": 0.9, "übernahmeangebot": 0.8, "uebernahmeangebot": 0.8,
+    "steigt": 0.6, "steigen": 0.6, "stieg": 0.6, "gestiegen": 0.6, "zulegen": 0.6, "zulegt": 0.6, "klettert": 0.7, "erholung": 0.6, "erholt": 0.6, "aufschwung": 0.7, "aufwärtstrend": 0.7,
+    "gewinn": 0.5, "gewinne": 0.5, "überschuss": 0.5, "optimistisch": 0.6, "zuversichtlich": 0.6, "hochgestuft": 0.8, "kaufempfehlung": 0.8, "übergewichten": 0.7, "anhebung": 0.6,
+    "angehoben": 0.6, "übertrifft": 0.8, "uebertrifft": 0.8, "stark": 0.4, "robust": 0.5, "wachstum": 0.5, "expansion": 0.5, "dividendenerhöhung": 0.7,
+    "record": 1.0, "surge": 0.9, "surges": 0.9, "soar": 0.9, "soars": 0.9, "rally": 0.9, "rallies": 0.9, "breakout": 0.8, "bullish": 0.9, "jumps": 0.7, "jumped": 0.7, "climbs": 0.7,
+    "gains": 0.6, "rises": 0.6, "rose": 0.6, "higher": 0.4, "advance": 0.5, "upgrade": 0.8, "upgraded": 0.8, "outperform": 0.7, "overweight": 0.6, "beats": 0.8, "strong": 0.4,
+    "growth": 0.5, "profit": 0.5, "buyback": 0.6, "approval": 0.5, "partnership": 0.4, "adoption": 0.5, "inflow": 0.5, "inflows": 0.5,
+}
+NEGATIVE = {
+    "insolvenz": 1.0, "pleite": 1.0, "crash": 1.0, "absturz": 1.0, "einbruch": 0.9, "talfahrt": 0.9, "baisse": 0.9, "ausverkauf": 0.8, "fällt": 0.6, "faellt": 0.6, "fallen": 0.6, "fiel": 0.6,
+    "sinkt": 0.6, "sinken": 0.6, "verliert": 0.6, "verluste": 0.6, "nachgeben": 0.5, "rutscht": 0.7, "abwärtstrend": 0.7, "gewinnwarnung": 1.0, "gesenkt": 0.6, "herabgestuft": 0.8,
+    "verkaufsempfehlung": 0.8, "untergewichten": 0.7, "verfehlt": 0.8, "enttäuscht": 0.7, "ermittlungen": 0.7, "klage": 0.6, "strafe": 0.6, "skandal": 0.8, "rezession": 0.8, "krise": 0.7,
+    "schwach": 0.4, "stellenabbau": 0.6, "hack": 0.8, "gehackt": 0.9, "betrug": 0.9,
+    "bankruptcy": 1.0, "insolvency": 1.0, "plunge": 0.9, "plunges": 0.9, "slump": 0.8, "slumps": 0.8, "tumble": 0.8, "tumbles": 0.8, "selloff": 0.8, "sell-off": 0.8, "bearish": 0.9,
+    "falls": 0.6, "fell": 0.6, "drops": 0.6, "declines": 0.6, "slides": 0.6, "lower": 0.4, "losses": 0.6, "loss": 0.5, "downgrade": 0.8, "downgraded": 0.8, "underperform": 0.7,
+    "misses": 0.8, "weak": 0.4, "recession": 0.8, "crisis": 0.7, "lawsuit": 0.6, "probe": 0.6, "investigation": 0.7, "fraud": 0.9, "hacked": 0.9, "exploit": 0.8, "outflow": 0.5,
+    "outflows": 0.5, "layoffs": 0.6, "halted": 0.7, "delisting": 0.9,
+}
+NEGATIONS = ["kein", "keine", "keinen", "keiner", "nicht", "nie", "ohne", "kaum", "no", "not", "never", "without", "fails", "failed", "unlikely", "denies"]
+# Words of praise and abuse that no market report holds, for texts of other kinds.
+PLAIN = {"good": 1.0, "great": 1.0, "gain": 0.6, "rise": 0.6, "bad": -1.0, "fall": -0.6, "worthless": -1.0, "stupid": -1.0, "trash": -1.0, "pathetic": -1.0}
+LEXICON = POSITIVE | {w: -v for w, v in NEGATIVE.items()} | PLAIN
 MARKERS = {"en": ["the", "and", "of", "is", "that", "with"], "de": ["der", "die", "und", "nicht", "von", "ist"], "fr": ["le", "la", "les", "et", "que", "des"], "es": ["el", "los", "que", "una", "por", "con"]}
 
 
@@ -43,20 +64,33 @@ def prose(text: Column) -> Column:
 
 
 def chunks(docs: DataFrame, target: int = 1400, overlap: int = 200, least: int = 100) -> DataFrame:
-    """doc_id, ordinal, char_from, text: paragraphs put together up to a target length, the tail of each chunk starting
-    the next; paragraphs of over twice the target are cut hard."""
-    pieces = F.flatten(F.transform(F.split(F.replace(F.col("text"), F.lit("\x00"), F.lit("")), "\n"), lambda p: F.when(F.length(p) > 2 * target, F.regexp_extract_all(p, F.lit(f"(?s).{{1,{target}}}"), 0)).otherwise(F.array(p))))
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+    """doc_id, ordinal, char_from, char_to, page, text, n_chars, anchor: paragraphs put together up to a target length, the tail of each chunk starting the
+    next; paragraphs of over twice the target are cut hard.
+
+    A chunk is a span of the text without its NUL characters, from char_from (counted from 0) up to before char_to. The fold over paragraphs carries only
+    offsets; texts are cut once, at the end. page counts the form feeds before a chunk, from 1."""
+    clean = F.replace(F.col("text"), F.lit("\x00"), F.lit(""))
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.ceil(F.length(p) / target).cast("int") - 1), lambda k: F.struct((k == 0).alias("starts"), F.least(F.lit(target), F.length(p) - k * target).alias("n")))
+    whole = lambda p: F.array(F.struct(F.lit(True).alias("starts"), F.length(p).alias("n")))
+    pieces = F.flatten(F.transform(F.split(F.col("_clean"), "\n"), lambda p: F.when(F.length(p) > 2 * target, cut(p)).otherwise(whole(p))))
+    span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    # a piece that starts a paragraph stands behind a line end; the first one stands at -1 + 1
+    start = F.struct(F.lit(0).alias("a"), F.lit(-1).alias("end"), F.lit(False).alias("open"), F.array().cast("array<struct<a:int,b:int>>").alias("done"))
 
     def step(state: Column, piece: Column) -> Column:
-        full = (F.length(state["open"]) > 0) & (F.length(state["open"]) + F.length(piece) + 1 > target)
-        grown = F.when(F.length(state["open"]) == 0, piece).otherwise(F.concat(state["open"], F.lit("\n"), piece))
-        tail = F.when(F.length(piece) >= target, piece).otherwise(F.concat(F.substring(state["open"], -overlap, overlap), F.lit("\n"), piece))
-        return F.struct(F.when(full, tail).otherwise(grown).alias("open"), F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"))
+        held = F.when(state["open"], state["end"] - state["a"]).otherwise(0)
+        at = state["end"] + piece["starts"].cast("int")
+        end = at + piece["n"]
+        full = (held > 0) & (held + piece["n"] + 1 > target)
+        begin = F.when(full, F.when(piece["n"] >= target, at).otherwise(state["end"] - F.least(F.lit(overlap), held))).when(held > 0, state["a"]).otherwise(at)
+        return F.struct(begin.alias("a"), end.alias("end"), F.lit(True).alias("open"), F.when(full, F.concat(state["done"], F.array(span(state["a"], state["end"])))).otherwise(state["done"]).alias("done"))
 
-    folded = F.aggregate(pieces, start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.filter(folded, lambda c: F.length(c) >= least)).alias("ordinal", "chunk"))
-    return rows.select("doc_id", "ordinal", F.col("chunk").alias("text"), F.length("chunk").alias("n_chars"), F.array_join(F.slice(F.split("chunk", r"\s+"), 1, 8), " ").alias("anchor"))
+    folded = F.aggregate(pieces, start, step, lambda s: F.concat(s["done"], F.array(span(s["a"], s["end"]))))
+    rows = docs.where("text IS NOT NULL").select("doc_id", clean.alias("_clean"))
+    rows = rows.select("doc_id", "_clean", F.posexplode(F.filter(folded, lambda c: c["b"] - c["a"] >= least)).alias("ordinal", "_c"))
+    rows = rows.select("doc_id", "ordinal", F.col("_c.a").alias("char_from"), F.col("_c.b").alias("char_to"), "_clean", F.expr("substring(_clean, _c.a + 1, _c.b - _c.a)").alias("text"))
+    page = F.regexp_count(F.expr("left(_clean, char_from)"), F.lit("\f")) + 1
+    return rows.select("doc_id", "ordinal", "char_from", "char_to", page.alias("page"), "text", (F.col("char_to") - F.col("char_from")).alias("n_chars"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("anchor"))
 
 
 def usable(text: Column) -> Column:
@@ -76,7 +110,7 @@ def to_embed(now: DataFrame, before: DataFrame) -> DataFrame:
 
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, pos, token, and whether one of the three tokens before negates."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{Nd}\-']+"), lambda w: F.length(w) > 1)
     rows = docs.where("text IS NOT NULL").select("doc_id", words.alias("_w"))
     negated = F.arrays_overlap(F.slice("_w", F.greatest(F.lit(1), F.col("_pos") - 2), F.least(F.col("_pos"), F.lit(3))), F.array(*map(F.lit, NEGATIONS)))
     each = rows.select("doc_id", "_w", F.posexplode("_w").alias("_pos", "token"))

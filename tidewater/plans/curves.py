@@ -257,11 +257,6 @@ def ssa_forecast(spark, sf_dir):
     return rounded(spectral.ssa(t.bars(spark, sf_dir)))
 
 
-@query("h24_market_modes")
-def market_modes(spark, sf_dir):
-    return rounded(spectral.leading_modes(transformed(spark, sf_dir)))
-
-
 STATE = f"""{RET}, fl2 AS (SELECT b.asset, b.ts, cls, r, CASE WHEN b.volume > 0 THEN CASE WHEN cls = 2 THEN b.volume ELSE b.close * b.volume END END AS gross, CASE WHEN lag(b.close, 5) OVER (PARTITION BY b.asset ORDER BY b.ts) > 0 THEN ln(b.close / lag(b.close, 5) OVER (PARTITION BY b.asset ORDER BY b.ts)) END AS r5 FROM bars b JOIN ret USING (asset, ts) JOIN assets USING (asset))"""
 
 

@@ -133,7 +133,10 @@ def jump_guard(spark, sf_dir):
     return rounded(ops.jump_guard(own, F.expr(SINCE), F.when(F.col("cls") == 2, 0.9).otherwise(0.4)))
 
 
-@query("e11_capped_ranking")
+@query("e11_capped_ranking", f"""WITH RECURSIVE {WK}{CLOSES}{CROSS}{OPP}, rk AS MATERIALIZED (SELECT * FROM (SELECT a, b, {GAIN} AS score, row_number() OVER (ORDER BY {GAIN} DESC, a, b) AS i FROM op) WHERE i <= 4000),
+    wk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::DOUBLE AS score, false AS kept UNION ALL
+      SELECT i, CASE WHEN kept THEN used || [a, b] ELSE used END, a, b, score, kept FROM (SELECT rk.i, used, rk.a, rk.b, rk.score, len(list_filter(used, lambda u: u = rk.a)) < 2 AND len(list_filter(used, lambda u: u = rk.b)) < 2 AS kept FROM wk JOIN rk ON rk.i = wk.i + 1))
+    SELECT CAST(row_number() OVER (ORDER BY i) AS INT) AS place, a, b, round(score, 6) AS score FROM wk WHERE kept""")
 def capped_ranking(spark, sf_dir):
     return rounded(ops.capped_ranking(open_pairs(spark, sf_dir).select("a", "b", F.col("pair_gain").alias("score")), 4000, 2))
 
@@ -172,6 +175,8 @@ def swap_suggestions(spark, sf_dir):
     return rounded(better.select("held", "instead", "place", (1000 * (1 + F.col("ret_held"))).alias("kept_worth"), (1000 * (1 + F.col("ret_instead"))).alias("swapped_worth")), 4)
 
 
+#: When the exchanges of a region open first and close last, in hours of the day (UTC).
+HOURS = {"ASIA": (0, 8), "EURO": (7, 16), "AMER": (13, 20)}
 STUDY = """, fw AS (SELECT asset, ts, last_value(close) OVER (PARTITION BY asset ORDER BY ts RANGE BETWEEN INTERVAL 1 SECOND FOLLOWING AND INTERVAL 30 DAY FOLLOWING) / close - 1 AS fw FROM bars),
     rg AS (SELECT cr.a, cr.b, CASE WHEN direction = 1 THEN x.fw - y.fw ELSE y.fw - x.fw END AS gain FROM cr JOIN fw x ON x.asset = cr.a AND x.ts = cr.ts JOIN fw y ON y.asset = cr.b AND y.ts = cr.ts WHERE x.fw IS NOT NULL AND y.fw IS NOT NULL),
     st AS (SELECT a, b, count(*) AS n, count(*) FILTER (gain > 0) AS hits, avg(gain) AS mean_gain, (count(*) FILTER (gain > 0) - count(*) / 2) / sqrt(count(*) / 4) AS z FROM rg GROUP BY 1, 2 HAVING count(*) >= 10)"""
@@ -193,14 +198,18 @@ def reversal_summary(spark, sf_dir):
     return rounded(ops.reversal_summary(reversal(spark, sf_dir)))
 
 
-@query("e16_region_lead", f"""WITH {D}, {A}, q AS (SELECT region, CASE region WHEN 'ASIA' THEN 6 WHEN 'EURO' THEN 16 ELSE 21 END AS closes, ts, close / lag(close) OVER w - 1 AS cc, open / lag(close) OVER w - 1 AS gap, close / open - 1 AS oc FROM bars JOIN assets USING (asset) WINDOW w AS (PARTITION BY asset ORDER BY ts)),
-    g AS (SELECT region, closes, ts, avg(cc) AS cc, avg(gap) AS gap, avg(oc) AS oc FROM q WHERE cc IS NOT NULL AND gap IS NOT NULL AND oc IS NOT NULL GROUP BY 1, 2, 3),
-    d2 AS (SELECT *, lag(cc) OVER (PARTITION BY region ORDER BY ts) AS counter FROM g)
-    SELECT e.region AS early, l.region AS late, count(*) AS n, round(corr(e.cc, l.cc), 6) AS r_cc, round(corr(e.cc, l.gap), 6) AS r_gap, round(corr(e.cc, l.oc), 6) AS r_oc, round(corr(e.cc, l.counter), 6) AS r_counter
-    FROM d2 e JOIN d2 l ON e.ts = l.ts AND e.region <> l.region AND e.closes < l.closes GROUP BY 1, 2 HAVING count(*) >= 200""")
+MOMENT = "(avg({x} * {y}) - avg({x}) * avg({y})) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+
+
+@query("e16_region_lead", f"""WITH {D}, {A}, q AS (SELECT region, CAST(ts AS DATE) AS day, ln(close / lag(close) OVER w) AS cc, ln(open / lag(close) OVER w) AS gap, ln(close / open) AS oc FROM bars JOIN assets USING (asset) WHERE close > 0 AND open > 0 WINDOW w AS (PARTITION BY asset ORDER BY ts)),
+    g AS (SELECT region, day, count(*) AS members, avg(cc) AS cc, avg(gap) AS gap, avg(oc) AS oc FROM q WHERE cc IS NOT NULL AND gap IS NOT NULL AND oc IS NOT NULL GROUP BY 1, 2), z(region, opens, closes) AS (VALUES {", ".join(f"('{r}', {o}, {c})" for r, (o, c) in HOURS.items())})
+    SELECT f.region AS early, s.region AS late, any_value(sz.closes - fz.closes) AS hours, count(*) AS n, round(avg(f.members), 6) AS early_members, round(avg(s.members), 6) AS late_members, {", ".join(f"round({MOMENT.format(x='f.cc', y=y)}, 6) AS r_{n}" for n, y in (("cc", "s.cc"), ("gap", "s.gap"), ("oc", "s.oc")))},
+      round((avg(b.cc * f.cc) - avg(b.cc) * avg(f.cc)) / nullif(stddev_pop(b.cc) * stddev_pop(f.cc), 0), 6) AS r_counter, any_value(greatest(0, fz.closes - sz.opens)) AS overlap
+    FROM g f JOIN g s ON s.day = f.day JOIN z fz ON fz.region = f.region JOIN z sz ON sz.region = s.region LEFT JOIN g b ON b.region = s.region AND b.day = f.day - 1 WHERE sz.closes > fz.closes GROUP BY 1, 2 HAVING count(*) >= 200""")
 def region_lead(spark, sf_dir):
-    regions = t.assets(spark, sf_dir).select("asset", "region", F.when(F.col("region") == "ASIA", 6).when(F.col("region") == "EURO", 16).otherwise(21).alias("closes"))
-    return rounded(ops.region_lead(t.bars(spark, sf_dir), regions, 200))
+    hours = spark.createDataFrame([(r, o, c) for r, (o, c) in HOURS.items()], "region string, opens int, closes int")
+    return rounded(ops.region_lead(t.bars(spark, sf_dir), t.assets(spark, sf_dir).select("asset", "region"), hours, 200))
+
 
 
 @query("a6_pair_stat_upsert", f"""{W_STATS}, old AS (SELECT a, b, n, round(corr0, 6) AS corr0 FROM ps WHERE a < 'Brand#2'), fresh AS (SELECT a, b, n + 1 AS n, round(-corr0, 6) AS corr0 FROM ps WHERE b >= 'Brand#2')

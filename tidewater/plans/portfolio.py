@@ -192,7 +192,11 @@ def target_baskets(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc(F.round("s", 9)), "asset"))).where("place <= 5").select("strategy", "asset", "place")
 
 
-@query("m21_decorrelated_top")
+@query("m21_decorrelated_top", f"""{CAND.replace("WITH ", "WITH RECURSIVE ", 1)}{pr.CLOSES}, rt AS (SELECT a, b, row_number() OVER w AS i, CASE WHEN ca > 0 AND lag(ca) OVER w > 0 THEN ln(ca / lag(ca) OVER w) ELSE 0 END AS ra, CASE WHEN cb > 0 AND lag(cb) OVER w > 0 THEN ln(cb / lag(cb) OVER w) ELSE 0 END AS rb FROM cl WINDOW w AS (PARTITION BY a, b ORDER BY ts)),
+    cp AS (SELECT a, b FROM rt WHERE i > 1 GROUP BY 1, 2 HAVING count(*) + 1 >= 60 AND abs(corr(ra, rb)) > 0.05), ne AS (SELECT asset, list(o) AS near FROM (SELECT a AS asset, b AS o FROM cp UNION ALL SELECT b, a FROM cp) GROUP BY 1),
+    tp AS MATERIALIZED (SELECT r.*, coalesce(near, []::VARCHAR[]) AS near FROM (SELECT asset, row_number() OVER (ORDER BY score DESC, asset) AS i FROM cs) r LEFT JOIN ne USING (asset) WHERE i <= 20),
+    wk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used UNION ALL SELECT tp.i, CASE WHEN list_has_any(used, near) THEN used ELSE list_append(used, tp.asset) END FROM wk JOIN tp ON tp.i = wk.i + 1)
+    SELECT CAST(unnest(range(1, len(used) + 1)) AS INT) AS place, unnest(used) AS asset FROM (SELECT used FROM wk ORDER BY i DESC LIMIT 1)""")
 def decorrelated_top(spark, sf_dir):
     pairs = pr.stats(spark, sf_dir).select("a", "b", F.col("corr0").alias("r"))
     return ops.decorrelated(candidates(spark, sf_dir).select("asset", "score"), pairs, 20, 0.05)

@@ -24,9 +24,9 @@ def html_to_text(spark, sf_dir):
     return t.table(spark, sf_dir, "pages").select("page_id", F.sha2(ops.html_to_text(F.col("html")), 256).alias("text_sha256"))
 
 
-@query("n2_unfold", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\s*\n\s*', ' ', 'g'), '^ +| +$', '', 'g')) AS text_sha256 FROM documents WHERE NOT regexp_matches(text, '\n\s*\n')")
+@query("n2_unfold", r"""SELECT doc_id, sha256(array_to_string([trim(regexp_replace(p, '\s*\n\s*', ' ', 'g'), ' ') FOR p IN regexp_split_to_array(text, '\n\s*\n')], chr(10) || chr(10))) AS text_sha256 FROM documents WHERE text IS NOT NULL""")
 def unfold(spark, sf_dir):
-    return docs(spark, sf_dir).where(~F.col("text").rlike(r"\n\s*\n")).select("doc_id", F.sha2(ops.unfold(F.col("text")), 256).alias("text_sha256"))
+    return docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.sha2(ops.unfold(F.col("text")), 256).alias("text_sha256"))
 
 
 @query("n3_prose_filter", r"""WITH k AS (SELECT doc_id, text, array_to_string(list_filter(string_split(text, chr(10)), lambda p: length(p) >= 60 AND len(regexp_extract_all(p, '[.!?]')) * 220 >= length(p) AND len(regexp_extract_all(p, '\S+')) >= 12
@@ -38,7 +38,7 @@ def prose_filter(spark, sf_dir):
 
 @query("n4_chunks")
 def chunk_texts(spark, sf_dir):
-    return ops.chunks(docs(spark, sf_dir)).select("doc_id", "ordinal", "n_chars", "anchor")
+    return ops.chunks(docs(spark, sf_dir)).select("doc_id", "ordinal", "char_from", "char_to", "page", "n_chars", "anchor")
 
 
 @query("n5_usable_texts", r"""SELECT doc_id, length(text) >= 120 AND len(regexp_extract_all(text, '[0-9]')) <= 0.18 * length(text) AND len(regexp_extract_all(text, '\[[0-9]+\]')) * 100 <= length(text)
@@ -88,7 +88,7 @@ def lexicon(spark):
 
 LEX = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in ops.LEXICON.items())
 NEG = ", ".join(f"'{w}'" for w in ops.NEGATIONS)
-MOOD = rf"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}0-9]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+MOOD = rf"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{Nd}}\-'']+'), lambda x: length(x) > 1) AS w FROM documents WHERE text IS NOT NULL),
     k AS (SELECT doc_id, w, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM w),
     h AS (SELECT doc_id, CASE WHEN list_has_any(w[greatest(1, p - 3):p - 1], [{NEG}]) THEN -weight ELSE weight END AS v FROM k JOIN (VALUES {LEX}) l(token, weight) USING (token)),
     mo AS (SELECT doc_id, greatest(-1, least(1, avg(v))) AS mood, count(*) AS hits FROM h GROUP BY 1)"""
@@ -118,6 +118,10 @@ CALIB = f"""WITH {t.DAILY_SQL}, {MOOD}, sm AS (SELECT (doc_id // 25) % 1000 + 1
 @query("n14_semantic_calibration", f"""{CALIB} SELECT h, n, round(CASE WHEN n >= 30 THEN r ELSE 0 END, 6) AS r, round(CASE WHEN n >= 30 AND abs(r) > threshold THEN slope ELSE 0 END, 6) AS slope, round(CASE WHEN n >= 30 THEN threshold ELSE 0 END, 6) AS threshold,
     round(CASE WHEN n >= 30 THEN least(1, greatest(0, (abs(r) - threshold) / 0.1)) ELSE 0 END, 6) AS skill FROM c""")
 def semantic_calibration(spark, sf_dir):
+    return rounded(calibrated(spark, sf_dir))
+
+
+def calibrated(spark, sf_dir):
     """Texts stand for the news of an asset's day: the asset and the day's number follow from doc_id."""
     moods = ops.sentiment(docs(spark, sf_dir), lexicon(spark))
     moods = moods.groupBy((F.floor(F.col("doc_id") / 25) % 1000 + 1).alias("rn"), (F.col("doc_id") % 25 + 1).alias("place")).agg(F.avg("mood").alias("s"))
@@ -125,7 +129,7 @@ def semantic_calibration(spark, sf_dir):
     places = bars.select("asset").distinct().withColumn("place", F.row_number().over(Window.orderBy("asset")))
     ahead = F.array(*[F.struct(F.lit(h).alias("h"), F.ln(F.lead("close", h).over(own()) / F.col("close")).alias("r")) for h in (1, 5, 20)])
     rows = bars.select("asset", F.row_number().over(own()).alias("rn"), ahead.alias("_a")).select("asset", "rn", F.explode("_a").alias("_y")).select("asset", "rn", "_y.h", "_y.r")
-    return rounded(ops.calibration(moods.join(places, "place").join(rows.where("r IS NOT NULL"), ["asset", "rn"])))
+    return ops.calibration(moods.join(places, "place").join(rows.where("r IS NOT NULL"), ["asset", "rn"]))
 
 
 @query("n15_language_markers", rf"""WITH k AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}]+')) AS token FROM documents), c AS (SELECT doc_id, lang, count(*) AS n FROM k JOIN (VALUES {MARK}) m(token, lang) USING (token) GROUP BY 1, 2),

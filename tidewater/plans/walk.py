@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import align, bars as bar_ops, forecast as ops, portfolio as books, verdicts as verdict_ops
+from tidewater.operators import align, bars as bar_ops, forecast as ops, leading, portfolio as books, verdicts as verdict_ops
 from tidewater.sources import tables as t
 
 from . import forecast as fc, portfolio as pf
@@ -53,6 +53,89 @@ def track_write(spark, sf_dir):
     return rounded(bar_ops.write_track(old, rows.where("month >= TIMESTAMP '1996-01-01'"), keys, [F.desc("ts")]))
 
 
+#: Steps of the calendar between refreshes of the leaders, and how far these look back.
+EVERY, BACK = 60, 500
+REFRESH = f""", cal AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS t FROM (SELECT DISTINCT ts FROM bars)), bt AS (SELECT asset, t, close FROM bars JOIN cal USING (ts) WHERE close > 0),
+    pq AS (SELECT x.asset AS a, y.asset AS b, x.t, ln(x.close) AS xa, ln(y.close) AS xb FROM bt x JOIN bt y ON x.t = y.t AND x.asset < y.asset),
+    pd AS (SELECT a, b, t, lag(t) OVER w AS tp, xa - lag(xa) OVER w AS ra, xb - lag(xb) OVER w AS rb FROM pq WINDOW w AS (PARTITION BY a, b ORDER BY t)), ee AS (SELECT unnest(range({HISTORY}, (SELECT max(t) FROM cal) + 1, {EVERY})) AS e),
+    wn AS (SELECT a, b, e, t, CASE WHEN tp >= e - {BACK} THEN ra END AS ra, CASE WHEN tp >= e - {BACK} THEN rb END AS rb FROM pd JOIN ee ON t BETWEEN e - {BACK} AND e),
+    w0 AS (SELECT a, b, e, coalesce(corr(ra, rb), 0) AS corr0, count(*) AS n FROM wn GROUP BY 1, 2, 3 HAVING count(*) >= 60),
+    wi AS (SELECT wn.*, row_number() OVER (PARTITION BY a, b, e ORDER BY t) AS i FROM wn JOIN w0 USING (a, b, e) WHERE ra IS NOT NULL AND abs(round(corr0, 9)) >= 0.15),
+    wl AS (SELECT x.a, x.b, x.e, g.lag, coalesce(CASE WHEN count(*) < 3 THEN 0 ELSE corr(x.ra, y.rb) END, 0) AS r FROM wi x CROSS JOIN (SELECT unnest(range(-12, 13)) AS lag) g JOIN wi y ON y.a = x.a AND y.b = x.b AND y.e = x.e AND y.i = x.i + g.lag GROUP BY 1, 2, 3, 4),
+    wb AS (SELECT * FROM wl QUALIFY row_number() OVER (PARTITION BY a, b, e ORDER BY round(abs(r), 9) DESC, lag) = 1),
+    rf AS (SELECT CAST(w0.e AS INT) AS refresh, w0.a, w0.b, CAST(w0.n AS INT) AS n, corr0, CAST(coalesce(wb.lag, 0) AS INT) AS lag, coalesce(wb.r, corr0) AS lag_corr FROM w0 LEFT JOIN wb ON wb.a = w0.a AND wb.b = w0.b AND wb.e = w0.e)"""
+SIGNAL = REFRESH + """, l0 AS (SELECT refresh, CASE WHEN lag > 0 THEN b ELSE a END AS asset, CASE WHEN lag > 0 THEN a ELSE b END AS leader, abs(lag) AS lag, round(lag_corr, 6) AS lag_corr FROM rf WHERE lag <> 0 QUALIFY row_number() OVER (PARTITION BY refresh, asset ORDER BY abs(round(lag_corr, 6)) DESC, leader) <= 5),
+    bi AS (SELECT asset, t, ln(close) AS x, row_number() OVER (PARTITION BY asset ORDER BY t) AS i FROM bt),
+    lu AS (SELECT l0.*, (SELECT max(i) FROM bi WHERE bi.asset = l0.leader AND bi.t <= l0.refresh) AS i FROM l0),
+    ls AS (SELECT refresh, lu.asset, leader, lag, lag_corr, p.x - q.x AS recent FROM lu JOIN bi p ON p.asset = leader AND p.i = lu.i JOIN bi q ON q.asset = leader AND q.i = greatest(1, lu.i - lag))"""
+
+
+def refreshes(spark, sf_dir, unit="day"):
+    return leading.pair_refreshes(t.bars(spark, sf_dir, unit), HISTORY, EVERY, BACK)
+
+
+@query("k26_pair_refreshes", f"WITH {t.DAILY_SQL}{REFRESH} SELECT refresh, a, b, n, round(corr0, 6) AS corr0, lag, round(lag_corr, 6) AS lag_corr FROM rf")
+def pair_refreshes(spark, sf_dir):
+    return rounded(refreshes(spark, sf_dir))
+
+
+@query("k26_lead_signals", f"WITH {t.DAILY_SQL}{SIGNAL} SELECT refresh, asset, leader, lag, lag_corr, round(recent, 6) AS recent FROM ls")
+def lead_signals(spark, sf_dir):
+    return rounded(leading.lead_signals(refreshes(spark, sf_dir), t.bars(spark, sf_dir)))
+
+
+def five(bars, hours: dict[int, int], number: int, least: float = 0.3):
+    """The forecasts of all five models in one pass; hours: those of each horizon in bars."""
+    made = ops.forecasts(bars, tuple(hours))
+    known = leading.lead_predictions(leading.lead_signals(leading.pair_refreshes(bars, HISTORY, EVERY, BACK), bars), tuple(hours), least)
+    rows = leading.with_leaders(made, known, leading.calendar(bars), HISTORY, EVERY)
+    return rows.withColumn("pass", F.lit(number)).withColumn("hours", F.element_at(F.create_map(*[F.lit(x) for pair in hours.items() for x in pair]), F.col("h")))
+
+
+L5 = f"""{SIGNAL}, hz AS (SELECT unnest([1, 5, 20]) AS h), lp AS (SELECT refresh, asset, h, sum(abs(lag_corr) * recent) / sum(abs(lag_corr)) AS leadlag FROM ls, hz WHERE abs(lag_corr) >= 0.15 AND lag >= h GROUP BY 1, 2, 3),
+    f5 AS (SELECT fc.*, coalesce(leadlag, 0) AS leadlag FROM fc JOIN cal ON cal.ts = fc.ts LEFT JOIN lp ON lp.asset = fc.asset AND lp.h = fc.h AND lp.refresh = CASE WHEN cal.t >= {HISTORY} THEN cal.t - (cal.t - {HISTORY}) % {EVERY} END)"""
+NAMES = ("naive", "drift", "momentum", "meanrev", "leadlag")
+
+
+def five_grown() -> str:
+    """SQL of five models' weights after i arrived forecasts."""
+    each = range(1, 6)
+    shrunk = ", ".join(f"w{k} * exp(-0.5 * ({fc.LOSS.format(p=m)})) AS x{k}" for k, m in zip(each, NAMES, strict=True))
+    total = lambda c: " + ".join(f"{c}{k}" for k in each)
+    return f"""o5 AS MATERIALIZED (SELECT asset, h, row_number() OVER (PARTITION BY asset, h ORDER BY target_ts) AS i, ln(actual_close / close) AS a, {", ".join(NAMES)} FROM f5 WHERE actual_close IS NOT NULL AND rn > {HISTORY}),
+    g5 AS (SELECT asset, h, 0::BIGINT AS i, {", ".join(f"0.2::DOUBLE AS w{k}" for k in each)} FROM (SELECT DISTINCT asset, h FROM o5) UNION ALL
+      SELECT asset, h, i, {", ".join(f"l{k} / ({total('l')})" for k in each)} FROM (SELECT asset, h, i, {", ".join(f"greatest(0.01, x{k} / ({total('x')})) AS l{k}" for k in each)} FROM (SELECT o5.asset, o5.h, o5.i, {shrunk} FROM g5 JOIN o5 ON o5.asset = g5.asset AND o5.h = g5.h AND o5.i = g5.i + 1)))"""
+
+
+LEADER_WALK = f"""WITH RECURSIVE {fc.WK}{fc.FC}{L5}, {five_grown()}, cm AS (SELECT f5.asset, f5.h, f5.ts, f5.rn, target_ts, close, actual_close, leadlag, {" + ".join(f"w{k} * {CLIP.format(p=m)}" for k, m in enumerate(NAMES, 1))} AS combined
+    FROM f5 JOIN g5 ON g5.asset = f5.asset AND g5.h = f5.h AND g5.i = greatest(0, f5.rn - f5.h - {HISTORY}) WHERE actual_close IS NOT NULL AND f5.rn > {HISTORY}){fc.SC}"""
+
+
+@query("k26_leader_walk", f"{LEADER_WALK} SELECT asset, h, ts, target_ts, round(combined, 6) AS combined, round(abs_pct_error, 5) AS abs_pct_error, hit FROM sc")
+def leader_walk(spark, sf_dir):
+    """One pass of all five models over weekly bars. Leaders count from a correlation of 0.15, as the test prices carry no structure."""
+    made = five(t.bars(spark, sf_dir, "week"), {1: 1, 5: 5, 20: 20}, 1, 0.15)
+    return rounded(ops.scored(leading.walk_passes(made)).select("asset", "h", "ts", "target_ts", "combined", "abs_pct_error", "hit"), abs_pct_error=5)
+
+
+def three_passes(spark, sf_dir):
+    """Days, hours, days again; horizons in hours. What a pass learns for an asset and horizon the next one goes on with."""
+    days, day = t.bars(spark, sf_dir), {1: 24, 5: 120, 20: 480}
+    once = five(days, day, 1)
+    hours = five(t.hourly_bars(spark, sf_dir), {1: 1, 4: 4, 24: 24}, 2)
+    return leading.walk_passes(once.unionByName(hours).unionByName(once.withColumn("pass", F.lit(3))))
+
+
+@query("k26_three_passes")
+def pass_results(spark, sf_dir):
+    return rounded(leading.pass_summary(ops.scored(three_passes(spark, sf_dir))))
+
+
+@query("k26_learned_weights")
+def learned_weights(spark, sf_dir):
+    return rounded(leading.learned(three_passes(spark, sf_dir)))
+
+
 VERDICT = f"""{t.DAILY_SQL}, vd AS (SELECT o_orderkey AS verdict_id, 'Brand#' || (o_custkey % 5 + 1) || ((o_orderkey // 5) % 5 + 1) AS asset, CAST(o_orderdate AS TIMESTAMP) AS asked, CAST(o_orderkey % 5 - 2 AS INT) AS direction, ((o_custkey // 5) % 11) / 10 AS confidence FROM orders),
     bn AS (SELECT asset, ts, close, lead(close, 5) OVER (PARTITION BY asset ORDER BY ts) AS later FROM bars WHERE close > 0),
     vs AS (SELECT verdict_id, vd.asset, asked, direction, confidence, ln(later / close) AS realised, CASE WHEN direction <> 0 THEN sign(ln(later / close)) = sign(direction) END AS hit FROM vd ASOF JOIN bn ON bn.asset = vd.asset AND bn.ts <= vd.asked WHERE later IS NOT NULL)"""

@@ -5,12 +5,12 @@ Each takes a streaming DataFrame (or a static one, where Spark runs the same pla
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -58,19 +58,74 @@ def outcomes(forecasts: DataFrame, ticks: DataFrame, span: str = "INTERVAL 1 HOU
     return f.join(ticks.withWatermark("ts", "6 hours"), F.expr(f"_a = asset AND ts > made_at AND ts <= made_at + {span}")).select("asset", "made_at", "predicted", "ts", "value")
 
 
-def write_upserts(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Writes each batch over what the table holds at the same keys: the rows of a batch win, and a batch that runs twice
-    leaves the same table. Each batch makes a new version of the table; a pointer is its highest number."""
+def write_upserts(stream: DataFrame, path: str, keys: list[str], part: str, newest: list[Column], checkpoint: str, **options: str):
+    """Writes each batch over what the table holds at the same keys: the rows of a batch win, of a batch's own rows the first in the order ``newest``.
 
-    def put(batch: DataFrame, number: int) -> None:
-        from tidewater.operators.bars import upsert
+    The table is partitioned by ``part``, which a key never changes, and only partitions that a batch touches are read and written. A batch is merged into a folder of
+    its own first, named by its number: if it runs again, be it that it had stopped half way through the partitions, the same rows are put in their place."""
 
+    def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        rows = fresh if number == 0 else upsert(spark.read.parquet(f"{path}/v={number - 1}"), fresh, keys)
-        rows.write.mode("overwrite").parquet(f"{path}/v={number}")
+        stage = f"{path}-stage/batch={number}"
+        if not _exists(spark, f"{stage}/_SUCCESS"):
+            first = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))
+            fresh = batch.withColumn("_n", first).where("_n = 1").drop("_n")
+            if _exists(spark, path):
+                touched = [r[0] for r in fresh.select(part).distinct().collect()]  # the partitions of one batch
+                old = spark.read.schema(batch.schema).parquet(path).where(F.col(part).isin(touched))
+                fresh = old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+            fresh.write.mode("overwrite").parquet(stage)
+        rows = spark.read.schema(batch.schema).parquet(stage)
+        rows.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+        if number:
+            _delete(spark, f"{path}-stage/batch={number - 1}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True).outputMode("update").start()
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, at = _file(spark, path)
+    return system.exists(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, at = _file(spark, path)
+    system.delete(at, True)
+
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("update").start()
+def in_order(rows: DataFrame, keys: list[str], values: list[str], out: list[str], start: list[float], step, late: str) -> DataFrame:
+    """keys, ts and the columns ``out``, all doubles, of a walk over each key's rows (keys, ts, values) in event-time order, whatever order they arrive in.
+
+    step(own, values) gives the next state and the row to emit, or None. The state holds own and the rows that the watermark, ``late`` behind the newest, hasn't
+    reached: a timer at the first of these walks on when it does. Rows later than the watermark are dropped, so what waits is bounded by it."""
+    kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own, waiting = ([*state.get[0]], [[*r] for r in state.get[1]]) if state.exists else ([*start], [])
+        for batch in batches:
+            waiting += batch[["_at", *values]].astype(float).to_numpy().tolist()
+        now = state.getCurrentWatermarkMs()
+        waiting.sort()
+        ready = sum(r[0] // 1000 <= now for r in waiting)
+        found = []
+        for at, *row in waiting[:ready]:
+            own, made = step(own, row)
+            if made is not None:
+                found.append((*key, int(at), [float(x) for x in made]))
+        waiting = waiting[ready:]
+        state.update(([float(x) for x in own], waiting))
+        if waiting:
+            state.setTimeoutTimestamp(max(now + 1, int(waiting[0][0] // 1000)))
+        yield pd.DataFrame(found, columns=[*keys, "_at", "_out"])
+
+    marked = rows.withWatermark("ts", late).select(*keys, "ts", F.unix_micros("ts").alias("_at"), *values)
+    walked = marked.groupBy(*keys).applyInPandasWithState(run, f"{kinds}, _at long, _out array<double>", "own array<double>, waiting array<array<double>>", "append", GroupStateTimeout.EventTimeTimeout)
+    return walked.select(*keys, F.timestamp_micros("_at").alias("ts"), *[F.col("_out")[k].alias(c) for k, c in enumerate(out)])
 
 
 def quality_filter(ticks: DataFrame, most: float = 5.0) -> DataFrame:
@@ -91,49 +146,39 @@ def quality_filter(ticks: DataFrame, most: float = 5.0) -> DataFrame:
     return ticks.groupBy("asset").applyInPandasWithState(run, "event_id long, ts timestamp, asset string, value double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def crossing_detector(pairs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Changes of sign between large spreads of each pair (pair, ts, spread); the state is the last large spread."""
+def crossing_detector(closes: DataFrame, least: float = 0.5, late: str = "6 hours") -> DataFrame:
+    """a, b, ts, direction, spread_before, spread_after: changes of sign between large spreads of each pair (a, b, ts, ca, cb), both curves
+    from 100 at the pair's first point; the state is that point and the last spread that counts."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0.0
-        rows, out = pd.concat(batches).sort_values("ts"), []
-        for ts, spread in zip(rows["ts"], rows["spread"], strict=True):
-            if spread == 0 or (abs(spread) < least and last * spread >= 0):
-                continue
-            if last * spread < 0:
-                if abs(spread) >= least and abs(last) >= least:
-                    out.append((key[0], ts, int(spread > 0), last, spread))
-                last = spread
-            elif abs(spread) >= least:
-                last = spread
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["pair", "ts", "direction", "spread_before", "spread_after"])
-
-    return pairs.groupBy("pair").applyInPandasWithState(run, "pair string, ts timestamp, direction int, spread_before double, spread_after double", "last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def hedge_weights(outcomes_: DataFrame, models: list[str], eta: float = 0.5, floor: float = 0.01) -> DataFrame:
-    """Weights of the models of each asset after each outcome (asset, ts, actual, one column for each model); the state is the weights."""
-    schema = T.StructType([T.StructField("asset", T.StringType()), T.StructField("ts", T.TimestampType()), *[T.StructField(m, T.DoubleType()) for m in models]])
+    def step(own: list[float], row: list[float]):
+        first_a, first_b, last = own if own else [*row, 0.0]
+        spread, made = 100 * row[0] / first_a - 100 * row[1] / first_b, None
+        if last * spread < 0:
+            if abs(spread) >= least and abs(last) >= least:
+                made = (float(spread > 0), last, spread)
+            last = spread
+        elif abs(spread) >= least:
+            last = spread
+        return [first_a, first_b, last], made
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        w = np.array(state.get[0]) if state.exists else np.full(len(models), 1 / len(models))
-        rows, out = pd.concat(batches).sort_values("ts"), []
-        for ts, actual, *p in rows[["ts", "actual", *models]].itertuples(index=False):
-            p = np.array(p)
-            loss = np.minimum(4.0, np.abs(p - actual) / max(0.002, 2 * abs(actual)))
-            if abs(actual) > 1e-5:
-                loss += 1.2 * ((np.abs(p) < 1e-4) | (np.sign(p) != np.sign(actual)))
-            w = w * np.exp(-eta * loss)
-            w = np.maximum(floor, w / w.sum())
-            w /= w.sum()
-            out.append((key[0], ts, *w))
-        state.update((w.tolist(),))
-        yield pd.DataFrame(out, columns=["asset", "ts", *models])
-
-    return outcomes_.groupBy("asset").applyInPandasWithState(run, schema, "w array<double>", "append", GroupStateTimeout.NoTimeout)
+    found = in_order(closes, ["a", "b"], ["ca", "cb"], ["direction", "spread_before", "spread_after"], [], step, late)
+    return found.withColumn("direction", F.col("direction").cast("int"))
+
+
+def hedge_weights(outcomes_: DataFrame, models: list[str], keys: list[str], late: str = "6 hours", eta: float = 0.5, floor: float = 0.01, penalty: float = 1.2) -> DataFrame:
+    """keys, ts and a column a model: the models' weights after each outcome (keys, ts, actual, one column for each model); the state is the weights."""
+
+    def step(own: list[float], row: list[float]):
+        actual, shrunk = row[0], []
+        for w, p in zip(own, row[1:], strict=True):
+            loss = min(4.0, abs(p - actual) / max(0.002, 2 * abs(actual)))
+            wrong = abs(actual) > 1e-5 and (abs(p) < 1e-4 or (p > 0) != (actual > 0))
+            shrunk.append(w * math.exp(-eta * (loss + penalty * wrong)))
+        lifted = [max(floor, w / sum(shrunk)) for w in shrunk]
+        weights = [w / sum(lifted) for w in lifted]
+        return weights, weights
+
+    return in_order(outcomes_, keys, ["actual", *models], models, [1.0 / len(models)] * len(models), step, late)
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
