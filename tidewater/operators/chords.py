@@ -145,7 +145,7 @@ def base_forecast(bars: DataFrame, horizons: tuple[int, ...], window: int = 1024
     trained = tail.join(chord.where(F.col("_cut") == held).drop("_cut"), "asset", "left").withColumn("_t", F.explode("_tail"))
     model = F.col("_base") + continuation(F.col("periods"), F.col("strengths"), F.col("phases"), F.col("_t.step"))
     errors = trained.groupBy("asset").agg(F.sum(F.abs(model - F.col("_t.x"))).alias("_m"), F.sum(F.abs(F.col("_base") - F.col("_t.x"))).alias("_s"))
-    skill = errors.select("asset", F.coalesce(F.when(F.col("_s") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("_m") / F.col("_s")))), F.lit(0.0)).alias("skill"))
+    skill = errors.select("asset", F.coalesce(F.when((F.col("_s") > 0) & F.col("_m").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("_m") / F.col("_s")))), F.lit(0.0)).alias("skill"))
     now = skill.join(spread, "asset").join(chord.where("_cut = 0").drop("_cut"), "asset", "left").withColumn("h", F.explode(F.array(*map(F.lit, horizons))))
     value = continuation(F.col("periods"), F.col("strengths"), F.col("phases"), F.col("h"))
     kept = F.when((F.col("h") <= held) & (F.abs(value) <= 3 * F.col("_sd") * F.sqrt("h")), value)

@@ -40,7 +40,7 @@ def knowledge(active: DataFrame, effects: DataFrame, classes: DataFrame, horizon
     effect = between_spans(*[F.col(f"excess{n}") * F.col("direction") for n in SPANS], days)
     fading = 0.5 + (F.col("hit20") - 0.5) * F.greatest(F.lit(0.0), 1 - (days - 20) / 60)
     hit = F.when(days > 20, fading).otherwise(between_spans(*[F.col(f"hit{n}") for n in SPANS], days))
-    merit = clamp((F.abs(hit - 0.5) - 0.02) / 0.08, 0.0, 1.0)
+    merit = F.when(hit.isNotNull(), clamp((F.abs(hit - 0.5) - 0.02) / 0.08, 0.0, 1.0))
     rows = met.select("asset", "h", effect.alias("_u"), F.when(effect > 0, F.coalesce(merit, F.lit(0.0))).otherwise(0.0).alias("_m"))
     sums = rows.groupBy("asset", "h").agg(F.sum(F.col("_u") * F.col("_m")).alias("_s"), F.sum("_m").alias("_w"), F.count(F.lit(1)).alias("patterns")).where(F.col("_w") > 1e-9)
     return sums.select("asset", "h", (F.col("_s") / F.col("_w")).alias("value"), clamp(F.col("_w") / F.col("patterns"), 0.0, 1.0).alias("merit"), "patterns")
