@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.series import clamp, last_rows, log_return, own, severity
 
+from .nearest import top_products
+
 
 def market_events(bars: DataFrame, w: int = 60, least: float = 40.0) -> DataFrame:
     """Bars whose move, volume or range stands out from the w bars before: magnitude, severity, kind, direction, suspect."""
@@ -70,13 +72,11 @@ def shape_windows(bars: DataFrame, n: int, ahead: int, step: int) -> DataFrame:
 
 
 def similar_shapes(queries: DataFrame, pool: DataFrame, top: int, gap: int) -> DataFrame:
-    """The pool's windows that correlate most with each query window; overlapping ones of the same asset don't count."""
-    q = queries.select(F.col("asset").alias("q_asset"), F.col("i").alias("q_i"), F.col("shape").alias("_q"))
-    met = pool.join(q, (F.col("asset") != F.col("q_asset")) | (F.abs(F.col("i") - F.col("q_i")) >= gap))
-    r = F.aggregate(F.zip_with("shape", "_q", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) / F.size("shape")
-    rows = met.select("q_asset", "q_i", "asset", "i", "forward", r.alias("r"))
-    order = Window.partitionBy("q_asset", "q_i").orderBy(F.desc(F.round("r", 9)), "asset", "i")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """q_asset, q_i, asset, i, forward, r, rank: the pool's windows that correlate most with each query window; overlapping ones of the same asset don't count."""
+    scaled = F.transform("shape", lambda v: v / F.sqrt(F.size("shape")))
+    asked = queries.select(F.col("asset").alias("q_asset"), F.col("i").alias("q_i"), scaled.alias("vector"))
+    apart = lambda rows, q: ((rows["asset"] != q.q_asset) | ((rows["i"] - q.q_i).abs() >= gap)).to_numpy()
+    return top_products(asked, pool.select("asset", "i", "forward", scaled.alias("vector")), top, ["asset", "i"], apart)
 
 
 def consensus(matches: DataFrame, least: float = 0.7) -> DataFrame:

@@ -138,20 +138,21 @@ def forward_sum(rows: DataFrame, value: str, h: int) -> DataFrame:
 
 def with_tile(rows: DataFrame, value: str, name: str, by: tuple[str, ...] = (), tiles: int = 5, parts: int = 64) -> DataFrame:
     """rows with the ntile by (value, asset, ts), in each group of by: what ntile over one window gives, without one task
-    that sorts all rows. Rows are numbered inside parts between approximate quantiles; the parts' counts, a few rows a group, add up
-    to where each begins."""
+    that sorts all rows. Rows are numbered inside parts between approximate quantiles; the parts' counts add up to where each begins. A value that
+    fills more than a part falls into parts of its own, one an asset, so that no part holds more than a few quantiles or one asset's history."""
     cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("_cuts"))
     dealt = rows.join(F.broadcast(cuts), list(by)) if by else rows.crossJoin(F.broadcast(cuts))
-    dealt = dealt.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    before, whole = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
-    sizes = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_k"))
-    sizes = sizes.select(*by, "_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(whole).alias("_n"))
-    rank = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(value, "asset", "ts")) + F.col("_before")
-    placed = dealt.join(F.broadcast(sizes), [*by, "_part"]).withColumn("_rank", rank)
+    part, full = F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.size(F.filter("_cuts", lambda c: c == F.col(value))) > 1
+    dealt = dealt.withColumn("_part", part).withColumn("_of", F.when(full, F.col("asset")).otherwise(F.lit(""))).drop("_cuts")  # the others of the part come first
+    before, whole = Window.partitionBy(*by).orderBy("_part", "_of").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    sizes = dealt.groupBy(*by, "_part", "_of").agg(F.count(F.lit(1)).alias("_k"))
+    sizes = sizes.select(*by, "_part", "_of", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(whole).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_part", "_of").orderBy(value, "asset", "ts")) + F.col("_before")
+    placed = dealt.join(sizes, [*by, "_part", "_of"]).withColumn("_rank", rank)
     base, more = F.floor(F.col("_n") / tiles), F.col("_n") % tiles  # the first tiles have one row more
     wide = more * (base + 1)
     tile = F.when(F.col("_rank") <= wide, F.ceil(F.col("_rank") / (base + 1))).otherwise(more + F.ceil((F.col("_rank") - wide) / F.when(base > 0, base)))
-    return placed.withColumn(name, tile.cast("int")).drop("_part", "_before", "_n", "_rank")
+    return placed.withColumn(name, tile.cast("int")).drop("_part", "_of", "_before", "_n", "_rank")
 
 
 def quintile_study(rows: DataFrame, feature: str) -> DataFrame:

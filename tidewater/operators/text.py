@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.series import clamp, correlation, slope
 
+from .nearest import top_products
+
 # The words of the sentiment lexicon with their weights, the negations, and marker words of languages.
 POSITIVE = {
     "rekord": 1.0, "rekordhoch": 1.0, "allzeithoch": 1.0, "durchbruch": 0.9, "rallye": 0.9, "hausse": 0.9, "gewinnsprung": 0.9, "übernahmeangebot": 0.8, "uebernahmeangebot": 0.8,
@@ -152,9 +154,13 @@ def detect_language(docs: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def top_similar(queries: DataFrame, rows: DataFrame, top: int) -> DataFrame:
-    """query_id, rank, vec_id, cosine of the most similar rows; queries and rows: vec_id, embedding, a bounded set of queries."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, v: a + v)
-    met = rows.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")), F.col("vec_id") != F.col("query_id"))
-    scored = met.select("query_id", "vec_id", (dot(F.col("embedding"), F.col("_q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("_q"), F.col("_q")))).alias("cosine"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """query_id, rank, vec_id, cosine of the most similar rows; queries and rows: vec_id, embedding. Vectors without a direction take no part."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+
+    def unit(df: DataFrame, name: str) -> DataFrame:
+        sized = df.select(F.col("vec_id").alias(name), "embedding", norm.alias("_n")).where(F.col("_n") > 0)
+        return sized.select(name, F.transform("embedding", lambda v: v.cast("double") / F.col("_n")).alias("vector"))
+
+    apart = lambda rows, q: (rows["vec_id"] != q.query_id).to_numpy()
+    found = top_products(unit(queries, "query_id"), unit(rows, "vec_id"), top, ["vec_id"], apart)
+    return found.select("query_id", "vec_id", "rank", F.col("r").alias("cosine"))

@@ -17,7 +17,7 @@ EARLY, LATE = "l_linenumber <= 4", "l_linenumber > 4"
 
 def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The bars of the first four lines of orders, and a later batch of the others."""
-    own = t.ticks(spark, sf_dir).select("asset", F.date_trunc("day", "at").alias("ts"), *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], "volume", "ord")
+    own = t.ticks(spark, sf_dir).select("asset", F.date_trunc("day", "at").alias("ts"), *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], "volume", t.tick_order().alias("ord"))
     return ops.merge_bars(own.where("ord.l_linenumber <= 4")), ops.merge_bars(own.where("ord.l_linenumber > 4"))
 
 

@@ -19,8 +19,8 @@ FLOW = """, fl AS (SELECT asset, ts, cls, open, high, low, close, volume, CASE W
 W = f"WITH {D}, {A}{FLOW}"
 
 
-def flow(spark, sf_dir):
-    return ops.with_flow(t.bars(spark, sf_dir), t.assets(spark, sf_dir))
+def flow(spark, sf_dir, bars=None):
+    return ops.with_flow(t.bars(spark, sf_dir) if bars is None else bars, t.assets(spark, sf_dir))
 
 
 @query("f1_money_flow", f"{W} SELECT asset, ts, gross FROM fn")

@@ -8,6 +8,7 @@ from tidewater.functions.series import own
 from tidewater.operators import learning as ops
 from tidewater.operators import pairs as pair_ops
 from tidewater.sources import tables as t
+from tidewater.sources.staging import written
 
 from . import pairs as p
 from .flow import flow
@@ -18,7 +19,8 @@ REL = f"""{p.W_STATS}{p.LEAD}, nb AS (SELECT asset, other, r, place FROM (SELECT
 
 
 def related(spark, sf_dir):
-    stats = p.stats(spark, sf_dir)
+    """From the weekly pair table, which is written once, as are the bars that it is made of."""
+    stats = written(p.stats(spark, sf_dir, written(t.bars(spark, sf_dir, "week"), "weeks")), "pairs")
     return ops.relations(pair_ops.mirrored(stats).select("asset", "other", "r"), pair_ops.leaders(stats, 8))
 
 
@@ -53,14 +55,16 @@ NAMES = [
 ROUNDED = ", ".join(f"round(coalesce({c}, 0), {4 if c == 'flow_share_bp' else 6}) AS {c}" for c in NAMES)
 
 
-def features(spark, sf_dir):
+def features(spark, sf_dir, days):
+    """Daily bars with their flow are written once, as many windows and groups read them."""
     n = t.assets(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    return ops.feature_rows(flow(spark, sf_dir), related(spark, sf_dir), n).select("asset", "ts", "cls", *NAMES)
+    rows = written(flow(spark, sf_dir, days), "flow")
+    return ops.feature_rows(rows, related(spark, sf_dir), n).select("asset", "ts", "cls", *NAMES)
 
 
 @query("j2_feature_rows", f"{FEAT} SELECT asset, ts, cls, {ROUNDED} FROM ft")
 def feature_rows(spark, sf_dir):
-    return rounded(features(spark, sf_dir), flow_share_bp=4)
+    return rounded(features(spark, sf_dir, t.bars(spark, sf_dir)), flow_share_bp=4)
 
 
 AHEAD = (1, 5, 20)
@@ -69,8 +73,9 @@ AHEAD = (1, 5, 20)
 @query("a10_feature_matrix", f"""{FEAT}, ya AS (SELECT asset, ts, {', '.join(f'ln(lead(close, {h}) OVER w / close) AS y_h{h}' for h in AHEAD)} FROM dbars WINDOW w AS (PARTITION BY asset ORDER BY ts))
     SELECT asset, ts, cls, {ROUNDED}, {', '.join(f'round(y_h{h}, 6) AS y_h{h}' for h in AHEAD)} FROM ft JOIN ya USING (asset, ts) WHERE coalesce(y_h1, y_h5, y_h20) IS NOT NULL""")
 def feature_matrix(spark, sf_dir):
-    targets = t.bars(spark, sf_dir).select("asset", "ts", *[F.ln(F.lead("close", h).over(own()) / F.col("close")).alias(f"y_h{h}") for h in AHEAD])
-    return rounded(ops.feature_matrix(features(spark, sf_dir), targets), flow_share_bp=4)
+    days = written(t.bars(spark, sf_dir), "days")
+    targets = days.select("asset", "ts", *[F.ln(F.lead("close", h).over(own()) / F.col("close")).alias(f"y_h{h}") for h in AHEAD])
+    return rounded(ops.feature_matrix(features(spark, sf_dir, days), targets), flow_share_bp=4)
 
 
 @query("j6_cross_section", f"""WITH {t.WEEKLY_SQL}, x AS (SELECT asset, ts, ln(close / lag(close) OVER (PARTITION BY asset ORDER BY ts)) AS r FROM bars), n AS (SELECT count(DISTINCT asset) AS n FROM bars),

@@ -25,8 +25,8 @@ def closes(spark, sf_dir, unit="week"):
     return align.pair_join(t.bars(spark, sf_dir, unit))
 
 
-def stats(spark, sf_dir):
-    return ops.pair_statistics(closes(spark, sf_dir), threshold=0.05)
+def stats(spark, sf_dir, bars=None):
+    return ops.pair_statistics(closes(spark, sf_dir) if bars is None else align.pair_join(bars), threshold=0.05)
 
 
 @query("e1_pair_stats", f"WITH {D}{CLOSES}{STATS.format(thr=0.15)} SELECT a, b, n, round(corr0, 6) AS corr0, lag, round(lag_corr, 6) AS lag_corr FROM ps")

@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidewater.operators import align
 from tidewater.operators.forecast import MODELS
 from tidewater.sources import tables as t
+from tidewater.sources.staging import new_folder
 from tidewater.streaming import jobs
 
 from . import forecast as fc
 from .registry import query, rounded
 
 
-def folder(spark) -> str:
-    """A new folder in the cluster's shared one; a temporary one only if driver and executors are one process, as in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-    shared = shared or tempfile.mkdtemp(prefix="tidewater-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(spark, stream):
-    at = folder(spark)
+    at = new_folder(spark, "stream")
     return jobs.drained(stream, f"{at}/out", f"{at}/checkpoint")
 
 
@@ -81,7 +70,7 @@ def stream_outcomes(spark, sf_dir):
 @query("r5_stream_upsert", "SELECT event_type AS asset, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
 def stream_upsert(spark, sf_dir):
     """The newest tick of each asset and hour, kept in a table that each batch of the stream is written over."""
-    at = folder(spark)
+    at = new_folder(spark, "stream")
     ticks = jobs.tick_stream(spark, sf_dir).select("asset", F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", "value", F.date_format("ts", "yyyy-MM").alias("month"))
     jobs.write_upserts(ticks, f"{at}/table", ["asset", "hour"], "month", [F.desc("ts"), F.desc("event_id")], f"{at}/checkpoint").awaitTermination()
     return spark.read.schema(ticks.schema).parquet(f"{at}/table").select("asset", "hour", "ts", "value")
@@ -93,7 +82,7 @@ PARTS = (0, 1, 3, 2, 4)
 
 def arriving(spark, rows):
     """rows (ts, ...) as a stream of five parts of its time, two of them out of order, and the delay that waits for these, in hours."""
-    at = folder(spark)
+    at = new_folder(spark, "stream")
     ends = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.unix_seconds("a"), F.unix_seconds("b")).first()
     first, span = ends[0] or 0, max(1, ((ends[1] or 0) - (ends[0] or 0)) // len(PARTS) + 1)
     parted = rows.withColumn("part", ((F.unix_seconds("ts") - first) / span).cast("int"))

@@ -29,9 +29,24 @@ def ticks(spark: SparkSession, sf_dir: str, asset: str = "p_brand") -> DataFrame
     )
 
 
+def packed(*parts: tuple[Column, int]) -> Column:
+    """Whole numbers that aren't negative, in a fixed number of digits each, as one number with the same order. An aggregate that compares it keeps it in
+    place in its hash table, where a struct would make Spark sort."""
+    place, total = 1, F.lit(0).cast("decimal(38,0)")
+    for column, digits in reversed(parts):
+        total = total + (column.cast("decimal(19,0)") * F.expr(f"CAST({place} AS DECIMAL(38,0))")).cast("decimal(38,0)")
+        place *= 10**digits
+    return total.cast("decimal(38,0)")
+
+
+def tick_order() -> Column:
+    """The total order of ticks as one number."""
+    return packed(*[(F.col(f"ord.{c}"), digits) for c, digits in (("l_orderkey", 14), ("l_linenumber", 2), ("l_partkey", 11), ("l_suppkey", 10))])
+
+
 def bars(spark: SparkSession, sf_dir: str, unit: str = "day", asset: str = "p_brand") -> DataFrame:
     """asset, ts, open, high, low, close, volume."""
-    own = ticks(spark, sf_dir, asset).select("asset", F.date_trunc(unit, "at").alias("ts"), *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], "volume", "ord")
+    own = ticks(spark, sf_dir, asset).select("asset", F.date_trunc(unit, "at").alias("ts"), *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], "volume", tick_order().alias("ord"))
     return merge_bars(own)
 
 
@@ -39,7 +54,7 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the events: asset is the event type, the price its value, the volume a count."""
     own = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("asset"), F.date_trunc("hour", "ts").alias("ts"), *[F.col("value").alias(c) for c in ("open", "high", "low", "close")],
-        F.lit(1.0).alias("volume"), F.struct("ts", "event_id").alias("ord"),
+        F.lit(1.0).alias("volume"), packed((F.unix_micros("ts"), 17), (F.col("event_id"), 19)).alias("ord"),
     )
     return merge_bars(own)
 
