@@ -23,6 +23,7 @@ def top_products(queries: DataFrame, pool: DataFrame, top: int, ties: list[str],
     kinds = dict(queries.dtypes) | dict(pool.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*asked, *held]), "r double"])
     own = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    pool = pool.select(*[F.col(c).alias(c) for c in pool.columns])  # queries may come from the pool itself
     left = queries.withColumn("_block", own(asked, blocks)).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = pool.withColumn("_shard", own(held, shards)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 

@@ -54,7 +54,7 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the events: asset is the event type, the price its value, the volume a count."""
     own = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("asset"), F.date_trunc("hour", "ts").alias("ts"), *[F.col("value").alias(c) for c in ("open", "high", "low", "close")],
-        F.lit(1.0).alias("volume"), packed((F.unix_micros("ts"), 17), (F.col("event_id"), 19)).alias("ord"),
+        F.lit(1.0).alias("volume"), packed((F.unix_micros(F.col("ts").cast("timestamp")), 17), (F.col("event_id"), 19)).alias("ord"),
     )
     return merge_bars(own)
 
