@@ -24,7 +24,7 @@ from .common import staged
 #: Documents of a language that a term must be in, ranks of the terms.
 LEAST_DOCS, TOP_TERMS = 10, 10
 #: Terms of a block, cells of its count matrix, columns of a product at most.
-BLOCK_TERMS, CELLS, COLUMNS = 8192, 1 << 22, 512
+BLOCK_TERMS, CELLS, COLUMNS = 1024, 1 << 22, 512
 #: Entries (group, term) that a task holds before it hands them on.
 HELD = 300_000
 ONE, DOC = 1_000_000_000, 1 << 40
@@ -35,11 +35,11 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 3
 def count_terms(docs: DataFrame) -> DataFrame:
     """lang, source, term (binary), n, docs: occurrences and rows with the term, counted over all whole texts."""
 
-    def table(held):
-        keys = [(g, t, v) for g, own in held.items() for t, v in own.items()]
-        columns = [[g[0] for g, _, _ in keys], [g[1] for g, _, _ in keys], [t for _, t, _ in keys], [v % DOC for _, _, v in keys], [v // DOC for _, _, v in keys]]
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n", "docs"])
+    def tables(held):
+        for (lang, source), own in held.items():
+            both = np.fromiter(own.values(), np.int64, len(own))
+            columns = [pa.array([lang] * len(own), pa.string()), pa.array([source] * len(own), pa.string()), pa.array(list(own), pa.binary()), pa.array(both % DOC), pa.array(both // DOC)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     def run(batches):
         held, size = {}, 0
@@ -53,9 +53,9 @@ def count_terms(docs: DataFrame) -> DataFrame:
                         own[term] = own.get(term, 0) + n + DOC  # both counts in one number
                     size += len(own)
                     if size > HELD:
-                        yield table(held)
+                        yield from tables(held)
                         held, size = {}, 0
-        yield table(held)
+        yield from tables(held)
 
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     counted = rows.mapInArrow(run, "lang string, source string, term binary, n long, docs long")
