@@ -184,15 +184,14 @@ def bucket_counts(docs: DataFrame, words: list[bytes], buckets: int = BUCKETS, l
 def bucket_gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """The gain of each bucket in thousandths: log of its smoothed share in the target over that in the raw texts.
 
-    raw, target: bucket, n. The driver holds one number a bucket.
+    raw, target: bucket, n. The driver reads two numbers a bucket.
     """
-    spark = raw.sparkSession
     both = raw.select("bucket", F.col("n").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(target.select("bucket", F.lit(0).cast("long").alias("s"), F.col("n").alias("t")))
-    each = spark.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(both)
-    each = each.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    sums = each.agg(F.sum("s").alias("S"), F.sum("t").alias("T")).first()
-    ratio = (F.col("t") + 1).cast("double") * F.lit(float(sums["S"] + buckets)) / ((F.col("s") + 1).cast("double") * F.lit(float(sums["T"] + buckets)))
-    return np.array([r["gain"] for r in each.select("bucket", F.floor(1000 * F.ln(ratio)).alias("gain")).orderBy("bucket").collect()], np.int64)
+    s, t = [0] * buckets, [0] * buckets
+    for row in both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).collect():
+        s[row["bucket"]], t[row["bucket"]] = row["s"], row["t"]
+    whole_s, whole_t = float(sum(s) + buckets), float(sum(t) + buckets)
+    return np.array([math.floor(1000 * math.log(float(y + 1) * whole_s / (float(x + 1) * whole_t))) for x, y in zip(s, t, strict=True)], np.int64)
 
 
 def weigh(docs: DataFrame, words: list[bytes], gains: np.ndarray, longest: int = LONGEST) -> DataFrame:
