@@ -111,3 +111,32 @@ def link_events(events: DataFrame, days: DataFrame, width: int = 3, least_pairs:
         pairs = pairs.join(counts.select(F.col("asset").alias(side), F.col("kind").alias(f"kind_{side}"), F.col("n").alias(f"n_{side}")), [side, f"kind_{side}"])
     expected = F.col("n_a") * F.col("n_b") * (2 * width + 1) / F.col("days")
     return pairs.withColumn("expected", expected).withColumn("lift", F.col("pairs") / expected).where(F.col("lift") >= least_lift).select("a", "b", "kind_a", "kind_b", "pairs", "expected", "lift", "median_lag", "lead_share")
+
+
+def curve_run(bars: DataFrame, path: str, label: str, **limits: float) -> DataFrame:
+    """Writes a run into three tables under path, each partitioned by run: its events, the links between them, and its header. Gives the headers of all runs there.
+
+    Links are made from the events as written. A run that is written again replaces its own partitions and no others."""
+    spark = bars.sparkSession
+
+    def put(df: DataFrame, table: str) -> DataFrame:
+        df.withColumn("run", F.lit(label)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/{table}")
+        return spark.read.parquet(f"{path}/{table}").where(F.col("run") == label)
+
+    events = put(curve_features(bars), "events")
+    links = put(link_events(events, bars.select("asset", "ts"), **limits), "links")
+    head = bars.agg(F.count_distinct("asset").alias("assets"), F.count(F.lit(1)).alias("bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    for name, df in (("events", events), ("links", links)):
+        head = head.crossJoin(df.agg(F.count(F.lit(1)).alias(name)))  # one row each
+    put(head, "runs")
+    return spark.read.parquet(f"{path}/runs")
+
+
+def strongest_links(links: DataFrame, top: int) -> DataFrame:
+    """The links of a run with the highest lift."""
+    return links.orderBy(F.desc(F.round("lift", 9)), "a", "b", "kind_a", "kind_b").limit(top)
+
+
+def type_statistics(events: DataFrame) -> DataFrame:
+    """kind, n, assets, mean_severity, max_z of a run's events."""
+    return events.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("asset").alias("assets"), F.avg("severity").alias("mean_severity"), F.max("z").alias("max_z"))

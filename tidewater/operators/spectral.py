@@ -250,6 +250,15 @@ def frequency_patterns(series: DataFrame, transformed: DataFrame, segment: int,
     return sums.select("asset", "epoch", "period", "prominence", "stability", F.pmod(F.degrees(F.atan2(-F.col("_s"), F.col("_c"))), F.lit(360.0)).alias("phase"), (2 * F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / length).alias("amplitude"))
 
 
+def phase_projection(series: DataFrame, periods: tuple[int, ...]) -> DataFrame:
+    """asset, period, phase (degrees), amplitude: each series (asset, i, x) projected on cosine and sine of given periods, counted back from its end."""
+    last = F.max("i").over(Window.partitionBy("asset"))
+    rows = series.withColumn("_t", F.col("i") - last).withColumn("period", F.explode(F.array(*map(F.lit, periods))))
+    angle = 2 * np.pi / F.col("period") * F.col("_t")
+    sums = rows.groupBy("asset", "period").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("x") * F.cos(angle)).alias("_c"), F.sum(F.col("x") * F.sin(angle)).alias("_s"))
+    return sums.select("asset", "period", F.pmod(F.degrees(F.atan2(-F.col("_s"), F.col("_c"))), F.lit(360.0)).alias("phase"), (2 * F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / F.col("_n")).alias("amplitude"))
+
+
 def match_patterns(patterns: DataFrame, tolerance: float = 0.12, least: float = 0.3) -> DataFrame:
     """epoch, a, b, period_a, period_b, delta, phase_delta, lag, score of patterns of two assets in one epoch with periods within the
     tolerance; lag is in bars, from the one with the shorter period. Periods meet by buckets of their logarithm."""

@@ -9,6 +9,7 @@ from tidewater.functions.series import own
 from tidewater.operators import curve, events as ops, flow as flows, spectral
 from tidewater.operators.bars import log_returns
 from tidewater.sources import tables as t
+from tidewater.sources.staging import new_folder, written
 
 from .alignment import D, RET, WK
 from .flow import NEUTRAL
@@ -35,7 +36,20 @@ def severity_scale(spark, sf_dir):
     return log_returns(t.bars(spark, sf_dir)).select("asset", "ts", severity(F.abs("r") * 10).alias("severity"))
 
 
-@query("g3_derivative_events")
+def greedy(events: str, keys: str, gap: int, name: str) -> str:
+    """SQL of what is left of events (keys, i, ...) when each kept one shuts out the next ``gap`` positions: the chain from each key's first event."""
+    same = " AND ".join(f"n.{k} = e.{k}" for k in keys.split(", "))
+    return f"""{name}_n AS MATERIALIZED (SELECT e.*, n.i AS following FROM {events} e ASOF LEFT JOIN (SELECT {keys}, i FROM {events}) n ON {same} AND e.i + {gap} <= n.i),
+    {name} AS (SELECT * FROM {name}_n WHERE ({keys}, i) IN (SELECT ({keys}, min(i)) FROM {events} GROUP BY {keys}) UNION ALL SELECT n.* FROM {name} e JOIN {name}_n n ON {same} AND n.i = e.following)"""
+
+
+DERIVED = f"""WITH RECURSIVE {D}, lx AS MATERIALIZED (SELECT asset, ts, ln(close) AS x, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i FROM bars WHERE close > 0),
+    sm AS (SELECT asset, ts, i, x AS s FROM lx WHERE i = 1 UNION ALL SELECT lx.asset, lx.ts, lx.i, s + (2 / 11) * (lx.x - s) FROM sm JOIN lx ON lx.asset = sm.asset AND lx.i = sm.i + 1), sd AS (SELECT *, s - lag(s) OVER (PARTITION BY asset ORDER BY i) AS d FROM sm),
+    sz AS (SELECT *, CASE WHEN count(d) OVER w = 120 THEN median(abs(d)) OVER w END AS m FROM sd WINDOW w AS (PARTITION BY asset ORDER BY i ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)),
+    de AS (SELECT asset, i, ts, abs(d) / (m * 1.4826) AS z, CAST(sign(d) AS INT) AS sign FROM sz WHERE m > 1e-12 AND abs(d) / (m * 1.4826) >= 3), {greedy('de', 'asset', 10, 'dk')}"""
+
+
+@query("g3_derivative_events", f"{DERIVED} SELECT asset, i, ts, round(z, 6) AS z, sign FROM dk")
 def derivative_events(spark, sf_dir):
     return rounded(curve.derivative_events(t.bars(spark, sf_dir)))
 
@@ -52,20 +66,58 @@ def local_quadratic(spark, sf_dir):
     return rounded(curve.local_quadratic(t.bars(spark, sf_dir, "week"), 5).select("asset", "ts", "value", "slope", "curvature"))
 
 
-@query("g5_curve_features")
+PARTS = ("slope", "curvature", "residual")
+KINDS = {
+    "high": ("s0 * slope < 0 AND z_curvature IS NOT NULL AND curvature < 0", "z_curvature"), "low": ("s0 * slope < 0 AND z_curvature IS NOT NULL AND curvature > 0", "z_curvature"), "inflection": ("c0 * curvature < 0", "z_slope"),
+    "saddle": ("z_slope < 0.35 AND z_curvature < 0.35 AND zs >= 2.5", "zs"), "slope_break": ("z_slope >= 2.5", "z_slope"), "curvature_break": ("z_curvature >= 2.5", "z_curvature"), "jump": ("z_residual >= 3.5", "z_residual"),
+}
+FEATURES = f"""WITH RECURSIVE {D}, lx AS (SELECT asset, ts, ln(close) AS x, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i FROM bars WHERE close > 0),
+    lf AS (SELECT asset, ts, i, {_weighed(K1)} AS slope, {_weighed(K2)} AS curvature, x - coalesce({_weighed(K0)}, x) AS residual FROM lx WINDOW q AS (PARTITION BY asset ORDER BY ts)),
+    lm AS (SELECT *, {", ".join(f"list_sort(list_filter(list(abs({c})) OVER w, lambda v: v > 0)) AS m_{c}" for c in PARTS)} FROM lf WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)),
+    lz AS (SELECT *, {", ".join(f"CASE WHEN len(m_{c}) >= 125 AND m_{c}[len(m_{c}) // 2 + 1] > 1e-12 THEN abs({c}) / (m_{c}[len(m_{c}) // 2 + 1] * 1.4826) END AS z_{c}" for c in PARTS)} FROM lm),
+    lw AS (SELECT asset, ts, i, slope, curvature, {", ".join(f"z_{c}" for c in PARTS)}, lag(slope) OVER p AS s0, lag(curvature) OVER p AS c0, max(z_slope) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS zs FROM lz WINDOW p AS (PARTITION BY asset ORDER BY ts)),
+    le AS ({" UNION ALL ".join(f"SELECT asset, '{k}' AS kind, i, ts, {z} AS z FROM lw WHERE {test} AND {z} IS NOT NULL" for k, (test, z) in KINDS.items())}),
+    ls AS (SELECT *, {SEV.format(m='z')} AS severity FROM le), lv AS (SELECT * FROM ls WHERE severity >= 20), {greedy('lv', 'asset, kind', 5, 'cf')}"""
+LINKS = """, dy AS (SELECT ts, row_number() OVER (ORDER BY ts) AS d FROM (SELECT DISTINCT ts FROM bars)), cd AS (SELECT x.asset AS a, y.asset AS b, count(*) AS days FROM bars x JOIN bars y ON x.ts = y.ts AND x.asset < y.asset GROUP BY 1, 2 HAVING count(*) >= 200),
+    pl AS (SELECT asset, kind, d FROM cf JOIN dy USING (ts)), ct AS (SELECT asset, kind, count(*) AS n FROM pl GROUP BY 1, 2), nb AS (SELECT asset, kind, d, unnest(range(d - 3, d + 4)) AS at FROM pl),
+    lk AS (SELECT x.asset AS a, y.asset AS b, x.kind AS kind_a, y.kind AS kind_b, y.d - x.d AS lag FROM pl x JOIN nb y ON y.at = x.d AND x.asset < y.asset),
+    lg AS (SELECT a, b, kind_a, kind_b, count(*) AS pairs, list_sort(list(lag))[count(*) // 2 + 1] AS median_lag, avg(CASE WHEN lag > 0 THEN 1.0 ELSE 0 END) AS lead_share FROM lk GROUP BY 1, 2, 3, 4 HAVING count(*) >= 8),
+    ll AS (SELECT lg.a, lg.b, kind_a, kind_b, pairs, x.n * y.n * 7 / days AS expected, pairs / (x.n * y.n * 7 / days) AS lift, median_lag, lead_share FROM lg JOIN cd ON cd.a = lg.a AND cd.b = lg.b JOIN ct x ON x.asset = lg.a AND x.kind = kind_a JOIN ct y ON y.asset = lg.b AND y.kind = kind_b),
+    ln_ AS (SELECT * FROM ll WHERE lift >= 1.0)"""
+
+
+@query("g5_curve_features", f"{FEATURES} SELECT asset, kind, i, ts, round(z, 6) AS z, severity FROM cf")
 def curve_features(spark, sf_dir):
     return rounded(curve.curve_features(t.bars(spark, sf_dir)))
 
 
-@query("g6_event_links")
+@query("g6_event_links", f"{FEATURES}{LINKS} SELECT a, b, kind_a, kind_b, pairs, round(expected, 6) AS expected, round(lift, 6) AS lift, median_lag, round(lead_share, 6) AS lead_share FROM ln_")
 def event_links(spark, sf_dir):
     bars = t.bars(spark, sf_dir)
     return rounded(curve.link_events(curve.curve_features(bars), bars.select("asset", "ts"), least_lift=1.0))
 
 
-@query("g9_type_statistics")
+def curve_run(spark, sf_dir):
+    """A run over the daily bars, written into its three tables: the folder, and the headers there."""
+    at = new_folder(spark, "curves")
+    return at, curve.curve_run(written(t.bars(spark, sf_dir), "days"), at, "daily", least_lift=1.0)
+
+
+@query("g7_curve_run", f"{FEATURES}{LINKS} SELECT 'daily' AS run, count(DISTINCT asset) AS assets, count(*) AS bars, min(ts) AS first_ts, max(ts) AS last_ts, (SELECT count(*) FROM cf) AS events, (SELECT count(*) FROM ln_) AS links FROM bars")
+def curve_run_header(spark, sf_dir):
+    return curve_run(spark, sf_dir)[1].select("run", "assets", "bars", "first_ts", "last_ts", "events", "links")
+
+
+@query("g9_type_statistics", f"{FEATURES} SELECT kind, count(*) AS n, count(DISTINCT asset) AS assets, round(avg(severity), 6) AS mean_severity, round(max(z), 6) AS max_z FROM cf GROUP BY 1")
 def type_statistics(spark, sf_dir):
-    return rounded(curve.curve_features(t.bars(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("severity").alias("mean_severity"), F.max("z").alias("max_z")))
+    at, _ = curve_run(spark, sf_dir)
+    return rounded(curve.type_statistics(spark.read.parquet(f"{at}/events").where("run = 'daily'")))
+
+
+@query("g9_link_list", f"{FEATURES}{LINKS} SELECT a, b, kind_a, kind_b, pairs, round(lift, 6) AS lift FROM ln_ ORDER BY round(lift, 9) DESC, a, b, kind_a, kind_b LIMIT 50")
+def link_list(spark, sf_dir):
+    at, _ = curve_run(spark, sf_dir)
+    return rounded(curve.strongest_links(spark.read.parquet(f"{at}/links").where("run = 'daily'"), 50).select("a", "b", "kind_a", "kind_b", "pairs", "lift"))
 
 
 TRAN = f"""{NEUTRAL}, lead_ev AS (SELECT asset AS leader, ts, sign(r) AS sign FROM ret WHERE abs(r) > 2),
@@ -115,10 +167,11 @@ def shapes(spark, sf_dir):
     return ops.shape_windows(t.bars(spark, sf_dir, "week"), 30, 5, 5)
 
 
-@query("g15_shape_windows", f"""WITH {WK}, l AS (SELECT asset, ts, ln(close) AS x, row_number() OVER p AS i, lead(ln(close), 5) OVER p - ln(close) AS forward FROM bars WHERE close > 0 WINDOW p AS (PARTITION BY asset ORDER BY ts))
-    SELECT asset, ts, round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) AS last_value, round(forward, 6) AS forward FROM l WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS 29 PRECEDING) QUALIFY count(*) OVER w = 30 AND i % 5 = 0""")
+@query("g15_shape_windows", f"""WITH {WK}, l AS (SELECT asset, ts, ln(close) AS x, row_number() OVER p AS i, lead(ln(close), 5) OVER p - ln(close) AS forward FROM bars WHERE close > 0 WINDOW p AS (PARTITION BY asset ORDER BY ts)),
+    v AS (SELECT asset, ts, i, forward, list(x) OVER w AS v, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s FROM l WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS 29 PRECEDING)), k AS (SELECT asset, ts, forward, unnest(v) AS x, generate_subscripts(v, 1) AS place, m, s FROM v WHERE len(v) = 30 AND i % 5 = 0 AND s > 1e-12)
+    SELECT asset, ts, place, round((x - m) / s, 6) AS value, round(forward, 6) AS forward FROM k""")
 def shape_windows(spark, sf_dir):
-    return rounded(shapes(spark, sf_dir).select("asset", "ts", F.element_at("shape", -1).alias("last_value"), "forward"))
+    return rounded(shapes(spark, sf_dir).select("asset", "ts", F.posexplode("shape").alias("place", "value"), "forward").withColumn("place", F.col("place") + 1))
 
 
 def latest_shapes(spark, sf_dir):
@@ -240,6 +293,15 @@ def recurring_pairs(spark, sf_dir):
     return rounded(spectral.recurring_pairs(spectral.match_patterns(patterns(spark, sf_dir)), 2))
 
 
+PROBES = (8, 13, 21, 34, 55, 89)
+
+
+@query("h14_phase_projection", f"""WITH {D}{DET}, pj AS (SELECT asset, p AS period, count(*) AS n, sum(x * cos(2 * pi() / p * (i - m))) AS c, sum(x * sin(2 * pi() / p * (i - m))) AS s FROM (SELECT *, max(i) OVER (PARTITION BY asset) AS m FROM de) CROSS JOIN (SELECT unnest({list(PROBES)}) AS p) GROUP BY 1, 2)
+    SELECT asset, period, round(CASE WHEN degrees(atan2(-s, c)) < 0 THEN degrees(atan2(-s, c)) + 360 ELSE degrees(atan2(-s, c)) END, 4) AS phase, round(2 * sqrt(c * c + s * s) / n, 6) AS amplitude FROM pj""")
+def phase_projection(spark, sf_dir):
+    return rounded(spectral.phase_projection(spectral.detrended(t.bars(spark, sf_dir)), PROBES), phase=4)
+
+
 @query("h10_regime_prior", f"""WITH {D}{DFA}, k AS (SELECT *, 1 + 0.5 * least(1, greatest(0, confidence)) AS k FROM hu), w AS (SELECT asset, confidence, unnest([struct_pack(model := 'naive', w := 1.0::DOUBLE), struct_pack(model := 'drift', w := CASE label WHEN 'trending' THEN k ELSE 1 END), struct_pack(model := 'momentum', w := CASE label WHEN 'trending' THEN k WHEN 'reverting' THEN 1 / k ELSE 1 END),
       struct_pack(model := 'meanrev', w := CASE label WHEN 'trending' THEN 1 / k WHEN 'reverting' THEN k ELSE 1 END), struct_pack(model := 'leadlag', w := 1.0::DOUBLE)]) AS m FROM k)
     SELECT asset, m.model AS model, round(m.w / CASE WHEN confidence > 0 THEN sum(m.w) OVER (PARTITION BY asset) ELSE 1 END, 5) AS weight FROM w""")
@@ -281,7 +343,10 @@ def chronological_split(spark, sf_dir):
     return bars.join(days, "ts").groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("j7_sequence_windows", f"WITH {WK}{RET} SELECT asset, ts, round(list_sum(list(r) OVER w), 6) AS total, len(list(r) OVER w) AS n FROM ret WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS 23 PRECEDING) QUALIFY len(list(r) OVER w) = 24")
+@query("j7_sequence_windows", f"""WITH {WK}{RET}, y AS (SELECT asset, ts, lead(r, 1) OVER (PARTITION BY asset ORDER BY ts) AS target FROM ret), v AS (SELECT asset, ts, list(r) OVER w AS v FROM ret WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS 23 PRECEDING))
+    SELECT asset, ts, place, round(x, 6) AS x, round(target, 6) AS target FROM (SELECT asset, ts, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM v WHERE len(v) = 24) JOIN y USING (asset, ts) WHERE target IS NOT NULL AND isfinite(target)""")
 def sequence_windows(spark, sf_dir):
-    rows = log_returns(t.bars(spark, sf_dir, "week")).withColumn("_s", F.collect_list("r").over(own().rowsBetween(-23, 0))).where(F.size("_s") == 24)
-    return rounded(rows.select("asset", "ts", F.aggregate("_s", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("_s").cast("long").alias("n")))
+    """The last 24 returns before each target, the return after; only whole windows with a finite target."""
+    rows = log_returns(t.bars(spark, sf_dir, "week")).withColumn("_s", F.collect_list("r").over(own().rowsBetween(-23, 0))).withColumn("target", F.lead("r").over(own()))
+    rows = rows.where((F.size("_s") == 24) & F.col("target").isNotNull() & ~F.isnan("target"))
+    return rounded(rows.select("asset", "ts", F.posexplode("_s").alias("place", "x"), "target").withColumn("place", F.col("place") + 1))
