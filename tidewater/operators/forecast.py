@@ -55,6 +55,27 @@ def combine(made: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("asset", "ts", "rn", "h", "close", "target_ts", "actual_close").agg((F.sum(p * F.col("weight")) / F.sum("weight")).alias("combined"), F.coalesce(F.stddev_samp(p), F.lit(0.0)).alias("spread"))
 
 
+def ensemble(made: DataFrame, weights: DataFrame, hits: DataFrame) -> DataFrame:
+    """made (of the forecasts to be given out) with combined, spread, confidence and the models' clamped predictions.
+
+    Models are weighed by what they have learned (weights: asset, h, model, weight). The confidence is their hit rate so weighed (hits: asset, h,
+    model, hit_rate; a half before any), less the more they disagree."""
+    rows = long_form(made).join(weights, ["asset", "h", "model"], "left").join(hits, ["asset", "h", "model"], "left")
+    w, p = F.coalesce("weight", F.lit(1.0 / len(MODELS))), clamp(F.col("predicted"), -0.5, 0.5)
+    own_ = rows.groupBy("asset", "h", "ts", "close", "target_ts").agg(
+        (F.sum(w * p) / F.sum(w)).alias("combined"), F.coalesce(F.stddev_samp(p), F.lit(0.0)).alias("spread"), F.coalesce(F.try_divide(F.sum(F.when(F.col("hit_rate").isNotNull(), w * F.col("hit_rate"))), F.sum(F.when(F.col("hit_rate").isNotNull(), w))), F.lit(0.5)).alias("_q"),
+        *[F.max(F.when(F.col("model") == m, p)).alias(m) for m in MODELS],
+    )
+    return own_.withColumn("confidence", clamp(F.col("_q") / (1 + 20 * F.col("spread")), 0.0, 1.0)).drop("_q")
+
+
+def model_hits(made: DataFrame) -> DataFrame:
+    """asset, h, model, hit_rate over all arrived forecasts."""
+    rows = long_form(made).where("actual_close IS NOT NULL")
+    hit = direction_hit(F.col("predicted"), F.ln(F.col("actual_close") / F.col("close")))
+    return rows.groupBy("asset", "h", "model").agg(F.avg(hit.cast("double")).alias("hit_rate"))
+
+
 def direction_hit(predicted: Column, actual: Column) -> Column:
     """Whether the direction was right; where hardly anything moved, a call of hardly anything."""
     return F.when(F.abs(actual) < 1e-6, F.abs(predicted) < 1e-3).otherwise(F.signum(predicted) == F.signum(actual))
@@ -128,14 +149,21 @@ def walk_forward(made: DataFrame, history: int = 60, eta: float = 0.5, floor: fl
 
 
 def mix_pillars(rows: DataFrame) -> DataFrame:
-    """asset, h, mixed, trace of pillars (asset, h, pillar, value, merit, slider, surcharge): the basis is the merit-
-    and slider-weighted mean; surcharges are added up to the larger of 1 % and the basis itself."""
-    basis = F.try_divide(F.sum(F.when(~F.col("surcharge"), F.col("value") * F.col("merit") * F.col("slider"))), F.sum(F.when(~F.col("surcharge"), F.col("merit") * F.col("slider"))))
-    extra = F.sum(F.when(F.col("surcharge"), F.col("value") * F.col("merit") * F.col("slider") / 100).otherwise(0.0))
-    own_ = rows.groupBy("asset", "h").agg(F.coalesce(basis, F.lit(0.0)).alias("basis"), extra.alias("_x"), F.count(F.lit(1)).alias("pillars"))
+    """asset, h, basis, extra, mixed, pillars, trace of pillars (asset, h, pillar, value, merit, slider, surcharge): the basis is the merit-
+    and slider-weighted mean; surcharges are added up to the larger of 1 % and the basis itself. trace holds each pillar with what it adds: its
+    part of the basis, or of the surcharges as capped."""
+    w, up = F.col("merit") * F.col("slider"), F.col("surcharge")
+    each = F.array_sort(F.collect_list(F.struct("pillar", "value", "merit", "slider", "surcharge")))
+    sums = rows.groupBy("asset", "h").agg(F.sum(F.when(~up, F.col("value") * w)).alias("_s"), F.sum(F.when(~up, w)).alias("_w"), F.sum(F.when(up, F.col("value") * w / 100).otherwise(0.0)).alias("_x"), F.count(F.lit(1)).alias("pillars"), each.alias("_p"))
+    own_ = sums.withColumn("basis", F.coalesce(F.try_divide(F.col("_s"), F.col("_w")), F.lit(0.0)))
     cap = F.greatest(F.lit(0.01), F.abs("basis"))
     own_ = own_.withColumn("extra", F.greatest(-cap, F.least(cap, F.col("_x"))))
-    return own_.select("asset", "h", "basis", "extra", (F.col("basis") + F.col("extra")).alias("mixed"), "pillars")
+
+    def added(p: Column) -> Column:
+        part = F.when(p["surcharge"], F.coalesce(F.try_divide(p["value"] * p["merit"] * p["slider"] / 100 * F.col("extra"), F.col("_x")), F.lit(0.0)))
+        return F.struct(p["pillar"].alias("pillar"), p["value"].alias("value"), p["merit"].alias("merit"), part.otherwise(F.coalesce(F.try_divide(p["value"] * p["merit"] * p["slider"], F.col("_w")), F.lit(0.0))).alias("adds"))
+
+    return own_.select("asset", "h", "basis", "extra", (F.col("basis") + F.col("extra")).alias("mixed"), "pillars", F.transform("_p", added).alias("trace"))
 
 
 def own_merit(hit: Column, n: Column) -> Column:

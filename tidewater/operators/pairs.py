@@ -118,6 +118,15 @@ def opportunities(found: DataFrame, closes: DataFrame, since: Column) -> DataFra
     return rows.withColumn("pair_gain", F.when(F.col("direction") == 1, F.col("ret_a") - F.col("ret_b")).otherwise(F.col("ret_b") - F.col("ret_a")))
 
 
+def class_switches(open_: DataFrame, assets: DataFrame, sound: DataFrame, switched: int = 2) -> DataFrame:
+    """Opportunities with max_jump, of which one side is of the class ``switched`` and the other isn't, both sound. sound: asset, max_move of the assets that haven't
+    jumped."""
+    for side in "ab":
+        own = assets.select(F.col("asset").alias(side), (F.col("cls") == switched).alias(f"_in_{side}")).join(sound.select(F.col("asset").alias(side), F.col("max_move").alias(f"_jump_{side}")), side)
+        open_ = open_.join(own, side)
+    return open_.where("_in_a <> _in_b").withColumn("max_jump", F.greatest("_jump_a", "_jump_b")).drop("_in_a", "_in_b", "_jump_a", "_jump_b")
+
+
 def jump_guard(bars: DataFrame, since: Column, limit: Column) -> DataFrame:
     """The largest single-bar log move of each asset since a time, and whether it reaches the limit of its class."""
     from tidewater.functions.series import own

@@ -38,6 +38,28 @@ def basket_returns(returns: DataFrame, baskets: DataFrame) -> DataFrame:
     return rows.join(sizes, "basket").where("_n = _size").select("basket", "ts", "r")
 
 
+def basket_holdout(returns: DataFrame, baskets: DataFrame, half: Column, year: int) -> DataFrame:
+    """basket, n, annual_return, annual_volatility, max_drawdown, positive_years, mean_correlation, max_correlation, drift: how equally weighted baskets do on the
+    half that their choice hasn't seen, at the timestamps that all members have.
+
+    positive_years is the share of windows of ``year`` returns that gain, drift by how much the highest correlation of two members has grown since the
+    choice. returns: asset, ts, r (log)."""
+    sizes = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("_size"))
+    member = returns.join(baskets, "asset")
+    common = member.groupBy("basket", "ts").agg(F.count(F.lit(1)).alias("_n")).join(sizes, "basket").where("_n = _size").select("basket", "ts")
+    rows = member.join(common, ["basket", "ts"], "left_semi").withColumn("late", F.col("ts") >= half)
+    w = Window.partitionBy("basket").orderBy("ts")
+    curve = rows.where("late").groupBy("basket", "ts").agg(F.avg("r").alias("r")).withColumn("_v", F.exp(F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    curve = curve.withColumn("_d", 1 - F.col("_v") / F.greatest(F.lit(1.0), F.max("_v").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    gain = F.when(F.count(F.lit(1)).over(w.rowsBetween(1 - year, 0)) == year, (F.sum("r").over(w.rowsBetween(1 - year, 0)) > 0).cast("double"))
+    own_ = curve.withColumn("_y", gain).groupBy("basket").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("_m"), F.stddev_samp("r").alias("_s"), F.datediff(F.max("ts"), F.min("ts")).alias("_days"), F.max("_d").alias("max_drawdown"), F.avg("_y").alias("positive_years"))
+    x, y = (rows.select("basket", "ts", "late", F.col("asset").alias(a), F.col("r").alias(r)) for a, r in (("a", "ra"), ("b", "rb")))
+    pairs = x.join(y, ["basket", "ts", "late"]).where("a < b").groupBy("basket", "late", "a", "b").agg(F.corr("ra", "rb").alias("c"))
+    found = pairs.groupBy("basket").agg(F.avg(F.when(F.col("late"), F.col("c"))).alias("mean_correlation"), F.max(F.when(F.col("late"), F.col("c"))).alias("max_correlation"), F.max(F.when(~F.col("late"), F.col("c"))).alias("_chosen"))
+    scale = F.try_divide(F.col("n"), F.col("_days") / 365.25)
+    return own_.join(found, "basket").select("basket", "n", (F.exp(F.col("_m") * scale) - 1).alias("annual_return"), (F.col("_s") * F.sqrt(scale)).alias("annual_volatility"), "max_drawdown", "positive_years", "mean_correlation", "max_correlation", (F.col("max_correlation") - F.col("_chosen")).alias("drift"))
+
+
 def mobility(bars: DataFrame, by: list[str]) -> DataFrame:
     """Mean and median size of a bar's log move, and how often it beats one and two round trips."""
     moves = bars.withColumn("m", F.abs(F.ln(F.col("close") / F.lag("close").over(own())))).where("m IS NOT NULL")
@@ -59,8 +81,13 @@ def expectancy(hit: Column, move: Column) -> Column:
     return (2 * hit - 1) * move - ROUND_TRIP
 
 
+def after_cost(gross: Column) -> Column:
+    return gross - ROUND_TRIP
+
+
 def required_hit(move: Column) -> Column:
-    return F.try_divide(ROUND_TRIP / move + 1, F.lit(2.0))
+    """The hit rate from which calls on such a move are worth their cost; 1 without any move."""
+    return F.when(move <= 0, 1.0).otherwise(F.try_divide(ROUND_TRIP / F.when(move > 0, move) + 1, F.lit(2.0)))
 
 
 def positions(bookings: DataFrame, prices: DataFrame) -> DataFrame:

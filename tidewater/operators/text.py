@@ -33,6 +33,11 @@ NEGATIONS = ["kein", "keine", "keinen", "keiner", "nicht", "nie", "ohne", "kaum"
 # Words of praise and abuse that no market report holds, for texts of other kinds.
 PLAIN = {"good": 1.0, "great": 1.0, "gain": 0.6, "rise": 0.6, "bad": -1.0, "fall": -0.6, "worthless": -1.0, "stupid": -1.0, "trash": -1.0, "pathetic": -1.0}
 LEXICON = POSITIVE | {w: -v for w, v in NEGATIVE.items()} | PLAIN
+# First words of names that stand for no single asset.
+NAME_STOP = [
+    "the", "first", "global", "international", "national", "united", "american", "group", "holding", "holdings", "corp", "corporation", "company", "inc", "bank", "banco", "banca", "industries",
+    "technologies", "systems", "solutions", "capital", "financial", "energy", "motors", "pharmaceuticals", "partners", "trust", "index", "fund", "etf", "shares", "vanguard", "ishares", "spdr",
+]
 MARKERS = {"en": ["the", "and", "of", "is", "that", "with"], "de": ["der", "die", "und", "nicht", "von", "ist"], "fr": ["le", "la", "les", "et", "que", "des"], "es": ["el", "los", "que", "una", "por", "con"]}
 
 
@@ -142,6 +147,22 @@ def calibration(pairs: DataFrame, least: int = 30) -> DataFrame:
     )
 
 
+def name_keys(assets: DataFrame) -> DataFrame:
+    """asset, token: by what words an asset (asset, symbol, name) is known: its symbol, the symbol's part before - or . if three characters or more, and the first word
+    of its name if four or more and no common one."""
+    symbol, first = F.lower("symbol"), F.lower(F.btrim(F.substring_index(F.ltrim("name"), " ", 1), F.lit(",.")))
+    short = F.substring_index(F.substring_index(symbol, "-", 1), ".", 1)
+    keys = F.array_compact(F.array(symbol, F.when(F.length(short) >= 3, short), F.when((F.length(first) >= 4) & ~first.isin(NAME_STOP), first)))
+    return assets.select("asset", F.explode(F.array_distinct(keys)).alias("token"))
+
+
+def linked(docs: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """asset, doc_id: the ``most`` newest texts that name an asset, each text once."""
+    words = F.array_distinct(F.transform(F.split(F.lower("text"), "[ \\n\\r\\t,;:()\"']+"), lambda w: F.btrim(w, F.lit(".-"))))
+    met = docs.select("doc_id", F.explode(words).alias("token")).join(keys, "token").select("asset", "doc_id").distinct()
+    return met.withColumn("_q", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("doc_id")))).where(F.col("_q") <= most).select("asset", "doc_id")
+
+
 def detect_language(docs: DataFrame, markers: DataFrame) -> DataFrame:
     """The language with most marker words, if three at least and twice those of the next; else null. markers: token, lang."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")

@@ -198,11 +198,11 @@ def mute_assets(spark, sf_dir):
 
 
 @query("b9_cascade_removal", f"""WITH {D}, s AS (SELECT asset, close / lag(close) OVER (PARTITION BY asset ORDER BY ts) AS f FROM bars WHERE close > 0),
-    q AS (SELECT asset FROM s WHERE greatest(f, 1 / f) > 20 GROUP BY 1 HAVING count(*) >= 3)
+    q AS (SELECT asset FROM s WHERE greatest(f, 1 / f) > 300 GROUP BY 1 HAVING count(*) >= 3)
     SELECT asset, ts, close FROM bars WHERE asset NOT IN (SELECT asset FROM q)""")
 def cascade_removal(spark, sf_dir):
     own = t.bars(spark, sf_dir)
-    return ops.without(own, ops.jumpy(own, 20.0, 3)).select("asset", "ts", "close")
+    return ops.without(own, ops.jumpy(own, 300.0, 3)).select("asset", "ts", "close")
 
 
 @query("b10_health_counts", f"""WITH {t.TICK_SQL}, {t.bars_sql('day', 'd')}, {t.HOURLY_SQL}, {A}

@@ -66,9 +66,17 @@ def rotation_score(spark, sf_dir):
     return rounded(ops.rotation_pairs(flow(spark, sf_dir), 10, 2.0))
 
 
-@query("f8_rotation_pairs", f"{W}{ROT} SELECT a, b, count(*) AS n, round(coalesce(corr(da, db), 0), 6) AS score FROM rd WHERE da IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30 AND coalesce(corr(da, db), 0) < -0.1")
+#: Assets by market capitalisation whose pairs are looked at.
+LARGEST = 60
+
+
+@query("f8_rotation_pairs", f"{W}{ROT}, tp AS (SELECT asset FROM assets ORDER BY market_cap DESC, asset LIMIT {LARGEST}) SELECT a, b, count(*) AS n, round(coalesce(corr(da, db), 0), 6) AS score FROM rd WHERE da IS NOT NULL AND a IN (SELECT asset FROM tp) AND b IN (SELECT asset FROM tp) GROUP BY 1, 2 HAVING count(*) >= 30 AND coalesce(corr(da, db), 0) < -0.1")
 def rotation_pairs(spark, sf_dir):
-    return rounded(ops.rotation_pairs(flow(spark, sf_dir)))
+    largest = t.assets(spark, sf_dir).orderBy(F.desc("market_cap"), "asset").limit(LARGEST).select(F.col("asset").alias("_asset"))
+    found = ops.rotation_pairs(flow(spark, sf_dir))
+    for side in "ab":
+        found = found.join(largest, F.col(side) == F.col("_asset"), "left_semi")
+    return rounded(found)
 
 
 @query("f9_class_rotation", f"{W} SELECT ts, cls, round(sum(gross) / sum(sum(gross)) OVER (PARTITION BY ts), 6) AS share FROM fn GROUP BY 1, 2")

@@ -101,20 +101,45 @@ def forecast_run(spark, sf_dir):
     return ops.combine(own_).select("asset", "h", "ts", "close", F.round("combined", 6).alias("combined"), F.round(F.col("close") * F.exp("combined"), 3).alias("predicted_close"))
 
 
+HITS = """lo AS (UNPIVOT fc ON naive, drift, momentum, meanrev INTO NAME model VALUE predicted),
+    hr AS (SELECT asset, h, model, avg(CASE WHEN abs(ln(actual_close / close)) < 1e-6 THEN CASE WHEN abs(predicted) < 1e-3 THEN 1.0 ELSE 0 END WHEN sign(predicted) = sign(ln(actual_close / close)) THEN 1.0 ELSE 0 END) AS hit_rate FROM lo WHERE actual_close IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+@query("k9_run_components", f"""WITH RECURSIVE {WK}{FC}, {grown()}, {HITS}, e AS (UNPIVOT (SELECT asset, h, w1 AS naive, w2 AS drift, w3 AS momentum, w4 AS meanrev FROM g QUALIFY row_number() OVER (PARTITION BY asset, h ORDER BY i DESC) = 1) ON naive, drift, momentum, meanrev INTO NAME model VALUE weight),
+    n AS (SELECT lo.*, least(0.5, greatest(-0.5, predicted)) AS p, weight AS w, hit_rate FROM (SELECT * FROM lo QUALIFY row_number() OVER (PARTITION BY asset, h, model ORDER BY ts DESC) = 1) lo LEFT JOIN e USING (asset, h, model) LEFT JOIN hr USING (asset, h, model)),
+    c AS (SELECT asset, h, ts, close, target_ts, sum(w * p) / sum(w) AS combined, stddev_samp(p) AS spread, sum(w * hit_rate) / sum(w) AS q, {", ".join(f"max(CASE WHEN model = '{m}' THEN p END) AS {m}" for m in ops.MODELS)} FROM n GROUP BY 1, 2, 3, 4, 5)
+    SELECT asset, h, ts, round(close, 6) AS close, target_ts, round(combined, 6) AS combined, round(spread, 6) AS spread, {", ".join(f"round({m}, 6) AS {m}" for m in ops.MODELS)}, round(least(1, greatest(0, q / (1 + 20 * spread))), 6) AS confidence FROM c""")
+def run_components(spark, sf_dir):
+    """The newest forecast of every asset and horizon by learned weights, with its confidence and components."""
+    all_ = made(spark, sf_dir)
+    newest = all_.withColumn("_n", F.row_number().over(Window.partitionBy("asset", "h").orderBy(F.desc("ts")))).where("_n = 1").drop("_n")
+    return rounded(ops.ensemble(newest, ops.learned_weights(all_), ops.model_hits(all_)))
+
+
 PIL = """, me AS (SELECT asset, h, avg(CASE WHEN hit THEN 1.0 ELSE 0 END) AS hr, count(*) AS n FROM sc GROUP BY 1, 2), la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset, h ORDER BY ts DESC) AS q FROM fc) WHERE q = 1),
     pi AS (SELECT la.asset, la.h, p.pillar, CASE p.pillar WHEN 'learning' THEN (drift + momentum) / 2 WHEN 'reversion' THEN meanrev ELSE momentum END AS value,
       CASE WHEN n >= 20 THEN least(1, greatest(0, (hr - 0.523) / 0.10)) ELSE 0.25 END AS merit, p.slider, p.surcharge FROM la JOIN me USING (asset, h) CROSS JOIN (VALUES ('learning', 100.0, false), ('reversion', 50.0, false), ('news', 40.0, true)) p(pillar, slider, surcharge)),
     mx AS (SELECT asset, h, coalesce(sum(CASE WHEN NOT surcharge THEN value * merit * slider END) / nullif(sum(CASE WHEN NOT surcharge THEN merit * slider END), 0), 0) AS basis, sum(CASE WHEN surcharge THEN value * merit * slider / 100 ELSE 0 END) AS x, count(*) AS pillars FROM pi GROUP BY 1, 2)"""
 
 
-@query("k10_pillar_mixing", f"{B}{CM}{SC}{PIL} SELECT asset, h, round(basis, 6) AS basis, round(greatest(-greatest(0.01, abs(basis)), least(greatest(0.01, abs(basis)), x)), 6) AS extra, round(basis + greatest(-greatest(0.01, abs(basis)), least(greatest(0.01, abs(basis)), x)), 6) AS mixed, pillars FROM mx")
-def pillar_mixing(spark, sf_dir):
+def mixed(spark, sf_dir):
     merit = scores(spark, sf_dir).groupBy("asset", "h").agg(F.avg(F.col("hit").cast("double")).alias("hr"), F.count(F.lit(1)).alias("n"))
     latest = made(spark, sf_dir).withColumn("_n", F.row_number().over(Window.partitionBy("asset", "h").orderBy(F.desc("ts")))).where("_n = 1").join(merit, ["asset", "h"])
     pillars = [("learning", (F.col("drift") + F.col("momentum")) / 2, 100.0, False), ("reversion", F.col("meanrev"), 50.0, False), ("news", F.col("momentum"), 40.0, True)]
     each = F.array(*[F.struct(F.lit(k).alias("pillar"), v.alias("value"), F.lit(s).alias("slider"), F.lit(x).alias("surcharge")) for k, v, s, x in pillars])
     rows = latest.withColumn("_p", F.explode(each)).select("asset", "h", "_p.*", ops.own_merit(F.col("hr"), F.col("n")).alias("merit"))
-    return rounded(ops.mix_pillars(rows))
+    return ops.mix_pillars(rows)
+
+
+@query("k10_pillar_mixing", f"{B}{CM}{SC}{PIL} SELECT asset, h, round(basis, 6) AS basis, round(greatest(-greatest(0.01, abs(basis)), least(greatest(0.01, abs(basis)), x)), 6) AS extra, round(basis + greatest(-greatest(0.01, abs(basis)), least(greatest(0.01, abs(basis)), x)), 6) AS mixed, pillars FROM mx")
+def pillar_mixing(spark, sf_dir):
+    return rounded(mixed(spark, sf_dir).drop("trace"))
+
+
+@query("k10_pillar_trace", f"""{B}{CM}{SC}{PIL}, xt AS (SELECT mx.*, greatest(-greatest(0.01, abs(basis)), least(greatest(0.01, abs(basis)), x)) AS extra, (SELECT sum(merit * slider) FROM pi WHERE pi.asset = mx.asset AND pi.h = mx.h AND NOT surcharge) AS w FROM mx)
+    SELECT pi.asset, pi.h, pillar, round(value, 6) AS value, round(merit, 6) AS merit, round(coalesce(CASE WHEN surcharge THEN value * merit * slider / 100 * extra / nullif(x, 0) ELSE value * merit * slider / nullif(w, 0) END, 0), 6) AS adds FROM pi JOIN xt ON xt.asset = pi.asset AND xt.h = pi.h""")
+def pillar_trace(spark, sf_dir):
+    return rounded(mixed(spark, sf_dir).select("asset", "h", F.explode("trace").alias("_t")).select("asset", "h", "_t.*"))
 
 
 @query("k12_due_forecasts", f"""{B}{CM} SELECT asset, ts, h, target_ts FROM cm WHERE target_ts IS NOT NULL AND h = 5 AND target_ts > (SELECT max(ts) FROM bars) - INTERVAL 90 DAY ORDER BY target_ts, asset, ts LIMIT 500""")

@@ -114,6 +114,7 @@ SINCE = "TIMESTAMP '2000-01-01 00:00:00'"
 OPP = f""", la AS (SELECT a, b, max(ts) AS ts, arg_max(direction, ts) AS direction FROM cr WHERE ts >= {SINCE} GROUP BY 1, 2), ll AS (SELECT a, b, arg_max(ca, ts) AS la, arg_max(cb, ts) AS lb FROM cl GROUP BY 1, 2),
     op AS (SELECT la.a, la.b, la.ts, la.direction, ll.la / cl.ca - 1 AS ret_a, ll.lb / cl.cb - 1 AS ret_b FROM la JOIN cl ON cl.a = la.a AND cl.b = la.b AND cl.ts = la.ts JOIN ll ON ll.a = la.a AND ll.b = la.b)"""
 GAIN = "CASE WHEN direction = 1 THEN ret_a - ret_b ELSE ret_b - ret_a END"
+MOST_JUMP = 5.5
 
 
 def open_pairs(spark, sf_dir):
@@ -126,6 +127,15 @@ def crossing_opportunities(spark, sf_dir):
     return rounded(open_pairs(spark, sf_dir))
 
 
+@query("e9_class_switches", f"""WITH {WK}{CLOSES}{CROSS}{OPP}, {A}, jm AS (SELECT asset, max(m) AS jump FROM (SELECT asset, ts, abs(ln(close / lag(close) OVER (PARTITION BY asset ORDER BY ts))) AS m FROM bars WHERE close > 0) WHERE ts >= {SINCE} GROUP BY 1)
+    SELECT a, b, ts, direction, round({GAIN}, 6) AS pair_gain, round(greatest(x.jump, y.jump), 6) AS max_jump FROM op JOIN assets p ON p.asset = a JOIN assets q ON q.asset = b JOIN jm x ON x.asset = a JOIN jm y ON y.asset = b WHERE (p.cls = 2) <> (q.cls = 2) AND greatest(x.jump, y.jump) < {MOST_JUMP}""")
+def class_switches(spark, sf_dir):
+    """Opportunities that lead into or out of the crypto class, without assets whose price has jumped; the test prices jump by e to the fifth and more."""
+    week = t.bars(spark, sf_dir, "week")
+    jumps = ops.jump_guard(week.where("close > 0").withColumn("cls", F.lit(0)), F.expr(SINCE), F.lit(MOST_JUMP)).where("NOT suspect").select("asset", "max_move")
+    return rounded(ops.class_switches(open_pairs(spark, sf_dir), t.assets(spark, sf_dir), jumps).select("a", "b", "ts", "direction", "pair_gain", "max_jump"))
+
+
 @query("e10_jump_guard", f"""WITH {D}, {A}, m AS (SELECT asset, ts, abs(CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) ELSE 0 END) AS m FROM bars WINDOW w AS (PARTITION BY asset ORDER BY ts))
     SELECT asset, cls, round(max(m), 6) AS max_move, max(m) >= CASE WHEN cls = 2 THEN 0.9 ELSE 0.4 END AS suspect FROM m JOIN assets USING (asset) WHERE ts >= {SINCE} GROUP BY 1, 2""")
 def jump_guard(spark, sf_dir):
@@ -162,6 +172,17 @@ def proven_pairs(spark, sf_dir):
     return record(spark, sf_dir).where("proven").select("a", "b", "n")
 
 
+AGAINST = "SELECT a, b, count(*) AS n, round(avg(CASE WHEN gain < 0 THEN 1.0 ELSE 0 END), 6) AS hit_rate, round(-avg(gain), 6) AS mean_gain FROM gn GROUP BY 1, 2 HAVING count(*) >= 8 AND avg(CASE WHEN gain < 0 THEN 1.0 ELSE 0 END) >= 0.55 AND -avg(gain) - 0.003 > 0"
+
+
+@query("e13_proven_against", f"WITH {WK}{CLOSES}{CROSS}{GAINS} {AGAINST}")
+def proven_against(spark, sf_dir):
+    """The same test for the trade against the crossing: prices that revert prove this one."""
+    own = closes(spark, sf_dir)
+    gains = ops.forward_gains(ops.crossings(own).where(f"ts < {SINCE}"), own, 10).withColumn("gain", -F.col("gain"))
+    return rounded(ops.track_record(gains, 0.003).where("proven").drop("proven"))
+
+
 @query("e14_swap_suggestions", f"""WITH {WK}{CLOSES}{CROSS}{OPP}, {A}, h AS (SELECT asset FROM assets WHERE cap_rank <= 8), s AS (
       SELECT CASE WHEN direction = 1 THEN b ELSE a END AS held, CASE WHEN direction = 1 THEN a ELSE b END AS instead, CASE WHEN direction = 1 THEN ret_b ELSE ret_a END AS ret_held, CASE WHEN direction = 1 THEN ret_a ELSE ret_b END AS ret_instead FROM op),
     k AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY round(ret_instead, 9) DESC, instead) AS place FROM s WHERE held IN (SELECT asset FROM h) AND ret_instead > ret_held)

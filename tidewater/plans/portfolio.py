@@ -54,6 +54,22 @@ def fixed_baskets(spark, sf_dir):
     return rounded(own_.groupBy("basket").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_r"), F.stddev_samp("r").alias("sd_r")))
 
 
+#: Where the half that a basket is judged on begins.
+HALF = "TIMESTAMP '1998-06-01 00:00:00'"
+
+
+@query("m5_basket_holdout", f"""WITH {WK}{LR}, {A}, bk AS (SELECT asset, region AS basket FROM assets), z AS (SELECT basket, count(*) AS size FROM bk GROUP BY 1), mr AS (SELECT bk.basket, lr.asset, ts, r FROM lr JOIN bk USING (asset) WHERE r IS NOT NULL),
+    cm AS (SELECT basket, ts FROM mr JOIN z USING (basket) GROUP BY 1, 2 HAVING count(*) = any_value(size)), mm AS (SELECT mr.*, ts >= {HALF} AS late FROM mr JOIN cm USING (basket, ts)), bq AS (SELECT basket, ts, late, avg(r) AS r FROM mm GROUP BY 1, 2, 3),
+    cv AS (SELECT basket, ts, r, exp(sum(r) OVER (PARTITION BY basket ORDER BY ts)) AS v, sum(r) OVER (PARTITION BY basket ORDER BY ts ROWS 51 PRECEDING) AS y, count(*) OVER (PARTITION BY basket ORDER BY ts ROWS 51 PRECEDING) AS k FROM bq WHERE late),
+    dd AS (SELECT *, 1 - v / greatest(1, max(v) OVER (PARTITION BY basket ORDER BY ts)) AS d FROM cv),
+    mt AS (SELECT basket, count(*) AS n, count(*) / (date_diff('day', min(ts), max(ts)) / 365.25) AS year, avg(r) AS m, stddev_samp(r) AS s, max(d) AS drawdown, avg(CASE WHEN k = 52 THEN CASE WHEN y > 0 THEN 1.0 ELSE 0 END END) AS positive FROM dd GROUP BY 1),
+    cr AS (SELECT x.basket, x.late, corr(x.r, y.r) AS c FROM mm x JOIN mm y ON x.basket = y.basket AND x.ts = y.ts AND x.asset < y.asset GROUP BY x.basket, x.late, x.asset, y.asset), cs AS (SELECT basket, avg(c) FILTER (late) AS mean_r, max(c) FILTER (late) AS max_r, max(c) FILTER (NOT late) AS chosen_r FROM cr GROUP BY 1)
+    SELECT basket, n, round(exp(m * year) - 1, 5) AS annual_return, round(s * sqrt(year), 5) AS annual_volatility, round(drawdown, 6) AS max_drawdown, round(positive, 6) AS positive_years, round(mean_r, 6) AS mean_correlation, round(max_r, 6) AS max_correlation, round(max_r - chosen_r, 6) AS drift FROM mt JOIN cs USING (basket)""")
+def basket_holdout(spark, sf_dir):
+    baskets = t.assets(spark, sf_dir).select("asset", F.col("region").alias("basket"))
+    return rounded(ops.basket_holdout(returns(spark, sf_dir, "week").where("r IS NOT NULL").select("asset", "ts", "r"), baskets, F.expr(HALF), 52), annual_return=5, annual_volatility=5)
+
+
 @query("m6_greedy_baskets")
 def greedy_baskets(spark, sf_dir):
     """Chosen from the first 60 % of the time, which ends in June 1996."""
@@ -89,6 +105,18 @@ def intraday_expectancy(spark, sf_dir):
     return rounded(own_.withColumn("expectancy", ops.expectancy(F.col("hit_rate"), F.col("mean_move"))).withColumn("required_hit", ops.required_hit(F.col("mean_move"))))
 
 
+CALLS = (0.5, 0.55, 0.6)
+
+
+@query("m11_cost_model", f"""WITH {t.HOURLY_SQL}, m AS (SELECT asset, avg(abs(ln(close / lag))) AS m FROM (SELECT asset, close, lag(close) OVER (PARTITION BY asset ORDER BY ts) AS lag FROM bars) WHERE lag IS NOT NULL GROUP BY 1)
+    SELECT asset, p AS hit_rate, round(m, 6) AS mean_move, round((2 * p - 1) * m - 0.003, 6) AS expectancy, round(m - 0.003, 6) AS after_cost, round(CASE WHEN m <= 0 THEN 1 ELSE (0.003 / m + 1) / 2 END, 6) AS required_hit FROM m CROSS JOIN (SELECT unnest({list(CALLS)}::DOUBLE[]) AS p)""")
+def cost_model(spark, sf_dir):
+    """What calls of several hit rates are worth on each asset's mean hourly move after a round trip."""
+    moves_ = ops.mobility(t.hourly_bars(spark, sf_dir), ["asset"]).select("asset", "mean_move", F.explode(F.array(*map(F.lit, CALLS))).alias("hit_rate"))
+    m = F.col("mean_move")
+    return rounded(moves_.select("asset", "hit_rate", "mean_move", ops.expectancy(F.col("hit_rate"), m).alias("expectancy"), ops.after_cost(m).alias("after_cost"), ops.required_hit(m).alias("required_hit")))
+
+
 def bookings(spark, sf_dir):
     """Every order line books shares of its brand into a depot, the order's priority; orders of status F sell."""
     lines = t.ticks(spark, sf_dir).select("asset", "price", "volume", "ord", F.col("ord.l_orderkey").alias("o_orderkey"))

@@ -31,9 +31,9 @@ def unfold(spark, sf_dir):
 
 @query("n3_prose_filter", r"""WITH k AS (SELECT doc_id, text, array_to_string(list_filter(string_split(text, chr(10)), lambda p: length(p) >= 60 AND len(regexp_extract_all(p, '[.!?]')) * 220 >= length(p) AND len(regexp_extract_all(p, '\S+')) >= 12
       AND len(list_filter(regexp_extract_all(p, '\S+'), lambda w: length(w) <= 3)) >= 0.12 * len(regexp_extract_all(p, '\S+'))), chr(10)) AS kept FROM documents)
-    SELECT doc_id, length(text) AS before, CASE WHEN length(kept) > 200 THEN length(kept) ELSE length(text) END AS after FROM k""")
+    SELECT doc_id, length(text) AS before, CASE WHEN length(kept) > 200 THEN length(kept) ELSE length(text) END AS after, sha256(CASE WHEN length(kept) > 200 THEN kept ELSE text END) AS text_sha256 FROM k""")
 def prose_filter(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.length("text").alias("before"), F.length(ops.prose(F.col("text"))).alias("after"))
+    return docs(spark, sf_dir).select("doc_id", F.length("text").alias("before"), F.length(ops.prose(F.col("text"))).alias("after"), F.sha2(ops.prose(F.col("text")), 256).alias("text_sha256"))
 
 
 @query("n4_chunks")
@@ -140,13 +140,18 @@ def language_markers(spark, sf_dir):
     return ops.detect_language(docs(spark, sf_dir), markers)
 
 
-@query("n13_entity_links", r"""WITH k AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS token FROM documents), e AS (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS token, item_id AS asset FROM benchmark),
+STOP = ", ".join(f"'{w}'" for w in ops.NAME_STOP)
+
+
+@query("n13_entity_links", rf"""WITH k AS (SELECT DISTINCT doc_id, trim(unnest(regexp_split_to_array(lower(text), '[ 
+	,;:()"'']+')), '.-') AS token FROM documents),
+    na AS (SELECT item_id AS asset, lower('item-' || item_id || '.X') AS symbol, lower(trim(split_part(ltrim(text), ' ', 1), ',.')) AS first FROM benchmark),
+    e AS (SELECT asset, symbol AS token FROM na UNION SELECT asset, split_part(split_part(symbol, '-', 1), '.', 1) FROM na WHERE length(split_part(split_part(symbol, '-', 1), '.', 1)) >= 3 UNION SELECT asset, first FROM na WHERE length(first) >= 4 AND first NOT IN ({STOP})),
     m AS (SELECT DISTINCT asset, doc_id FROM k JOIN e USING (token)) SELECT asset, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY doc_id DESC) AS q FROM m) WHERE q <= 60""")
 def entity_links(spark, sf_dir):
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    keys = t.table(spark, sf_dir, "benchmark").select(F.lower(F.substring_index("text", " ", 1)).alias("token"), F.col("item_id").alias("asset")).distinct()
-    met = docs(spark, sf_dir).select("doc_id", F.explode(words).alias("token")).join(keys, "token").select("asset", "doc_id").distinct()
-    return met.withColumn("_q", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("doc_id")))).where("_q <= 60").select("asset", "doc_id")
+    """Items of the benchmark stand for assets: a made-up symbol, the text for the name."""
+    names = t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("asset"), F.concat(F.lit("item-"), "item_id", F.lit(".X")).alias("symbol"), F.col("text").alias("name"))
+    return ops.linked(docs(spark, sf_dir), ops.name_keys(names), 60)
 
 
 @query("n16_newest_unique", "SELECT title, doc_id FROM (SELECT split_part(text, chr(10), 1) AS title, max(doc_id) AS doc_id FROM documents GROUP BY 1) ORDER BY doc_id DESC LIMIT 12")
