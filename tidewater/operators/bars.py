@@ -33,6 +33,11 @@ def last_of_batch(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
     return rows.withColumn("_n", n).where(F.col("_n") == 1).drop("_n")
 
 
+def stamped(rows: DataFrame, at: Column) -> DataFrame:
+    """rows with ingested: when they were taken in."""
+    return rows.withColumn("ingested", at)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with the rows of new put in place: new wins wherever a key is in both. Keys are unique in either."""
     values = [c for c in old.columns if c not in keys]

@@ -50,7 +50,18 @@ def scan(train: DataFrame, test: DataFrame, top: int, least_t: float = 2.0) -> D
     both = best.join(test.select("leader", "follower", F.col("mean").alias("_m"), F.col("t").alias("t_test")), ["leader", "follower"], "left")
     same = F.signum("mean") == F.signum("_m")
     verdict = F.when(F.col("_m").isNull(), "untested").when(same & (F.abs("t_test") >= least_t), "confirmed").when(same, "weak").otherwise("refuted")
-    return both.select("leader", "follower", "n", "t", "t_test", verdict.alias("verdict"))
+    return both.select("leader", "follower", "n", "t", "mean", F.col("_m").alias("mean_test"), "t_test", verdict.alias("verdict"))
+
+
+def scan_verdict(scanned: DataFrame) -> DataFrame:
+    """One row on scanned links: checked, same (with the sign of the learning period), share in percent, mean_t, mean_test (the test period's mean in the learned direction), verdict:
+    too few under ten, repeated from 60 % with a gain, weak from 55 %, else not repeated. scanned: t, mean, mean_test (null: untested)."""
+    known = F.col("mean_test").isNotNull()
+    same = F.count_if(known & (F.signum("mean") == F.signum("mean_test")))
+    rows = scanned.agg(F.count_if(known).alias("checked"), same.alias("same"), F.avg(F.when(known, F.abs("t"))).alias("mean_t"), F.avg(F.when(known, F.signum("mean") * F.col("mean_test"))).alias("mean_test"))
+    rows = rows.withColumn("share", F.try_divide(100 * F.col("same"), F.col("checked")))
+    verdict = F.when(F.col("checked") < 10, "too_few").when((F.col("share") >= 60) & (F.col("mean_test") > 0), "repeated").when(F.col("share") >= 55, "weak").otherwise("not_repeated")
+    return rows.select("checked", "same", "share", "mean_t", "mean_test", verdict.alias("verdict"))
 
 
 def shuffled_events(rows: DataFrame, least: float) -> DataFrame:

@@ -17,8 +17,8 @@ EARLY, LATE = "l_linenumber <= 4", "l_linenumber > 4"
 
 def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The bars of the first four lines of orders, and a later batch of the others."""
-    own = t.ticks(spark, sf_dir).select("asset", F.date_trunc("day", "at").alias("ts"), *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], "volume", t.tick_order().alias("ord"))
-    return ops.merge_bars(own.where("ord.l_linenumber <= 4")), ops.merge_bars(own.where("ord.l_linenumber > 4"))
+    own = t.ticks(spark, sf_dir).select("asset", F.date_trunc("day", "at").alias("ts"), *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], "volume", t.tick_order().alias("ord"), F.col("ord.l_linenumber").alias("line"))
+    return ops.merge_bars(own.where("line <= 4")), ops.merge_bars(own.where("line > 4"))
 
 
 BATCH_SQL = f"{t.TICK_SQL}, {t.bars_sql('day', 'old').replace('FROM tick', f'FROM tick WHERE {EARLY}')}, {t.bars_sql('day', 'new').replace('FROM tick', f'FROM tick WHERE {LATE}')}"
@@ -35,15 +35,19 @@ def multi_asset_scan(spark, sf_dir):
     return t.bars(spark, sf_dir).join(wanted, "asset", "left_semi")
 
 
+#: When the table and the batch were taken in.
+STAMPS = ("TIMESTAMP '2002-01-01 00:00:00'", "TIMESTAMP '2002-01-02 00:00:00'")
+
+
 @query("a3_bar_upsert", f"""WITH {BATCH_SQL}
     SELECT coalesce(n.asset, o.asset) AS asset, coalesce(n.ts, o.ts) AS ts,
            CASE WHEN n.asset IS NOT NULL THEN n.open ELSE o.open END AS open, CASE WHEN n.asset IS NOT NULL THEN n.high ELSE o.high END AS high,
            CASE WHEN n.asset IS NOT NULL THEN n.low ELSE o.low END AS low, CASE WHEN n.asset IS NOT NULL THEN n.close ELSE o.close END AS close,
-           CASE WHEN n.asset IS NOT NULL THEN n.volume ELSE o.volume END AS volume
+           CASE WHEN n.asset IS NOT NULL THEN n.volume ELSE o.volume END AS volume, CASE WHEN n.asset IS NOT NULL THEN {STAMPS[1]} ELSE {STAMPS[0]} END AS ingested
     FROM old o FULL JOIN new n ON o.asset = n.asset AND o.ts = n.ts""")
 def bar_upsert(spark, sf_dir):
     old, new = batches(spark, sf_dir)
-    return ops.upsert(old, new, ["asset", "ts"])
+    return ops.upsert(ops.stamped(old, F.expr(STAMPS[0])), ops.stamped(new, F.expr(STAMPS[1])), ["asset", "ts"])
 
 
 @query("a4_batch_dedup", f"""WITH {t.TICK_SQL}

@@ -153,7 +153,18 @@ def shuffle_control(spark, sf_dir):
 @query("g14_transmission_scan", f"""WITH {D}{TRAN}, tr AS ({MEAS.format(w='WHERE ts < ' + SPLIT)}), te AS ({MEAS.format(w='WHERE ts >= ' + SPLIT)}), b AS (SELECT * FROM tr WHERE abs(t) >= 2 ORDER BY round(abs(t), 9) DESC, leader, follower LIMIT 100)
     SELECT b.leader, b.follower, b.n, round(b.t, 5) AS t, round(te.t, 5) AS t_test, CASE WHEN te.mean IS NULL THEN 'untested' WHEN sign(b.mean) = sign(te.mean) AND abs(te.t) >= 2 THEN 'confirmed' WHEN sign(b.mean) = sign(te.mean) THEN 'weak' ELSE 'refuted' END AS verdict FROM b LEFT JOIN te ON te.leader = b.leader AND te.follower = b.follower""")
 def transmission_scan(spark, sf_dir):
-    return rounded(ops.scan(transmitted(spark, sf_dir, f"ts < {SPLIT}"), transmitted(spark, sf_dir, f"ts >= {SPLIT}"), 100), 5)
+    return rounded(scanned(spark, sf_dir).drop("mean", "mean_test"), 5)
+
+
+def scanned(spark, sf_dir):
+    return ops.scan(transmitted(spark, sf_dir, f"ts < {SPLIT}"), transmitted(spark, sf_dir, f"ts >= {SPLIT}"), 100)
+
+
+@query("g14_scan_verdict", f"""WITH {D}{TRAN}, tr AS ({MEAS.format(w='WHERE ts < ' + SPLIT)}), te AS ({MEAS.format(w='WHERE ts >= ' + SPLIT)}), b AS (SELECT * FROM tr WHERE abs(t) >= 2 ORDER BY round(abs(t), 9) DESC, leader, follower LIMIT 100),
+    j AS (SELECT b.t, b.mean, te.mean AS m2 FROM b LEFT JOIN te ON te.leader = b.leader AND te.follower = b.follower), v AS (SELECT count(m2) AS checked, count(*) FILTER (sign(mean) = sign(m2)) AS same, avg(abs(t)) FILTER (m2 IS NOT NULL) AS mean_t, avg(sign(mean) * m2) AS mean_test FROM j)
+    SELECT checked, same, round(100 * same / nullif(checked, 0), 5) AS share, round(mean_t, 5) AS mean_t, round(mean_test, 5) AS mean_test, CASE WHEN checked < 10 THEN 'too_few' WHEN 100 * same / checked >= 60 AND mean_test > 0 THEN 'repeated' WHEN 100 * same / checked >= 55 THEN 'weak' ELSE 'not_repeated' END AS verdict FROM v""")
+def scan_verdict(spark, sf_dir):
+    return rounded(ops.scan_verdict(scanned(spark, sf_dir)), 5)
 
 
 @query("g8_event_page", f"WITH {D}{EV}, f AS (SELECT asset, ts, kind, severity FROM me WHERE severity >= 40 AND NOT (z < 2 AND dbl < 2) AND kind <> 'mixed' AND severity >= 60) SELECT asset, ts, kind, CAST(severity AS DOUBLE) AS severity, (SELECT count(*) FROM f) AS total FROM f ORDER BY severity DESC, ts DESC, asset LIMIT 25 OFFSET 25")

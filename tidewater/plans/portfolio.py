@@ -6,13 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.series import own
-from tidewater.operators import portfolio as ops
+from tidewater.operators import events as event_ops, portfolio as ops
 from tidewater.operators.bars import log_returns
 from tidewater.sources import tables as t
 
 from . import forecast as fc
 from . import pairs as pr
 from .alignment import D, RET, WK
+from .curves import EV
 from .registry import query, rounded
 
 A = t.ASSET_SQL
@@ -240,17 +241,29 @@ def listings_cohort(spark, sf_dir):
     return listed.join(first, "asset", "left").select("asset", F.col("expected").cast("timestamp").alias("expected"), "first_ts", "first_close", F.datediff(day, "expected").cast("long").alias("lead_days"), status.alias("status"))
 
 
-@query("m23_briefing", f"""WITH {D}{RET}, l AS (SELECT asset, arg_max(r, ts) AS r, max(ts) AS ts FROM ret GROUP BY 1), s AS (SELECT avg(r) AS m, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS b, count(*) FILTER (ts < (SELECT max(ts) FROM ret) - INTERVAL 2 DAY) AS stale FROM l)
+@query("m23_briefing", f"""WITH {D}{EV}{pr.CLOSES}{pr.CROSS}, l AS (SELECT asset, arg_max(r, ts) AS r, max(ts) AS ts FROM ret GROUP BY 1), s AS (SELECT avg(r) AS m, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS b, count(*) FILTER (ts < (SELECT max(ts) FROM ret) - INTERVAL 2 DAY) AS stale FROM l)
     SELECT 'mean_change' AS finding, NULL AS asset, round(m, 6) AS value FROM s UNION ALL SELECT 'breadth', NULL, round(b, 6) FROM s UNION ALL SELECT 'stale', NULL, stale FROM s
-    UNION ALL SELECT * FROM (SELECT 'up', asset, round(r, 6) FROM l ORDER BY round(r, 9) DESC, asset LIMIT 4) UNION ALL SELECT * FROM (SELECT 'down', asset, round(r, 6) FROM l ORDER BY round(r, 9), asset LIMIT 4)""")
+    UNION ALL SELECT * FROM (SELECT 'up', asset, round(r, 6) FROM l ORDER BY round(r, 9) DESC, asset LIMIT 4) UNION ALL SELECT * FROM (SELECT 'down', asset, round(r, 6) FROM l ORDER BY round(r, 9), asset LIMIT 4)
+    UNION ALL SELECT * FROM (SELECT 'event', asset, CAST(severity AS DOUBLE) FROM me WHERE severity >= 40 AND NOT (z < 2 AND dbl < 2) AND kind <> 'mixed' AND ts >= (SELECT max(ts) FROM bars) - INTERVAL 30 DAY ORDER BY severity DESC, ts DESC, asset LIMIT 4)
+    UNION ALL SELECT * FROM (SELECT 'crossing', a || '/' || b, round(spread_after, 4) FROM cr WHERE ts >= (SELECT max(ts) FROM bars) - INTERVAL 30 DAY ORDER BY ts DESC, round(abs(spread_after), 4) DESC, a, b LIMIT 4)
+    UNION ALL SELECT * FROM (SELECT 'news', string_split(text, chr(10))[1], CAST(max(doc_id) AS DOUBLE) FROM documents WHERE text IS NOT NULL GROUP BY 2 ORDER BY 3 DESC LIMIT 4)""")
 def briefing(spark, sf_dir):
+    """The market's day: means, the four that rose and fell most, the strongest events and newest crossings of the last 30 days, the newest texts."""
     last = log_returns(t.bars(spark, sf_dir)).groupBy("asset").agg(F.max_by("r", "ts").alias("r"), F.max("ts").alias("ts"))
     now = last.agg(F.max("ts").alias("_now"))
     whole = last.join(F.broadcast(now)).agg(F.avg("r").alias("mean_change"), F.avg((F.col("r") > 0).cast("double")).alias("breadth"), F.count_if(F.col("ts") < F.col("_now") - F.expr("INTERVAL 2 DAYS")).cast("double").alias("stale"))
     none = F.lit(None).cast("string").alias("asset")
     out = whole.select(F.explode(F.create_map(F.lit("mean_change"), "mean_change", F.lit("breadth"), "breadth", F.lit("stale"), "stale")).alias("finding", "value")).select("finding", none, "value")
     top = lambda k, order: last.orderBy(order, "asset").limit(4).select(F.lit(k).alias("finding"), "asset", F.col("r").alias("value"))
-    return rounded(out.unionByName(top("up", F.desc(F.round("r", 9)))).unionByName(top("down", F.round("r", 9))))
+    out = out.unionByName(top("up", F.desc(F.round("r", 9)))).unionByName(top("down", F.round("r", 9)))
+    bars = t.bars(spark, sf_dir)
+    recent = bars.agg((F.max("ts") - F.expr("INTERVAL 30 DAYS")).alias("_since"))
+    found = event_ops.market_events(bars).where("kind <> 'mixed'").join(F.broadcast(recent), F.col("ts") >= F.col("_since")).orderBy(F.desc("severity"), F.desc("ts"), "asset").limit(4)
+    crossed = pr.found(spark, sf_dir, "day").join(F.broadcast(recent), F.col("ts") >= F.col("_since")).orderBy(F.desc("ts"), F.desc(F.round(F.abs("spread_after"), 4)), "a", "b").limit(4)
+    news = t.table(spark, sf_dir, "documents").where("text IS NOT NULL").groupBy(F.substring_index("text", "\n", 1).alias("asset")).agg(F.max("doc_id").cast("double").alias("value")).orderBy(F.desc("value")).limit(4)
+    out = out.unionByName(found.select(F.lit("event").alias("finding"), "asset", F.col("severity").cast("double").alias("value")))
+    out = out.unionByName(crossed.select(F.lit("crossing").alias("finding"), F.concat("a", F.lit("/"), "b").alias("asset"), F.round("spread_after", 4).alias("value")))
+    return rounded(out.unionByName(news.select(F.lit("news").alias("finding"), "asset", "value")))
 
 
 @query("m24_start_tiles", f"WITH {D}, {A} SELECT (SELECT max(ts) FROM bars) AS newest_bar, (SELECT count(*) FROM bars) AS n_bars, (SELECT count(*) FROM assets) AS n_assets, (SELECT count(*) FROM documents) AS n_texts, (SELECT max(o_orderdate) FROM orders) AS newest_order")

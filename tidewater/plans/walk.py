@@ -131,6 +131,15 @@ def pass_results(spark, sf_dir):
     return rounded(leading.pass_summary(ops.scored(three_passes(spark, sf_dir))))
 
 
+@query("k28_epoch_listing")
+def epoch_listing(spark, sf_dir):
+    """The passes of a run, newest first: what they walked over and how well."""
+    scores = ops.scored(three_passes(spark, sf_dir))
+    rows = scores.groupBy("pass").agg(F.array_sort(F.collect_set("hours")).alias("horizons"), F.count_distinct("asset").alias("assets"), F.count_distinct("ts").alias("steps"), F.count(F.lit(1)).alias("scored"), F.avg("abs_pct_error").alias("mean_error"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
+    interval = F.when(F.col("pass") == 2, "1h").otherwise("1d")
+    return rounded(rows.select(F.lit("walk").alias("run"), "pass", interval.alias("interval"), "horizons", "assets", "steps", "scored", "mean_error", "hit_rate").orderBy(F.desc("pass")))
+
+
 @query("k26_learned_weights")
 def learned_weights(spark, sf_dir):
     return rounded(leading.learned(three_passes(spark, sf_dir)))
