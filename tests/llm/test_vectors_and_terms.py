@@ -236,3 +236,31 @@ def test_crcs_are_composed():
     pairs = [(a, b) for a in parts for b in parts]
     found = importance.composed(np.array([zlib.crc32(a) for a, _ in pairs], np.uint32), np.array([zlib.crc32(b) for _, b in pairs], np.uint32), np.array([len(b) for _, b in pairs]))
     assert found.tolist() == [zlib.crc32(a + b) for a, b in pairs]
+
+
+# names that differ only in case ----------------------------------------------------------------------------------------
+
+
+def test_columns_that_differ_in_case_are_replaced(spark):
+    from tidewater.llm import bpe, html_extract, langid, line_dedup, toxicity, url_filter
+    from tidewater.llm.queries import tokenizer_path
+
+    def frame(names, row):
+        return spark.createDataFrame([row], names)
+
+    page = html_extract.extract_text(frame("page_id long, html string, Text string, N_CHARS int", (1, "<article><p>some words</p></article>", "x", 2)))
+    assert page.columns == ["page_id", "text", "n_chars"] and page.first()["text"] == "some words"
+    told = langid.predict_language(frame("doc_id long, text string, Score string, LANG_PRED int", (1, "abc", "x", 2)), {"en": [97]})
+    assert told.columns == ["doc_id", "lang_pred", "score"] and told.first()["lang_pred"] == "en"
+    docs = frame("doc_id long, text string, Token_ids string, DECODED_TEXT int, other int", (1, "some words", "x", 2, 3))
+    both = bpe.encode_and_decode(docs, tokenizer_path()).first()
+    assert both["decoded_text"] == "some words" and both["other"] == 3 and len(both) == 4
+    once = bpe.decode_ids(bpe.encode_texts(docs, tokenizer_path()), tokenizer_path()).first()
+    assert once["decoded_text"] == "some words" and once["token_ids"] == both["token_ids"] and once["other"] == 3
+    lines = line_dedup.drop_repeated_lines(frame("doc_id long, text string, N_LINES string, Kept_text int", (1, "a\nb", "x", 2))).first()
+    assert lines["n_lines"] == 2 and lines["kept_text"] == "a\nb"
+    machine = toxicity.fit([np.array([0]), np.array([1])] * 20, np.array([1, 0] * 20), [11, 12])
+    scored = toxicity.score_toxicity(frame("doc_id long, text string, Score string, PREDICTED string", (1, "abc", "x", "y")), machine)
+    assert scored.columns == ["doc_id", "score", "predicted"] and 0 <= scored.first()["score"] <= 1
+    judged = url_filter.judge(frame("page_id long, url string, Host string, VERDICT string", (1, "http://A.net/de/8", "x", "y")), url_filter.rules_table(spark))
+    assert sorted(judged.columns) == ["host", "page_id", "path", "rule", "url", "verdict"] and judged.first()["host"] == "a.net"

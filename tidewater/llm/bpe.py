@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import others
+
 #: Fragments that a task remembers; beyond it starts afresh.
 REMEMBERED = 200_000
 #: Characters that the pattern, in any reading, may take for white space; a cut is never made after one.
@@ -132,17 +134,19 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
     """docs with token_ids (array<int>) added: the ids that the tokenizers library gives the whole text, no special
     tokens added. Null and empty texts have no ids; repeated rows are encoded alike. A column named token_ids is
     replaced; an empty table gives an empty result."""
-    return docs.withColumn("token_ids", encoder(tokenizer_path)(F.col(text_col)))
+    return docs.select(*others(docs.columns, "token_ids"), encoder(tokenizer_path)(F.col(text_col)).alias("token_ids"))
 
 
 def decode_ids(docs: DataFrame, tokenizer_path: str, ids_col: str = "token_ids") -> DataFrame:
-    """docs with decoded_text added; null ids decode to the empty text. A column named decoded_text is replaced."""
-    return docs.withColumn("decoded_text", decoder(tokenizer_path)(F.col(ids_col)))
+    """docs with decoded_text added; null ids decode to the empty text. Repeated rows are decoded alike; a column named decoded_text is replaced; an
+    empty table gives an empty result."""
+    return docs.select(*others(docs.columns, "decoded_text"), decoder(tokenizer_path)(F.col(ids_col)).alias("decoded_text"))
 
 
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """encode_texts() and decode_ids() in one pass over the texts, which are dropped: token_ids and decoded_text."""
-    fields = [f for f in docs.schema.fields if f.name not in (text_col, "token_ids", "decoded_text")]
+    kept = others(docs.columns, text_col, "token_ids", "decoded_text")
+    fields = [f for f in docs.schema.fields if f.name in kept]
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

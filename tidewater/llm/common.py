@@ -61,6 +61,12 @@ def free_names(columns: list[str], *stems: str) -> list[str]:
     return out
 
 
+def others(columns: list[str], *names: str) -> list[str]:
+    """The columns that bear none of these names, whatever their case, as Spark tells names apart by letters only."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def fresh(key: Column | str) -> Column:
     """The same key as a new expression. An aggregate's output is already dealt by its key, and Spark can split
     a hot key of a join only if it deals both sides itself; a derived key makes it do so."""
@@ -99,7 +105,8 @@ def with_columns(df: DataFrame, text_col: str, make, added: str, keep_text: bool
     columns. added: their DDL; columns of these names are replaced. Batches are taken 128 rows at a time.
     """
     new = T._parse_datatype_string(added)
-    fields = [f for f in df.schema.fields if f.name not in new.names and (keep_text or f.name != text_col)]
+    kept = others(df.columns, *new.names)
+    fields = [f for f in df.schema.fields if f.name in kept and (keep_text or f.name != text_col)]
     names = [f.name for f in fields]
     kinds = to_arrow_schema(new)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, free_names, staged
+from .common import WHITE, ascii_lower, free_names, others, staged
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -35,7 +35,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     own, doc, of, gone = free_names(docs.columns, "_mark", "_doc", "_of", "_lost")
     lost = lost.groupBy(F.col("doc_id").alias(doc), F.col("_mark").alias(of)).agg(F.collect_set("_pos").alias(gone))
 
-    kept = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    kept = others(docs.columns, "kept_text", "n_lines", "n_dropped")
     rows = docs.select(*kept, mark.alias(own)).join(lost, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(of)), "left")
     split = F.split(text, "\n", -1)
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, free_names, fresh
+from .common import LOWER, UPPER, free_names, fresh, others
 
 #: Production rules: host, path, verdict.
 RULES = [
@@ -85,7 +85,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     )
     best = best.select(fresh("_url").alias(key), F.col("_best").alias(top))
 
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = others(pages.columns, "host", "path", "rule", "verdict")
     rows = pages.select(*kept, F.col(url_col).alias(own)).join(best, F.col(own) == F.col(key), "left")
     return rows.select(
         *kept,
