@@ -53,6 +53,15 @@ def test_chunks_are_spans_of_the_text(spark, target, overlap, least):
             assert r["text"] == clean[r["char_from"] : r["char_to"]] and r["n_chars"] == len(r["text"]) and r["page"] == 1 + clean[: r["char_from"]].count("\f")
 
 
+def test_only_chunks_of_unknown_content_are_embedded(spark):
+    rows = [(1, 0, "same"), (1, 1, "changed"), (2, 0, "moved"), (3, 0, "new")]
+    hashed = lambda rows, version: spark.createDataFrame(rows, "doc_id long, ordinal int, text string").withColumn("hash", text.identity(version, F.col("doc_id"), F.col("ordinal"), F.col("text")))
+    before = [(1, 0, "same"), (1, 1, "old"), (2, 1, "moved"), (4, 0, "gone")]
+    got = {(r["doc_id"], r["ordinal"]) for r in text.to_embed(hashed(rows, "v1"), hashed(before, "v1")).collect()}
+    assert got == {(1, 1), (2, 0), (3, 0)}
+    assert text.to_embed(hashed(rows, "v2"), hashed(rows, "v1")).count() == 4
+
+
 def test_sentiment_of_reports(spark):
     words = {**text.POSITIVE, **{w: -v for w, v in text.NEGATIVE.items()}}
     texts = ["Gewinnwarnung: Aktie fällt", "Shares surge to a record", "no profit, never higher", "It did not really end in a crash", "nothing here", None, "Sell-off! a sell-off"]
