@@ -16,8 +16,8 @@ def intersect_series(bars: DataFrame) -> DataFrame:
 
 
 def densify(bars: DataFrame) -> DataFrame:
-    """Every asset at every timestamp of any, close null where it didn't trade. Assets are a dimension table and timestamps one calendar."""
-    grid = bars.select("ts").distinct().join(F.broadcast(bars.select("asset").distinct()))
+    """Every asset at every timestamp of any, close null where it didn't trade: the dense grid itself, so as many rows as it has."""
+    grid = bars.select("ts").distinct().crossJoin(bars.select("asset").distinct())
     return grid.join(bars.select("asset", "ts", "close"), ["asset", "ts"], "left").select("asset", "ts", "close")
 
 
@@ -43,7 +43,7 @@ def align_by_coverage(bars: DataFrame, grid_share: float = 0.8, asset_share: flo
     kept = on_grid.groupBy("asset").agg(F.count(F.lit(1)).alias("_hits"), F.min_by("close", "ts").alias("_first")).join(F.broadcast(size))
     kept = kept.where((F.col("_points") >= least) & (F.col("_hits") >= asset_share * F.col("_points")) & (F.col("_first") > 0))
     kept = kept.select("asset", (1 - F.col("_hits") / F.col("_points")).alias("filled_share"))
-    dense = grid.join(F.broadcast(kept)).join(on_grid.select("asset", "ts", "close"), ["asset", "ts"], "left")
+    dense = grid.crossJoin(kept).join(on_grid.select("asset", "ts", "close"), ["asset", "ts"], "left")
     return forward_fill(dense).select("asset", "ts", "filled", "filled_share")
 
 

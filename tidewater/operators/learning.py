@@ -92,7 +92,7 @@ def cross_section(returns: DataFrame, assets: DataFrame, coverage: float = 0.9,
     n = assets.agg(F.count(F.lit(1)).alias("_all"))
     days = returns.groupBy("ts").agg(F.count("r").alias("_n")).join(F.broadcast(n)).where(F.col("_n") >= coverage * F.col("_all"))
     days = days.select("ts", ((F.row_number().over(Window.orderBy("ts")) - 1) / F.count(F.lit(1)).over(Window.partitionBy())).alias("_p"))
-    dense = days.join(F.broadcast(assets.select("asset"))).join(returns, ["asset", "ts"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    dense = days.crossJoin(assets.select("asset")).join(returns, ["asset", "ts"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
     known, whole = F.when(F.col("_p") < train, F.col("r")), Window.partitionBy("asset")
     scaled = F.try_divide(F.col("r") - F.avg(known).over(whole), F.stddev_pop(known).over(whole))
     return dense.select("asset", "ts", F.coalesce(scaled, F.lit(0.0)).alias("x"))

@@ -116,7 +116,7 @@ def wealth_curve(bookings: DataFrame, moves: DataFrame, bars: DataFrame) -> Data
     held = bookings.groupBy("depot", "asset", F.col("booked").alias("ts")).agg(F.sum("shares").alias("_s"))
     pairs = bookings.select("depot", "asset").distinct()
     prices = bars.select("asset", "ts", F.col("close").alias("_p"))
-    rows = pairs.join(F.broadcast(calendar)).join(prices, ["asset", "ts"], "left").withColumn("_s", F.lit(None).cast("double")).withColumn("_grid", F.lit(1))
+    rows = pairs.crossJoin(calendar).join(prices, ["asset", "ts"], "left").withColumn("_s", F.lit(None).cast("double")).withColumn("_grid", F.lit(1))
     rows = rows.unionByName(held.select("depot", "asset", "ts", F.lit(None).cast("double").alias("_p"), F.col("_s").cast("double").alias("_s"), F.lit(0).alias("_grid")))
     w = Window.partitionBy("depot", "asset").orderBy("ts", "_grid").rowsBetween(Window.unboundedPreceding, 0)
     at = rows.withColumn("_sh", F.sum("_s").over(w)).withColumn("_pr", F.last("_p", ignorenulls=True).over(w)).where("_grid = 1")
@@ -171,7 +171,7 @@ def greedy_baskets(returns: DataFrame, sizes: tuple[int, ...] = (3, 5, 8), candi
     timestamps that all have; the choice from that small matrix is one task."""
     best = returns.where("r IS NOT NULL").groupBy("asset").agg((F.avg("r") / F.stddev_samp("r")).alias("_q")).orderBy(F.desc(F.round("_q", 9)), "asset").limit(candidates)
     best = best.withColumn("_place", F.row_number().over(Window.orderBy(F.desc(F.round("_q", 9)), "asset")))
-    rows = returns.where("r IS NOT NULL").join(F.broadcast(best), "asset")
+    rows = returns.where("r IS NOT NULL").join(best, "asset")
     full = rows.groupBy("ts").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(best.agg(F.count(F.lit(1)).alias("_all")))).where("_n = _all").select("ts")
     rows = rows.join(full, "ts", "left_semi")
     x, y = rows.select("ts", F.col("_place").alias("a"), F.col("asset"), F.col("r").alias("ra")), rows.select("ts", F.col("_place").alias("b"), F.col("r").alias("rb"))

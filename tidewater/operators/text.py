@@ -126,7 +126,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def sentiment(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Mean weight of a text's lexicon words, negated ones turned, within -1 and 1, and how many there are."""
-    hits = tokens(docs).join(F.broadcast(lexicon), "token").withColumn("_v", F.when(F.col("negated"), -F.col("weight")).otherwise(F.col("weight")))
+    hits = tokens(docs).join(lexicon, "token").withColumn("_v", F.when(F.col("negated"), -F.col("weight")).otherwise(F.col("weight")))
     return hits.groupBy("doc_id").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.avg("_v"))).alias("mood"), F.count(F.lit(1)).alias("hits"))
 
 
@@ -167,7 +167,7 @@ def detect_language(docs: DataFrame, markers: DataFrame) -> DataFrame:
     """The language with most marker words, if three at least and twice those of the next; else null. markers: token, lang."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
     rows = docs.select("doc_id", F.explode(words).alias("token")).groupBy("doc_id", "token").count()
-    counts = rows.join(F.broadcast(markers), "token").groupBy("doc_id", "lang").agg(F.sum("count").alias("n"))
+    counts = rows.join(markers, "token").groupBy("doc_id", "lang").agg(F.sum("count").alias("n"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "lang")
     best = counts.withColumn("_k", F.row_number().over(order)).withColumn("_second", F.coalesce(F.lead("n").over(order), F.lit(0))).where("_k = 1")
     found = best.select("doc_id", F.when((F.col("n") >= 3) & (F.col("n") >= 2 * F.col("_second")), F.col("lang")).alias("detected"))
