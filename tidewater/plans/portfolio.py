@@ -12,7 +12,7 @@ from tidewater.sources import tables as t
 
 from . import forecast as fc
 from . import pairs as pr
-from .alignment import D, RET, WK
+from .alignment import D, WK
 from .curves import EV
 from .registry import query, rounded
 
