@@ -28,6 +28,20 @@ def test_spike_is_dropped_and_revaluation_kept(spark):
     assert strict == 1
 
 
+def test_removal_takes_every_asset_that_jumps_beyond_twenty(spark, tmp_path):
+    """Jumps between 20 and 300 count; two of them, or steps of exactly 20, don't remove an asset."""
+    closes = {"calm": [10, 11, 10, 11, 10], "wild": [1, 1000, 1, 1000, 1], "some": [10, 300, 10, 300, 300], "few": [10, 300, 10, 10, 10], "edge": [10, 200, 10, 200, 10]}
+    parts = pd.DataFrame({"p_partkey": range(len(closes)), "p_brand": list(closes), "p_type": "x"})
+    rows = [(10 * k + i, 1, k, 1, 2.0, 2.0 * c, pd.Timestamp("2024-01-01") + pd.Timedelta(days=i)) for k, one in enumerate(closes.values()) for i, c in enumerate(one)]
+    lines = pd.DataFrame(rows, columns=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]).astype({"l_shipdate": "datetime64[us]"})
+    db = duckdb.connect()
+    for table, df in (("part", parts), ("lineitem", lines)):
+        db.register(table, df).execute(f"COPY {table} TO '{tmp_path}/{table}.parquet'")
+    got = sorted((r["asset"], r["ts"].day, r["close"]) for r in QUERIES["b9_cascade_removal"](spark, str(tmp_path)).collect())
+    assert got == sorted((a, i + 1, float(c)) for a in ("calm", "few", "edge") for i, c in enumerate(closes[a]))
+    assert got == sorted((a, ts.day, close) for a, ts, close in db.sql(ORACLE_SQL["b9_cascade_removal"]).fetchall())
+
+
 def test_correlation_and_lag(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=40)
