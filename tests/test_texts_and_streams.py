@@ -217,3 +217,27 @@ def test_quality_filter_keeps_what_a_walk_keeps(spark, tmp_path):
             last = v
             want.add(i)
     assert got == want and math.isfinite(last)
+
+
+def test_outcomes_of_forecasts_meet_by_asset_and_stretch_of_time(spark, tmp_path):
+    """Ticks at a forecast's own time and after its hour are none of its outcomes, the one at the hour's end is; so across midnight, for equal rows and, in batch, before 1970."""
+    rng, schema = np.random.default_rng(9), "event_id long, asset string, ts timestamp, value double"
+    starts = [pd.Timestamp("1969-12-31 22:00"), pd.Timestamp("2024-01-01 21:30")]
+    at = [t + pd.Timedelta(minutes=int(m)) for t in starts for m in np.sort(rng.integers(0, 300, 120))]
+    rows = [(i, "AB"[i % 3 == 0], t.to_pydatetime(), float(i)) for i, t in enumerate(at)]
+    rows += [(len(rows) + i, *r[1:]) for i, r in enumerate(rows[100:110])]
+    hour = pd.Timedelta(hours=1)
+    want = sorted((a, t, v, u, w) for i, a, t, v in rows if i % 5 == 0 for _, b, u, w in rows if a == b and t < u <= t + hour)
+    assert any(u == t + hour for _, t, _, u, _ in want)
+
+    def joined(ticks, span):
+        return jobs.outcomes(ticks.where("event_id % 5 = 0").select("asset", F.col("ts").alias("made_at"), F.col("value").alias("predicted")), ticks, span)
+
+    batch = spark.createDataFrame(rows, schema)
+    assert sorted(map(tuple, joined(batch, "INTERVAL 60 MINUTES").collect())) == want
+    stream = joined(in_parts(spark, tmp_path / "in", [r for r in rows if r[2].year > 2000], schema, 1, (0,)), "INTERVAL 1 HOUR")
+    got = jobs.drained(stream, str(tmp_path / "out"), str(tmp_path / "check")).collect()
+    assert sorted(map(tuple, got)) == [r for r in want if r[1].year > 2000]
+    assert not joined(batch, "INTERVAL 0 SECONDS").count()
+    joins = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin) \[(.*?)\]", plan(joined(batch, "INTERVAL 1 HOUR")))
+    assert [keys.count("#") for keys in joins] == [2]

@@ -63,8 +63,9 @@ def stream_enriched(spark, sf_dir):
 @query("r9_stream_outcomes", "SELECT f.event_type AS asset, f.ts AS made_at, round(f.value, 6) AS predicted, e.ts, round(e.value, 6) AS value FROM events f JOIN events e ON e.event_type = f.event_type AND e.ts > f.ts AND e.ts <= f.ts + INTERVAL 1 HOUR WHERE f.event_id % 10 = 0")
 def stream_outcomes(spark, sf_dir):
     """Every tenth tick stands for a forecast; the ticks of the hour after are its outcomes."""
-    made = jobs.tick_stream(spark, sf_dir).where("event_id % 10 = 0").select("asset", F.col("ts").alias("made_at"), F.col("value").alias("predicted"))
-    return rounded(drained(spark, jobs.outcomes(made, jobs.tick_stream(spark, sf_dir))))
+    ticks = rounded(jobs.tick_stream(spark, sf_dir))  # before the join, as each value is in many of its rows
+    made = ticks.where("event_id % 10 = 0").select("asset", F.col("ts").alias("made_at"), F.col("value").alias("predicted"))
+    return drained(spark, jobs.outcomes(made, ticks))
 
 
 @query("r5_stream_upsert", "SELECT event_type AS asset, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")

@@ -53,9 +53,15 @@ def enriched(ticks: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def outcomes(forecasts: DataFrame, ticks: DataFrame, span: str = "INTERVAL 1 HOUR") -> DataFrame:
-    """Forecasts (asset, made_at, predicted) with the ticks of the hour after: a stream-stream join inside watermarks."""
-    f = forecasts.withWatermark("made_at", "6 hours").select(F.col("asset").alias("_a"), "made_at", "predicted")
-    return f.join(ticks.withWatermark("ts", "6 hours"), F.expr(f"_a = asset AND ts > made_at AND ts <= made_at + {span}")).select("asset", "made_at", "predicted", "ts", "value")
+    """Forecasts (asset, made_at, predicted) with the ticks of the hour after: a stream-stream join inside watermarks.
+
+    Rows meet by asset and stretch of time, each as long as ``span``: a tick is in one stretch, a forecast in all that its span touches. By the asset alone every
+    forecast would be held against every tick of the asset."""
+    long = f"greatest(1, unix_micros(timestamp_seconds(0) + {span}))"
+    at = lambda x: f"unix_micros({x}) div {long}"
+    f = forecasts.withWatermark("made_at", "6 hours").select(F.col("asset").alias("_a"), "made_at", "predicted", F.expr(f"explode(sequence({at('made_at')}, {at(f'made_at + {span}')}))").alias("_s"))
+    own = ticks.withWatermark("ts", "6 hours").withColumn("_t", F.expr(at("ts")))
+    return f.join(own, F.expr(f"_a = asset AND _s = _t AND ts > made_at AND ts <= made_at + {span}")).select("asset", "made_at", "predicted", "ts", "value")
 
 
 def write_upserts(stream: DataFrame, path: str, keys: list[str], part: str, newest: list[Column], checkpoint: str, **options: str):
