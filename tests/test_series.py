@@ -42,6 +42,20 @@ def test_removal_takes_every_asset_that_jumps_beyond_twenty(spark, tmp_path):
     assert got == sorted((a, ts.day, close) for a, ts, close in db.sql(ORACLE_SQL["b9_cascade_removal"]).fetchall())
 
 
+def test_movers_from_a_price_of_zero(spark, tmp_path):
+    """A zero among the closes or lows gives what the SQL gives, infinite or NaN, and no error; so does a missing or a single price."""
+    closes = {"low": [5, 4, 0, 4, 5, 6], "last": [1, 2, 3, 4, 0, 6], "sixth": [0, 2, 3, 4, 5, 6], "both": [0, 2, 3, 4, 0, 0], "end": [1, 2, 3, 4, 5, 0], "minus": [1, 2, 3, 4, 0, -6], "old": [0, 1, 2, 3, 4, 5, 6], "one": [7], "none": [1, None, 3], "zero": [0]}
+    closes |= {f"many{k:02}": [1, 2, 3, 4, 0, 6] for k in range(14)}
+    rows = [(100 * k + i, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), 1, asset, v, "") for k, (asset, own) in enumerate(closes.items()) for i, v in enumerate(own)]
+    events = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).astype({"ts": "datetime64[us]", "value": "float64"})
+    db = duckdb.connect()
+    db.register("frame", events).execute(f"COPY (SELECT * REPLACE (CASE WHEN isnan(value) THEN NULL ELSE value END AS value) FROM frame) TO '{tmp_path}/events.parquet'")
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = ([tuple(map(str, r)) for r in found] for found in (QUERIES["m9_hourly_movers"](spark, str(tmp_path)).collect(), db.sql(ORACLE_SQL["m9_hourly_movers"]).fetchall()))
+    assert got == want and len(got) == 20
+    assert {"nan", "inf", "-inf"} <= {x for r in got for x in r}
+
+
 def test_correlation_and_lag(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=40)

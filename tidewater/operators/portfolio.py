@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.series import own
+from tidewater.functions.series import own, ratio
 
 FEE, SLIPPAGE = 0.001, 0.0005
 ROUND_TRIP = 2 * (FEE + SLIPPAGE)
@@ -68,11 +68,11 @@ def mobility(bars: DataFrame, by: list[str]) -> DataFrame:
 
 
 def movers(bars: DataFrame, top: int) -> DataFrame:
-    """The newest close of each asset against the one before and five before, by size of the move."""
+    """The newest close of each asset against the one before and five before, by size of the move; from a price of 0 it is infinite."""
     order = Window.partitionBy("asset").orderBy(F.desc("ts"))
     rows = bars.withColumn("_n", F.row_number().over(order)).where("_n <= 6")
     at = lambda k: F.max(F.when(F.col("_n") == k, F.col("close")))
-    last = rows.groupBy("asset").agg((at(1) / at(2) - 1).alias("move"), (at(1) / at(6) - 1).alias("move5"), (F.max("high") / F.min("low") - 1).alias("range"))
+    last = rows.groupBy("asset").agg((ratio(at(1), at(2)) - 1).alias("move"), (ratio(at(1), at(6)) - 1).alias("move5"), (ratio(F.max("high"), F.min("low")) - 1).alias("range"))
     return last.orderBy(F.desc(F.round(F.abs("move"), 9)), "asset").limit(top)
 
 
